@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import mixing, quality, sharding, warc
+from orrery.llm import bpe, mixing, quality, sharding, warc
 
-MODULES = (warc, sharding, mixing, quality)
+MODULES = (warc, sharding, mixing, bpe, quality)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

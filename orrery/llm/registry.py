@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.llm import bpe, mincut, mixing, quality, sharding, simhash, topk, warc
+from orrery.llm import bpe, mincut, mixing, quality, sharding, simhash, topk, toxicity, warc
 
-MODULES = (warc, sharding, simhash, mixing, bpe, mincut, quality, topk)
+MODULES = (warc, sharding, simhash, mixing, toxicity, bpe, mincut, quality, topk)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

@@ -11,7 +11,8 @@ emits a spanning forest of what it verified. Components of these links and equal
 clusters. A cluster counts if it lies in more than one document; the document with the smallest key
 keeps its paragraphs, the others' are removals.
 
-Equal paragraphs are one node before anything is paired, and a task sends a paragraph's bands once.
+Equal paragraphs are one node before anything is paired, and a task sends a paragraph's bands for two documents
+at most. A bucket whose paragraphs all lie in one document is passed over, and so are pairs that do.
 Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks.
 
 Null, empty and short texts (under MIN_WORDS words): no paragraphs. Very long texts are read whole.
@@ -172,11 +173,21 @@ def document_key(key: str, text: str) -> Column:
 
 
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, start, end, words, content, bands) of every paragraph; bands null where this task has sent them before."""
+    """(doc, start, end, words, content, bands) of every paragraph; bands null where this task has sent them for two documents."""
     common.text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: dict[int, int | None] = {}  # the document a content was first sent for; None: a second one too
+
+        def worth(content: int, doc: int) -> bool:
+            if content not in sent:
+                sent[content] = doc
+                return True
+            if sent[content] is None or sent[content] == doc:
+                return False
+            sent[content] = None
+            return True
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -186,16 +197,12 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
             if not len(a):
                 continue
             content = contents(w, a, e)
-            _, first = np.unique(content, return_index=True)
-            new = np.zeros(len(a), bool)
-            new[first] = True
-            new &= np.array([c not in sent for c in content.tolist()])
+            at = w.text[a]
             if len(sent) > 1_000_000:
                 sent.clear()
-            sent.update(content[new].tolist())
+            new = np.array([worth(c, d) for c, d in zip(content.tolist(), b.column(0).to_numpy()[at].tolist(), strict=True)])
             bands = band_keys(shingles(w), a[new], e[new]).ravel() if new.any() else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new * BANDS)), pa.int32()), pa.array(bands, pa.int64()), mask=pa.array(~new))
-            at = w.text[a]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at)), pa.array(w.start[a] - ends[at], pa.int64()), pa.array(w.end[e - 1] - ends[at], pa.int64()), pa.array(e - a, pa.int64()), pa.array(content, pa.int64()), lists],
                 ["doc", "start", "end", "words", "content", "bands"],
@@ -205,19 +212,21 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def colliding(found: DataFrame) -> DataFrame:
-    """(bucket, content): paragraphs that share a band with a different one; buckets of the same paragraphs are one."""
+    """(bucket, content): paragraphs that share a band with a different one of another document; buckets of the same paragraphs are one."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.where("bands is not null").select(F.explode("bands").alias("key"), "content").repartition(n, "key").sortWithinPartitions("key", "content")
+    dealt = found.where("bands is not null").select(F.explode("bands").alias("key"), "content", "doc").repartition(n, "key").sortWithinPartitions("key", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.keyed_runs(batches, ["key"]):
-            key, content = whole.column("key").to_numpy(), whole.column("content").to_numpy()
+            key, content, doc = (whole.column(c).to_numpy() for c in ("key", "content", "doc"))
+            starts = common.group_starts(key)[:-1]
+            apart = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
             new = common.group_starts(key, content)[:-1]
             key, content = key[new], content[new]
             starts = common.group_starts(key)
             sizes = np.diff(starts)
             bucket = np.add.reduceat(mixed(content.astype(np.int64).view(np.uint64)), starts[:-1])
-            many = np.repeat(sizes > 1, sizes)
+            many = np.repeat((sizes > 1) & apart, sizes)
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mixed(bucket).view(np.int64), sizes)[many]), pa.array(content[many])], ["bucket", "content"])
 
@@ -225,13 +234,13 @@ def colliding(found: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(content, set): the sorted shingle hashes of each wanted paragraph (doc, start, end, content)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "content")).alias("wanted"))
+    """(content, set, lo, hi): the sorted shingle hashes of each wanted paragraph (doc, start, end, content, hi)."""
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("doc", "start", "end", "content", "hi")).alias("wanted"))
     joined = docs.select(document_key(key, text).alias("doc"), F.col(text).alias("_text")).join(lists, "doc").select("_text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, wants in common.rows_of(batches, "_text", "wanted"):
-            out: list[tuple[int, bytes]] = []
+            out: list[tuple[int, bytes, int, int]] = []
             for t, want in zip(texts, wants, strict=True):
                 raw = np.frombuffer((t or "").encode("utf-8"), np.uint8)
                 for x in want:
@@ -239,11 +248,11 @@ def shingled(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
                     w = Words(piece, np.array([0, len(piece)]))
                     m = np.array([len(w.hash)])
                     if m[0] >= SHINGLE and int(contents(w, m - m, m)[0]) == x["content"]:  # else another row of the same key
-                        out.append((x["content"], np.unique(shingles(w)[: m[0] - SHINGLE + 1]).tobytes()))
+                        out.append((x["content"], np.unique(shingles(w)[: m[0] - SHINGLE + 1]).tobytes(), x["doc"], x["hi"]))
             if out:
-                yield pa.RecordBatch.from_pydict({"content": [c for c, _ in out], "set": [s for _, s in out]})
+                yield pa.RecordBatch.from_pydict(dict(zip(("content", "set", "lo", "hi"), map(list, zip(*out, strict=True)), strict=True)))
 
-    return joined.mapInArrow(run, "content long, set binary")
+    return joined.mapInArrow(run, "content long, set binary, lo long, hi long")
 
 
 def jaccard(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -255,16 +264,17 @@ def jaccard(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def verified(sets: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """For each set the place of the first one in its bucket that it is linked to, directly or not."""
+def verified(sets: list[np.ndarray], ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each set the place of the first one in its bucket that it is linked to, directly or not; lo, hi: the documents it lies in."""
     size = np.array([len(s) for s in sets])
     forest = common.Forest(len(sets))
     i, step = np.arange(len(sets)), 1
     while (i := i[i + step < ends[i]]).size:
         root = forest.root
         a = i[root[i] != root[i + step]]
-        lo, hi = np.minimum(size[a], size[a + step]), np.maximum(size[a], size[a + step])
-        a = a[lo >= SIMILARITY * hi - 1e-9]
+        a = a[(lo[a] != hi[a + step]) | (hi[a] != lo[a + step])]
+        less, more = np.minimum(size[a], size[a + step]), np.maximum(size[a], size[a + step])
+        a = a[less >= SIMILARITY * more - 1e-9]
         if a.size:
             a = a[jaccard(sets, a, a + step) >= SIMILARITY - 1e-12]
             forest.unite(a, a + step)
@@ -274,7 +284,10 @@ def verified(sets: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
 
 
 def links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): verified near-duplicate contents, enough of them to connect all that are."""
+    """(a, b): verified near-duplicate contents, enough of them to connect all that are.
+
+    members: (bucket, content); sets: (content, set, lo, hi), lo and hi the least and greatest document it lies in.
+    """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = common.stored(members.groupBy("bucket").count().where(F.col("count") > CHUNK), "large")
     m = members.join(large, "bucket", "left")
@@ -292,7 +305,7 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
             key, content = key[once], content[once]
             sets = [np.frombuffer(x, np.uint64) for x in whole.column("set").take(pa.array(once)).to_pylist()]
             starts = common.group_starts(key)
-            root = verified(sets, np.repeat(starts[1:], np.diff(starts)))
+            root = verified(sets, np.repeat(starts[1:], np.diff(starts)), whole.column("lo").to_numpy()[once], whole.column("hi").to_numpy()[once])
             child = np.flatnonzero(root != np.arange(len(root)))
             if len(child):
                 yield pa.RecordBatch.from_arrays([pa.array(content[child]), pa.array(content[root[child]])], ["a", "b"])
@@ -310,7 +323,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     each = found.groupBy("content").agg(F.min(F.struct("doc", "start", "end")).alias("at"), F.max("doc").alias("hi"))
     each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
     each = common.stored(each.where("met or at.doc <> hi").select("content", "at", "hi", F.coalesce("met", F.lit(False)).alias("met")), "each")
-    sets = common.stored(shingled(docs, key, text, each.where("met").select("at.*", "content")), "sets")
+    sets = common.stored(shingled(docs, key, text, each.where("met").select("at.*", "content", "hi")), "sets")
     parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
     each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "at.doc", "hi")
     spread = each.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("hi").alias("hi")).where("keeper <> hi").drop("hi")

@@ -184,7 +184,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             found = [np.unique(h).tobytes() if len(h := shingle_hashes(t, words)) else b"" for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["content", "set"])
 
-    sets = own.mapInArrow(run, "content long, set binary")
+    sets = own.mapInArrow(run, "content long, set binary").withColumns({"lo": F.col("content"), "hi": F.col("content")})
     parts = common.stored(common.components(common.stored(paragraphs.links(members.select("bucket", "content"), sets), "links")), "verified")
     placed = rows.join(parts, rows.content == parts.node, "left").select("key", "content", F.coalesce("root", "content").alias("group"))
     placed = common.stored(placed, "placed")

@@ -41,35 +41,38 @@ def common_tokens(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
 
 
-def _overlap(pred: Column, gold: Column) -> tuple[Column, Column, Column]:
-    p, g = tokens(normalize_answer(pred)), tokens(normalize_answer(gold))
-    return common_tokens(p, g), F.size(p), F.size(g)
+def overlaps(rows: DataFrame, pred: str, golds: str) -> DataFrame:
+    """Adds ``_o``: for each gold the shared tokens, the sizes of both sides, and whether a closed answer is missed.
 
+    Both sides are normalised once, in columns of their own, whatever the number of statistics read from them.
+    """
+    rows = rows.withColumns({"_p": normalize_answer(F.col(pred)), "_g": F.transform(golds, normalize_answer)}).withColumn("_pt", tokens(F.col("_p")))
 
-def token_scores(pred: Column, golds: Column) -> dict[str, Column]:
-    """f1, precision, recall over token multisets, each the best over golds by itself; closed answers only match exactly."""
+    def one(g: Column) -> Column:
+        t = tokens(g)
+        closed = (F.col("_p").isin(*CLOSED) | g.isin(*CLOSED)) & (F.col("_p") != g)
+        return F.struct(common_tokens(F.col("_pt"), t).alias("same"), F.size("_pt").alias("n"), F.size(t).alias("m"), closed.alias("closed"))
+
+    return rows.withColumn("_o", F.transform("_g", one)).drop("_p", "_g", "_pt")
 
-    def best(f) -> Column:
-        def one(g: Column) -> Column:
-            same, n, m = _overlap(pred, g)
-            np, ng = normalize_answer(pred), normalize_answer(g)
-            closed = (np.isin(*CLOSED) | ng.isin(*CLOSED)) & (np != ng)
-            return F.when(closed | (same == 0), 0.0).otherwise(f(same, n, m))
 
-        return F.coalesce(F.array_max(F.transform(golds, one)), F.lit(0.0))
+def token_scores() -> dict[str, Column]:
+    """f1, precision, recall over token multisets from ``_o``, each the best over golds by itself; closed answers only match exactly."""
 
-    return {
-        "f1": best(lambda s, n, m: 2.0 * s / (n + m)),
-        "precision": best(lambda s, n, m: s / n),
-        "recall": best(lambda s, n, m: s / m),
-    }
+    def best(f) -> Column:
+        return F.coalesce(F.array_max(F.transform("_o", lambda x: F.when(x.closed | (x.same == 0), 0.0).otherwise(f(x)))), F.lit(0.0))
+
+    return {"f1": best(lambda x: 2.0 * x.same / (x.n + x.m)), "precision": best(lambda x: x.same / x.n), "recall": best(lambda x: x.same / x.m)}
 
 
 def token_f1_open(pred: Column, golds: Column) -> Column:
     """F1 without the closed-answer rule: both empty 1, one empty 0; no golds: against the empty answer."""
 
+    p = tokens(normalize_answer(pred))
+
     def one(g: Column) -> Column:
-        same, n, m = _overlap(pred, g)
+        t = tokens(normalize_answer(g))
+        same, n, m = common_tokens(p, t), F.size(p), F.size(t)
         return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (same == 0), 0.0).otherwise(2.0 * same / (n + m))
 
     filled = F.when(F.size(golds) > 0, golds).otherwise(F.array(F.lit("")))
@@ -97,8 +100,8 @@ def q_em_regex_first(spark, d):
 
 
 def q_token_prf(spark, d):
-    s = token_scores(F.col("pred"), F.slice("golds", 1, 2))
-    return fixture(spark, d).select("doc_id", *(F.round(c, 6).alias(n) for n, c in s.items()))
+    f = fixture(spark, d).withColumn("golds", F.slice("golds", 1, 2))
+    return overlaps(f, "pred", "golds").select("doc_id", *(F.round(c, 6).alias(n) for n, c in token_scores().items()))
 
 
 def q_token_f1_core(spark, d):

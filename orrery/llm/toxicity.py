@@ -50,7 +50,7 @@ TRAIN_DOCS, TRAIN_UNITS, LANDMARKS, ROUNDS = 2500, 2400, 240, 4
 CACHE = 200_000
 SYMBOLS = 64  # characters are told apart as so many symbols: a to z each, others by their code
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|~`_-+=/\\^@…«»“”„‘’¿¡"
-SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\w)")
 
 
 def units_of(text: str) -> set[str]:

@@ -92,7 +92,7 @@ def q_candidate_bias(spark, d):
     w = Window.partitionBy("qid")
     m = m.withColumn("e", F.exp((F.col("score") - F.max("score").over(w)) / 2.0)).withColumn("p", F.col("e") / F.sum("e").over(w))
     t = m.select("qid", "p", F.explode(F.split("key", " ")).alias("word")).groupBy("qid", "word").agg(F.round(F.least(F.sum("p") * 10, F.lit(2.0)), 6).alias("bias"))
-    return t.groupBy("qid").agg(F.count("*").alias("words"), F.round(F.sum("bias"), 4).alias("total"), F.round(F.max("bias"), 6).alias("most"))
+    return t.groupBy("qid").agg(F.count("*").alias("words"), F.round(F.sum("bias"), 6).alias("total"), F.round(F.max("bias"), 6).alias("most"))
 
 
 def q_answer_type(spark, d):
@@ -147,7 +147,7 @@ select qid, mode, case mode when 'strict' then '{MODES['strict']}' when 'open' t
     "synthetic_generate": "with p as (select conv_id, turn, 'Question: ' || text as p from conversations) select conv_id, turn, md5('[answer] ' || p) as answer_md5, greatest(1, length(p) // 4)::bigint as prompt_tokens, greatest(1, length('[answer] ' || p) // 4)::bigint as completion_tokens from p",
     "echo_context": "select conv_id, turn, md5('Simulated answer.' || chr(10) || split_part(text || chr(10) || chr(10) || 'Question: ?', chr(10) || chr(10) || 'Question:', 1)) as answer_md5 from conversations",
     "mine_regex_candidates": _MINED + ", rk as (select *, row_number() over (partition by qid order by score desc, key)::int as rank from mi) select qid, rank, phrase, score from rk where rank <= 10",
-    "candidate_bias": _MINED + ", ex as (select qid, key, exp((score - max(score) over (partition by qid)) / 2.0::double) as e from mi), pr as (select qid, key, e / sum(e) over (partition by qid) as p from ex), wd as (select qid, p, unnest(string_split(key, ' ')) as word from pr), bi as (select qid, word, round(least(sum(p) * 10, 2.0), 6) as bias from wd group by all) select qid, count(*) as words, round(sum(bias), 4) as total, round(max(bias), 6) as most from bi group by qid",
+    "candidate_bias": _MINED + ", ex as (select qid, key, exp((score - max(score) over (partition by qid)) / 2.0::double) as e from mi), pr as (select qid, key, e / sum(e) over (partition by qid) as p from ex), wd as (select qid, p, unnest(string_split(key, ' ')) as word from pr), bi as (select qid, word, round(least(sum(p) * 10, 2.0), 6) as bias from wd group by all) select qid, count(*) as words, round(sum(bias), 6) as total, round(max(bias), 6) as most from bi group by qid",
     "answer_type": "select head, case head when 'Who ' then 'person' when 'How many ' then 'number' when 'When ' then 'date' when 'Where ' then 'location' else 'other' end as kind, count(*) as n from benchmark cross join (select unnest(['Who ', 'How many ', 'When ', 'Where ', 'Why ']) as head) group by head",
     "logit_gates": """with x as (select vec_id, unnest(embedding) as x from embeddings), p as (select vec_id, exp(x::double * 8) as e from x), q as (select vec_id, e / sum(e) over (partition by vec_id) as p, row_number() over (partition by vec_id order by e desc) as r from p),
 g as (select vec_id, round(max(p), 6) as pmax, round(max(p) - max(p) filter (r = 2), 6) as margin, round(-sum(p * ln(p)), 6) as entropy from q group by vec_id) select *, pmax < 0.3 and margin < 0.1 and entropy > 2.0 as open from g""",

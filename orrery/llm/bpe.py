@@ -1,12 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's bytes form a linked list. Every adjacent pair that is in the vocabulary waits in the
-bucket of its merge rank; three levels of 64-bit words say which buckets hold anything, so that
-find-first-set gives the lowest rank in three steps, whatever the pre-token's length. An entry whose
+A pre-token's bytes form a linked list. An adjacent pair that is in the vocabulary, and whose turn comes
+before that of both pairs it overlaps, waits in the bucket of its merge rank; two levels of 256-bit words say which buckets hold anything, so that
+find-first-set gives the lowest rank in two steps, whatever the pre-token's length. An entry whose
 pair has changed since is stale and is skipped. Equal ranks merge from the left.
 
-Results are remembered by stretch of text between single spaces (no pre-token crosses such a space),
-in two generations of bounded size. Null text: as the empty text, no ids. Very long texts and very
+Results are remembered by pre-token and by stretch of text between single spaces or line feeds, in two generations of bounded size. Null text: as the empty text, no ids. Very long texts and very
 long pre-tokens are encoded whole. Repeated rows are each encoded; other columns pass through; an
 input column of the result's name is replaced. An empty table gives an empty table.
 """
@@ -14,7 +13,9 @@ input column of the result's name is replaced. An empty table gives an empty tab
 from __future__ import annotations
 
 import base64
+import gc
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
@@ -27,8 +28,13 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from orrery.llm import common
 
-#: Stretches of text whose ids are remembered in one generation.
-CACHE = 250_000
+#: Stands for a pair that is not in the vocabulary.
+NONE = 1 << 40
+#: -1, 0, 1, ... to copy from.
+COUNT = list(range(-1, 256))
+
+#: Stretches after a space, pre-tokens and line starts whose ids are remembered, in one generation each.
+STRETCHES, PIECES, STARTS = 200_000, 60_000, 30_000
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -37,59 +43,61 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions by rank, under a bitmap of three levels of 64-bit words."""
+    """Buckets of positions by rank, under a bitmap of two levels of 256-bit words.
+
+    A bucket of one position is that position; of more, a heap.
+    """
 
     def __init__(self, ranks: int) -> None:
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
+        self.low = [0] * ((ranks >> 8) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
+        held = self.buckets.get(rank)
+        if held is None:
+            self.buckets[rank] = position
+            a = rank >> 8
+            self.low[a] |= 1 << (rank & 255)
+            self.top |= 1 << a
+        elif type(held) is int:
+            self.buckets[rank] = [held, position] if held < position else [position, held]
         else:
-            heappush(bucket, position)
+            heappush(held, position)
 
     def drain(self) -> Iterator[tuple[int, int]]:
         """(rank, position), lowest rank first and leftmost within it, until nothing waits; pushes meanwhile count."""
-        low, mid, buckets = self.low, self.mid, self.buckets
+        low, buckets = self.low, self.buckets
         while top := self.top:
-            b = (top & -top).bit_length() - 1
-            word = mid[b]
-            a = (b << 6) + (word & -word).bit_length() - 1
+            a = (top & -top).bit_length() - 1
             word = low[a]
-            rank = (a << 6) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                yield rank, heappop(bucket)
-                continue
+            rank = (a << 8) + (word & -word).bit_length() - 1
+            held = buckets[rank]
+            if type(held) is not int:
+                first = heappop(held)
+                if held:
+                    yield rank, first
+                    continue
+                held = first
             del buckets[rank]
             low[a] = word = word & (word - 1)
             if not word:
-                mid[b] = word = mid[b] & (mid[b] - 1)
-                if not word:
-                    self.top = top & (top - 1)
-            yield rank, bucket[0]
+                self.top = top & (top - 1)
+            yield rank, held
 
 
 class Memory(dict):
-    """Remembers what ``make`` gives for a string, in two generations of at most ``CACHE`` entries."""
+    """Remembers what ``make`` gives for a string, in two generations of at most ``size`` entries."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
+        self.make, self.size = make, size
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= CACHE:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = found
@@ -99,14 +107,21 @@ class Memory(dict):
 class Encoder:
     """ids of a text, as little-endian int32; remembers pre-tokens and stretches that follow a space."""
 
+    #: No pre-token crosses a space or line feed that stands alone; the line feed is one of its own.
     SPACE = re.compile(r"(?<=\S) (?=\S)")
+    LINE = re.compile(r"(?<=\S)\n(?=\S)")
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.pairs = [ranks.get(bytes(divmod(x, 256)), NONE) for x in range(1 << 16)]
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.pieces = Memory(lambda piece: np.array(self.merged(piece.encode("utf-8")), "<i4").tobytes())
-        self.stretches = Memory(lambda rest: self.stretch(" " + rest))
+        self.pieces = Memory(self.piece, PIECES)
+        self.stretches = Memory(self.after_space, STRETCHES)
+        self.lines = Memory(self.stretch, STARTS)
+
+    def piece(self, text: str) -> bytes:
+        return array("i", self.merged(text.encode("utf-8"))).tobytes()
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -115,36 +130,48 @@ class Encoder:
         if whole is not None:
             return [whole]
         n = len(piece)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        waits = [-1] * n  # the rank of the pair that begins here
-        push, get = self.queue.push, ranks.get
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                waits[i] = rank
-                push(rank, i)
-        for rank, i in self.queue.drain():
-            if waits[i] != rank:
+        after = COUNT[2 : n + 2] if n < len(COUNT) - 2 else list(range(1, n + 1))
+        before = COUNT[:n] if n < len(COUNT) - 2 else list(range(-1, n - 1))
+        push, get, pairs = self.queue.push, ranks.get, self.pairs
+        # the rank of the pair that begins at each byte; the ends stand for "no pair" (rank[-1], rank[n])
+        rank = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+        rank += (NONE, NONE)
+        waits = [NONE] * n  # the rank under which each position was last queued
+        p = NONE
+        for i, r in enumerate(rank):
+            if p > r < NONE and r <= rank[i + 1]:
+                waits[i] = r
+                push(r, i)
+            p = r
+        for r, i in self.queue.drain():
+            if rank[i] != r:
                 continue
             j = after[i]
-            k = after[j]
-            waits[j] = -1
-            after[i] = k
+            after[i] = k = after[j]
+            rank[j] = NONE
+            rank[i] = r = NONE
             if k < n:
                 before[k] = i
-                rank = get(piece[i : after[k]])
-                waits[i] = -1 if rank is None else rank
-                if rank is not None:
-                    push(rank, i)
-            else:
-                waits[i] = -1
+                rank[i] = r = get(piece[i : after[k]], NONE)
             h = before[i]
             if h >= 0:
-                rank = get(piece[h:k])
-                waits[h] = -1 if rank is None else rank
-                if rank is not None:
-                    push(rank, h)
+                g = before[h]
+                rank[h] = q = get(piece[h:k], NONE)
+                if q < NONE and rank[g] > q <= r:
+                    waits[h] = q
+                    push(q, h)
+                if r < NONE and q > r <= rank[k]:
+                    waits[i] = r
+                    push(r, i)
+                if g >= 0 and (p := rank[g]) < NONE and waits[g] != p and rank[before[g]] > p <= q:
+                    waits[g] = p
+                    push(p, g)
+            elif r < NONE and r <= rank[k]:
+                waits[i] = r
+                push(r, i)
+            if k < n and (s := rank[k]) < NONE and waits[k] != s and r > s <= rank[after[k]]:
+                waits[k] = s
+                push(s, k)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
@@ -154,10 +181,25 @@ class Encoder:
     def stretch(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def after_space(self, rest: str) -> bytes:
+        """The ids of a space and what follows it; Latin letters, with or without one mark after them, need no pattern."""
+        if rest.isalpha():
+            if rest.isascii() or max(rest) < "\u0250":
+                return self.piece(" " + rest)
+        elif rest[-1] in ".,;:!?" and (word := rest[:-1]).isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return self.stretches[word] + self.pieces[rest[-1]]
+        return self.stretch(" " + rest)
+
     def encoded(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian int32."""
-        first, *rest = self.SPACE.split(text)
-        return self.stretch(first) + b"".join(map(self.stretches.__getitem__, rest))
+        out = []
+        for line in self.LINE.split(text):
+            parts = line.split(" ")
+            if parts != line.split():  # spaces that do not stand alone
+                parts = self.SPACE.split(line)
+            first, *rest = parts
+            out.append(self.lines[first] + b"".join(map(self.stretches.__getitem__, rest)))
+        return (self.pieces["\n"] if len(out) > 1 else b"").join(out)
 
 
 def shared_ranks(spark: SparkSession, ranks_path: str):
@@ -181,7 +223,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         if encoder is None:
             encoder = _ENCODERS[name] = Encoder(load_ranks(raw.value), pattern)
         for b in batches:
-            found = [encoder.encoded(t or "") for t in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
+            gc.disable()  # what is made here has no cycles
+            try:
+                found = [encoder.encoded(t or "") for t in texts]
+            finally:
+                gc.enable()
             ends = np.cumsum([0, *map(len, found)]) // 4
             flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
@@ -217,13 +264,14 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "token_ids", out: str =
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs`` (doc_id, text), by way of ids and decoded bytes."""
-    back = decode(encode(docs, ranks_path, pattern, passing=("doc_id",)), ranks_path)
-    return back.select(
+    ids = encode(docs, ranks_path, pattern, passing=("doc_id",)).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "token_ids",
     )
+    back = decode(ids, ranks_path, passing=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

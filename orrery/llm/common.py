@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,14 @@ from pyspark.sql import functions as F
 #: Fixed value: a word of the contracts, in every engine that is used here.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of two longs that are broadcast at most (about 10 MB as a hash table).
+SMALL_ROWS = 200_000
+
+#: Edges in a file of a component step, on average.
+PART_EDGES = 100_000
+
 #: Rows handed to Python at a time where rows hold whole texts.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +42,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
 
 
+#: Tables stored inside each open ``temporary`` block, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps survive a lost executor and recompute nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(back)
+    return back
 
 
 def dropped(df: DataFrame) -> None:
@@ -52,10 +66,36 @@ def dropped(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored in this block are deleted at its end, but for those passed to what it yields; an outer block owns them then."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        made = _OPEN.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                dropped(df)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A stored table of a few longs a row, marked for broadcast if its counted rows are at most ``rows``; else as it is, to be joined by sorting."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch of whole texts by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -143,28 +183,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nulls and self-loops are dropped. No edges: no rows.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, parts: int) -> DataFrame:
         if large:
             at = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             at = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = stored(at.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = stored(at.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts), "least")
         with_least = at.join(least, "u")
         if large:
             out = with_least.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = with_least.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        done = stored(out.where("a <> b").distinct(), "star")
+        done = stored(out.where("a <> b").distinct().coalesce(parts), "star")
         dropped(least)
         return done
 
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     e = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     seen = mark(e)
+    parts = -(-seen[0] // PART_EDGES) or 1  # a step never has more edges than the one before
     while seen[0]:
-        large = star(e, True)
+        large = star(e, True, parts)
         dropped(e)
-        e = star(large, False)
+        e = star(large, False, parts)
         dropped(large)
         now = mark(e)
         if now == seen:

@@ -256,11 +256,12 @@ def shingled(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFra
 
 
 def jaccard(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of sets i and sets j, pair by pair."""
+    """Exact Jaccard similarity of sets i and sets j, pair by pair; two empty sets are equal."""
     out = np.zeros(len(i))
     for n, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
-        out[n] = both / (len(sets[x]) + len(sets[y]) - both)
+        either = len(sets[x]) + len(sets[y]) - both
+        out[n] = both / either if either else 1.0
     return out
 
 
@@ -318,17 +319,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     cluster_id: the cluster's smallest document key; kept: the paragraph stands in that document.
     """
-    found = common.stored(occurrences(docs, key, text), "paragraphs")
-    members = common.stored(colliding(found), "colliding")
-    each = found.groupBy("content").agg(F.min(F.struct("doc", "start", "end")).alias("at"), F.max("doc").alias("hi"))
-    each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
-    each = common.stored(each.where("met or at.doc <> hi").select("content", "at", "hi", F.coalesce("met", F.lit(False)).alias("met")), "each")
-    sets = common.stored(shingled(docs, key, text, each.where("met").select("at.*", "content", "hi")), "sets")
-    parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
-    each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "at.doc", "hi")
-    spread = each.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("hi").alias("hi")).where("keeper <> hi").drop("hi")
-    spread = common.stored(spread, "spread")
-    named = common.stored(each.join(spread, "cluster").select("content", "keeper"), "named")
+    with common.temporary() as keep:
+        found = keep(common.stored(occurrences(docs, key, text), "paragraphs"))
+        members = common.stored(colliding(found), "colliding")
+        each = found.groupBy("content").agg(F.min(F.struct("doc", "start", "end")).alias("at"), F.max("doc").alias("hi"))
+        each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
+        each = common.stored(each.where("met or at.doc <> hi").select("content", "at", "hi", F.coalesce("met", F.lit(False)).alias("met")), "each")
+        sets = common.stored(shingled(docs, key, text, each.where("met").select("at.*", "content", "hi")), "sets")
+        parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
+        each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "at.doc", "hi")
+        spread = each.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("hi").alias("hi")).where("keeper <> hi").drop("hi")
+        spread = common.stored(spread, "spread")
+        named = keep(common.stored(each.join(spread, "cluster").select("content", "keeper"), "named"))
     rows = found.join(named, "content")
     return rows.select("doc", "start", "end", "words", F.col("keeper").alias("cluster_id"), (F.col("doc") == F.col("keeper")).alias("kept"))
 
@@ -336,8 +338,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the paragraphs that other documents keep; texts that lose all their words go."""
     dk, cut = common.free_name(docs, "_doc"), common.free_name(docs, "_cut")
-    spans = repeats(docs, key, text).where("not kept").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    spans = common.stored(spans, "spans").withColumnsRenamed({"doc": dk, "_spans": cut})
+    with common.temporary() as keep:
+        spans = repeats(docs, key, text).where("not kept").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+        spans = keep(common.stored(spans, "spans"))
+    spans = spans.withColumnsRenamed({"doc": dk, "_spans": cut})
     joined = docs.withColumn(dk, document_key(key, text)).join(spans, dk, "left").select(*docs.columns, cut)
     place = docs.columns.index(text)
 

@@ -149,13 +149,14 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """(key, fp, component_id) of every row: component_id is the smallest key reachable by links."""
-    rows = common.stored(fingerprinted(docs, (key,), text, words).select(F.col(key).alias("key"), "fp"), "fingerprints")
-    least = common.stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "least")
-    parts = common.stored(common.components(links(least.select("fp"), radius)), "components")
-    named = parts.join(least, parts.node == least.fp).groupBy("root").agg(F.min("least").alias("component"))
-    named = common.stored(named, "named")
-    labels = common.stored(parts.join(named, "root").select(F.col("node").alias("fp"), "component"), "labels")
-    final = common.stored(least.join(labels, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "final")
+    with common.temporary() as keep:
+        rows = keep(common.stored(fingerprinted(docs, (key,), text, words).select(F.col(key).alias("key"), "fp"), "fingerprints"))
+        least = common.stored(rows.groupBy("fp").agg(F.min("key").alias("least")), "least")
+        parts = common.stored(common.components(links(least.select("fp"), radius)), "components")
+        named = parts.join(least, parts.node == least.fp).groupBy("root").agg(F.min("least").alias("component"))
+        named = common.stored(named, "named")
+        labels = common.stored(parts.join(named, "root").select(F.col("node").alias("fp"), "component"), "labels")
+        final = keep(common.stored(least.join(labels, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "final"))
     return rows.join(final, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
@@ -165,39 +166,40 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Fingerprints within ``radius`` only propose: a link counts if the texts' sets of word shingles have a
     Jaccard similarity of ``paragraphs.SIMILARITY`` or more, which is verified exactly inside each
     component of proposed links. Equal texts are always linked. Texts of fewer words than a shingle are
-    near-duplicates only if equal. Rows with a null key go only for rows with a key or an equal text.
+    near-duplicates only if their words are equal. Rows with a null key go only for rows with a key or an equal text.
     """
     text_id = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = fingerprinted(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")), ("key", "content"), "text", words)
-    rows = common.stored(rows, "fingerprints")
-    each = common.stored(rows.groupBy("content", "fp").agg(F.min("key").alias("key")), "contents")
-    fps = common.stored(each.select("fp").distinct(), "fps")
-    near = common.stored(common.components(links(fps, radius)), "proposed")
-    grouped = each.join(near, each.fp == near.node, "left").select("content", "key", F.coalesce("root", "fp").alias("bucket"))
-    many = common.stored(grouped.groupBy("bucket").count().where("count > 1").select("bucket"), "many")
-    members = common.stored(grouped.join(many, "bucket"), "members")
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")).alias("d")
-    own = own.join(members.alias("m"), F.col("d.key").eqNullSafe(F.col("m.key")) & (F.col("d.content") == F.col("m.content"))).select("text", "d.content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(h).tobytes() if len(h := shingle_hashes(t, words)) else b"" for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["content", "set"])
-
-    sets = own.mapInArrow(run, "content long, set binary").withColumns({"lo": F.col("content"), "hi": F.col("content")})
-    parts = common.stored(common.components(common.stored(paragraphs.links(members.select("bucket", "content"), sets), "links")), "verified")
-    placed = rows.join(parts, rows.content == parts.node, "left").select("key", "content", F.coalesce("root", "content").alias("group"))
-    placed = common.stored(placed, "placed")
-    first = F.struct(F.col("key").isNull(), "key", "content")
-    stays = common.stored(placed.groupBy("group").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", F.col("first.key").alias("first_key"), F.col("first.content").alias("first_content")), "stays")
-    inside = placed.join(stays, "group")
-    stay = F.col("key").eqNullSafe(F.col("first_key")) & (F.col("content") == F.col("first_content"))
-    goes = common.stored(inside.where(~stay).select("key", "content").distinct(), "goes")
-    twice = common.stored(inside.where(stay).groupBy("key", "content").count().where("count > 1").select("key", "content"), "twice")
+    with common.temporary() as keep:
+        rows = fingerprinted(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")), ("key", "content"), "text", words)
+        rows = common.stored(rows, "fingerprints")
+        each = common.stored(rows.groupBy("content", "fp").agg(F.min("key").alias("key")), "contents")
+        fps = common.stored(each.select("fp").distinct(), "fps")
+        near = common.stored(common.components(links(fps, radius)), "proposed")
+        grouped = each.join(near, each.fp == near.node, "left").select("content", "key", F.coalesce("root", "fp").alias("bucket"))
+        many = common.stored(grouped.groupBy("bucket").count().where("count > 1").select("bucket"), "many")
+        members = common.stored(grouped.join(many, "bucket"), "members")
+        own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")).alias("d")
+        own = own.join(common.small(members).alias("m"), F.col("d.key").eqNullSafe(F.col("m.key")) & (F.col("d.content") == F.col("m.content"))).select("text", "d.content")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [np.unique(h).tobytes() if len(h := shingle_hashes(t, words)) else b"" for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["content", "set"])
+
+        sets = own.mapInArrow(run, "content long, set binary").withColumns({"lo": F.col("content"), "hi": F.col("content")})
+        parts = common.stored(common.components(common.stored(paragraphs.links(members.select("bucket", "content"), sets), "links")), "verified")
+        placed = rows.join(parts, rows.content == parts.node, "left").select("key", "content", F.coalesce("root", "content").alias("group"))
+        placed = common.stored(placed, "placed")
+        first = F.struct(F.col("key").isNull(), "key", "content")
+        stays = common.stored(placed.groupBy("group").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", F.col("first.key").alias("first_key"), F.col("first.content").alias("first_content")), "stays")
+        inside = placed.join(stays, "group")
+        stay = F.col("key").eqNullSafe(F.col("first_key")) & (F.col("content") == F.col("first_content"))
+        goes = keep(common.stored(inside.where(~stay).select("key", "content").distinct(), "goes"))
+        twice = keep(common.stored(inside.where(stay).groupBy("key", "content").count().where("count > 1").select("key", "content"), "twice"))
     named, content = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}, "_content"
     whole = docs.withColumn(common.free_name(docs, content), text_id).withColumnsRenamed(named).withColumnsRenamed({common.free_name(docs, content): content})
     same = F.col(named[key]).eqNullSafe(F.col("key")) & (F.col(content) == F.col("content"))
-    whole = whole.join(goes, same, "left_anti")
+    whole = whole.join(common.small(goes), same, "left_anti")  # texts stay where they are if few go
     if not twice.isEmpty():  # rows that repeat key and text of the one that stays
         again = whole.join(twice, same, "left_semi").dropDuplicates([named[key], content])
         whole = whole.join(twice, same, "left_anti").unionByName(again)

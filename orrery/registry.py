@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from orrery.functions import text, udfs
-from orrery.operators import approximate, cache, lexical, lookup, metrics, prompts, rank, relational, stats, traces, vectors
+from orrery.operators import agents, approximate, cache, lexical, lookup, metrics, prompts, rank, relational, stats, traces, vectors
 from orrery.plans import evaluation
 from orrery.streaming import windows
 
-MODULES = (vectors, text, metrics, rank, stats, lexical, lookup, prompts, traces, relational, cache, approximate, udfs, windows, evaluation)
+MODULES = (vectors, text, metrics, rank, stats, lexical, lookup, prompts, traces, relational, agents, cache, approximate, udfs, windows, evaluation)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

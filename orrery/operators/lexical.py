@@ -108,9 +108,12 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))))
 
 
-def snippet(text: Column, query: Column, context: int = 200, least: float = 0.2) -> Column:
-    """The stretch around the sentence nearest to the query by word-set F1 (the first of the best), else the text's beginning."""
-    q = terms(query)
+def snippet(text: Column, query_terms: Column, context: int = 200, least: float = 0.2) -> Column:
+    """The stretch around the sentence nearest to the query by word-set F1 (the first of the best), else the text's beginning.
+
+    ``query_terms``: distinct terms in a column of their own, so that they are split once a row, not once a sentence.
+    """
+    q = query_terms
     s = F.transform(sentences(text), lambda x, i: F.struct(F.round(set_f1(terms(x), q), 9).alias("f"), (-i).alias("i"), x.alias("x")))
     best = F.array_max(s)
     at = F.position(best.x, text)
@@ -119,9 +122,9 @@ def snippet(text: Column, query: Column, context: int = 200, least: float = 0.2)
 
 
 def q_snippet_context(spark, d):
-    docs = table(spark, d, "documents").withColumn("q", F.element_at(sentences(F.col("text")), -1))
-    x = snippet(F.col("text"), F.col("q"))
-    return docs.select("doc_id", F.md5(x).alias("snippet_md5"), F.length(x).alias("chars"))
+    docs = table(spark, d, "documents").withColumn("q", F.array_distinct(terms(F.element_at(sentences(F.col("text")), -1))))
+    docs = docs.select("doc_id", snippet(F.col("text"), F.col("q")).alias("x"))
+    return docs.select("doc_id", F.md5("x").alias("snippet_md5"), F.length("x").alias("chars"))
 
 
 QUERIES = {"bm25_topk": q_bm25_topk, "lexical_rerank": q_lexical_rerank, "html_text_regex": q_html_text_regex, "html_text_parser": q_html_text_parser, "snippet_context": q_snippet_context}

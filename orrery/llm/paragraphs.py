@@ -11,6 +11,13 @@ emits a spanning forest of what it verified. Components of these links and equal
 clusters. A cluster counts if it lies in more than one document; the document with the smallest key
 keeps its paragraphs, the others' are removals.
 
+A passage that stands amid lines need not hold a paragraph. So every run of ``MIN_WORDS`` words (a window),
+wherever it begins, is compared as well, by equality. A window's anchor is the least of the hashes of the
+``ANCHOR`` words from each of its places on, so equal windows have equal anchors; only windows whose anchor
+occurs in two different texts are hashed and counted. Of equal windows the smallest document's is kept. A
+text's adjoining windows with the same keeper are one row, a maximal repeated run of words. Equal texts are
+one here; a text of several documents is a run as a whole.
+
 Equal paragraphs are one node before anything is paired, and a task sends a paragraph's bands for two documents
 at most. A bucket whose paragraphs all lie in one document is passed over, and so are pairs that do.
 Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks.
@@ -36,6 +43,8 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 #: Share of the pairs at exactly that similarity that the bands must bring together.
 RECALL = 0.99
 CHUNK = 512
+#: Words that are hashed for a window's anchor; a text has about 2 / (MIN_WORDS - ANCHOR + 2) anchors a word.
+ANCHOR = 25
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -314,10 +323,101 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, anchor) of every run of MIN_WORDS words of a text."""
+    m, span = len(w.hash), MIN_WORDS - ANCHOR + 1
+    if m < MIN_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(m - ANCHOR + 1)
+    least, width = contents(w, at, at + ANCHOR), 1
+    while width < span:  # the least of the next ``width`` places
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    first = np.flatnonzero(np.arange(m) + MIN_WORDS <= w.of_text[w.text + 1])
+    return first, least[first]
+
+
+def anchored(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, whole, start, end, words, anchors) of every text that has windows; whole: its hash, start and end: its first and last word's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, ends = text_buffer(b.column(2))
+            w = Words(data, ends)
+            first, anchor = windows(w)
+            if len(first):
+                at = w.text[first]
+                change = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1]))
+                at, anchor = at[change], anchor[change]
+                lists = common.group_starts(at)
+                at = at[lists[:-1]]
+                a, e = w.of_text[at], w.of_text[at + 1]
+                columns = [pa.array(x, pa.int64()) for x in (w.start[a] - ends[at], w.end[e - 1] - ends[at], e - a)]
+                columns = [*(b.column(k).take(pa.array(at)) for k in (0, 1)), *columns, pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(anchor))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "whole", "start", "end", "words", "anchors"])
+
+    rows = docs.select(document_key(key, text), F.xxhash64(text), F.col(text))
+    return rows.mapInArrow(run, "doc long, whole long, start long, end long, words long, anchors array<long>")
+
+
+def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(window, whole, lo, hi, at, start, end) of the windows that have a wanted anchor (whole, lo, hi, anchors); window: a hash of its words."""
+    joined = docs.select(document_key(key, text).alias("lo"), F.xxhash64(text).alias("whole"), F.col(text).alias("_text")).join(wanted, ["whole", "lo"]).select("whole", "lo", "hi", "_text", "anchors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, lo, hi, texts, anchors in common.rows_of(batches, "whole", "lo", "hi", "_text", "anchors"):
+            for k, t in enumerate(texts):
+                raw = np.frombuffer(t.encode("utf-8"), np.uint8)
+                w = Words(raw, np.array([0, len(raw)]))
+                first, anchor = windows(w)
+                first = first[np.isin(anchor, anchors[k])]
+                n = len(first)
+                if n:
+                    columns = [contents(w, first, first + MIN_WORDS), *(np.full(n, x[k]) for x in (whole, lo, hi)), first, w.start[first], w.end[first + MIN_WORDS - 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["window", "whole", "lo", "hi", "at", "start", "end"])
+
+    return joined.mapInArrow(run, "window long, whole long, lo long, hi long, at long, start long, end long")
+
+
+def runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, start, end, words, keeper) of every maximal run of words whose windows all occur in other documents and first in ``keeper``."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common.text_batches(docs.sparkSession)
+    with common.temporary() as keep:
+        texts = common.stored(anchored(docs, key, text), "texts")
+        each = texts.groupBy("whole").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), *(F.min(c).alias(c) for c in ("start", "end", "words")))
+        each = common.stored(each, "each")
+        anchors = texts.select("whole", F.explode("anchors").alias("anchor"))
+        shared = anchors.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("anchor")
+        wanted = anchors.join(common.stored(shared, "shared"), "anchor").groupBy("whole").agg(F.collect_set("anchor").alias("anchors"))
+        wanted = common.stored(wanted.join(each, "whole").select("whole", "lo", "hi", "anchors"), "wanted")
+        found = common.stored(met(docs, key, text, wanted), "windows")
+        spread = found.groupBy("window").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+        spread = common.stored(spread.where("keeper <> last and a <> b").select("window", "keeper"), "repeated")
+        dealt = found.select("window", "whole", "at", "start", "end").join(spread, "window").drop("window").repartition(n, "whole").sortWithinPartitions("whole", "at")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ("whole", "at", "start", "end", "keeper")
+            for t in common.keyed_runs(batches, ["whole"]):
+                columns = [t.column(c).to_numpy() for c in names]
+                once = common.group_starts(*columns[:2])[:-1]  # rows that repeat key and text
+                whole, at, start, end, keeper = (c[once] for c in columns)
+                opens = common.group_starts(whole, keeper, at - np.arange(len(at)))
+                opens, last = opens[:-1], opens[1:] - 1
+                columns = [whole[opens], start[opens], end[last], at[last] - at[opens] + MIN_WORDS, keeper[opens]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["whole", "start", "end", "words", "keeper"])
+
+        parts = dealt.mapInArrow(run, "whole long, start long, end long, words long, keeper long")
+        parts = common.stored(parts.union(each.where("lo <> hi").select("whole", "start", "end", "words", F.col("lo").alias("keeper"))), "parts")
+        return keep(common.stored(texts.select("doc", "whole").distinct().join(parts, "whole").drop("whole"), "runs"))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, end, words, cluster_id, kept) of every paragraph whose cluster lies in more than one document.
+    """(doc, start, end, words, cluster_id, kept) of every paragraph whose cluster lies in more than one document, and of every repeated run.
 
-    cluster_id: the cluster's smallest document key; kept: the paragraph stands in that document.
+    cluster_id: the cluster's smallest document key; kept: the paragraph stands in that document. A place is
+    one row, with the smallest of its clusters' keys.
     """
     with common.temporary() as keep:
         found = keep(common.stored(occurrences(docs, key, text), "paragraphs"))
@@ -331,8 +431,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         spread = each.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("hi").alias("hi")).where("keeper <> hi").drop("hi")
         spread = common.stored(spread, "spread")
         named = keep(common.stored(each.join(spread, "cluster").select("content", "keeper"), "named"))
-    rows = found.join(named, "content")
-    return rows.select("doc", "start", "end", "words", F.col("keeper").alias("cluster_id"), (F.col("doc") == F.col("keeper")).alias("kept"))
+    rows = found.join(named, "content").select("doc", "start", "end", "words", "keeper").union(runs(docs, key, text))
+    rows = rows.groupBy("doc", "start", "end", "words").agg(F.min("keeper").alias("cluster_id"))
+    return rows.select("*", (F.col("doc") == F.col("cluster_id")).alias("kept"))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

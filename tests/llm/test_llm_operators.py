@@ -237,6 +237,32 @@ def test_repeats(spark):
     assert paragraphs.repeats(empty_docs(spark)).count() == 0 and paragraphs.removed(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("stops", [True, False])
+def test_repeats_amid_lines(spark, stops):
+    """Passages amid a line of both documents, with and without sentence ends, against all windows of 50 words."""
+    plain = lambda seed, n: prose(seed, n) if stops else prose(seed, n).replace(".", "")
+    passage, other = plain(80, 54), plain(81, 50)
+    rows = [
+        (60, f"{plain(82, 33)} {passage} {plain(83, 41)}", "en", "s", 0), (61, f"{plain(84, 107)} {passage.upper()} {plain(85, 65)}", "en", "s", 0),
+        (62, f"{plain(86, 25)} {other} {plain(87, 25)}", "en", "s", 0), (63, f"{plain(88, 12)} {passage} {plain(89, 31)} {other} {plain(90, 8)}", "en", "s", 0), (64, " ".join(passage.split(" ")[:49]), "en", "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    where = defaultdict(set)
+    for i, t, *_ in rows:
+        w = t.lower().split()
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add((i, k))
+    want = {(i, k + n) for x in where.values() if len({i for i, _ in x}) > 1 for i, k in x if i != min(x)[0] for n in range(50)}
+    assert {i for i, _ in want} == {61, 63} and len(want) == 54 + 104
+    text = {i: t.encode() for i, t, *_ in rows}
+    found = paragraphs.repeats(docs).collect()
+    got = {(r.doc, len(text[r.doc][: r.start].split()) + n) for r in found if not r.kept for n in range(r.words)}
+    assert got == want and all(len(text[r.doc][r.start : r.end].split()) == r.words for r in found)
+    out = {r.doc_id: r.text for r in paragraphs.removed(docs).collect()}
+    assert out[60] == rows[0][1] and out[62] == rows[2][1] and out[64] == rows[4][1]
+    assert all(" ".join(out[i].split()) == " ".join(x for k, x in enumerate(t.split()) if (i, k) not in want) for i, t, *_ in rows)
+
+
 def test_bands_reach_the_recall():
     assert 1 - (1 - paragraphs.SIMILARITY**paragraphs.ROWS) ** paragraphs.BANDS >= paragraphs.RECALL
 

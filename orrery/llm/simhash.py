@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from orrery.llm import common, paragraphs
 
@@ -38,6 +38,11 @@ from orrery.llm import common, paragraphs
 PIVOTS, PIVOT_SEED = 32, 7
 #: Distinct fingerprints in a bucket: on average at most, and before it is dealt out in chunks.
 BUCKET, CHUNK = 256, 1024
+#: MinHash bands that propose near-duplicates besides: of pairs at ``paragraphs.SIMILARITY`` 0.998 share one.
+BANDS, ROWS = 16, 5
+_rng = np.random.default_rng(2025)
+FACTORS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+SHIFTS = _rng.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -61,17 +66,36 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprinted(docs: DataFrame, passing: tuple[str, ...], text: str = "text", words: int = 4, name: str = "fp") -> DataFrame:
-    """The columns ``passing`` and ``name``: each text's fingerprint as a long."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Signed keys of the MinHash bands of a text's shingle hashes; none without hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096] * FACTORS + SHIFTS).min(1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = paragraphs.mixed(key * paragraphs.BASE + row)
+    return key.view(np.int64)
+
+
+def fingerprinted(docs: DataFrame, passing: tuple[str, ...], text: str = "text", words: int = 4, name: str = "fp", bands: str | None = None) -> DataFrame:
+    """The columns ``passing`` and ``name``: each text's fingerprint as a long; and ``bands``, where named: its MinHash bands."""
     common.text_batches(docs.sparkSession)
     keep = [c for c in passing if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.int64())], [*b.schema.names[1:], name])
-
-    schema = StructType([*docs.select(*keep).schema.fields, StructField(name, LongType())])
+            found, keys = [], []
+            for t in b.column(0).to_pylist():
+                hashes = shingle_hashes(t, words)
+                found.append(fingerprint(hashes))
+                if bands:
+                    keys.append(band_keys(hashes))
+            more = {name: pa.array(found, pa.int64())} | ({bands: pa.array(keys, pa.list_(pa.int64()))} if bands else {})
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more.values()], [*b.schema.names[1:], *more])
+
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(name, LongType()), *([StructField(bands, ArrayType(LongType()))] if bands else [])])
     return docs.select(F.col(text).alias("_text_to_hash"), *keep).mapInArrow(run, schema)
 
 
@@ -163,21 +187,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = 10) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, its columns as they were: the one with the smallest key.
 
-    Fingerprints within ``radius`` only propose: a link counts if the texts' sets of word shingles have a
+    Fingerprints within ``radius`` only propose, and so do equal MinHash bands, as fingerprints of texts at the
+    least similarity often differ by more: a link counts if the texts' sets of word shingles have a
     Jaccard similarity of ``paragraphs.SIMILARITY`` or more, which is verified exactly inside each
-    component of proposed links. Equal texts are always linked. Texts of fewer words than a shingle are
+    component of proposed links and each band's bucket. Equal texts are always linked. Texts of fewer words than a shingle are
     near-duplicates only if their words are equal. Rows with a null key go only for rows with a key or an equal text.
     """
     text_id = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     with common.temporary() as keep:
-        rows = fingerprinted(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")), ("key", "content"), "text", words)
-        rows = common.stored(rows, "fingerprints")
+        rows = fingerprinted(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")), ("key", "content"), "text", words, bands="bands")
+        banded = common.stored(rows, "fingerprints")
+        rows = banded.drop("bands")
         each = common.stored(rows.groupBy("content", "fp").agg(F.min("key").alias("key")), "contents")
         fps = common.stored(each.select("fp").distinct(), "fps")
         near = common.stored(common.components(links(fps, radius)), "proposed")
         grouped = each.join(near, each.fp == near.node, "left").select("content", "key", F.coalesce("root", "fp").alias("bucket"))
         many = common.stored(grouped.groupBy("bucket").count().where("count > 1").select("bucket"), "many")
-        members = common.stored(grouped.join(many, "bucket"), "members")
+        sharing = paragraphs.colliding(banded.select("content", "bands", F.col("content").alias("doc")).dropDuplicates(["content"]))
+        buckets = common.stored(grouped.select("content", "bucket").join(many, "bucket").select("bucket", "content").union(sharing), "buckets")
+        members = common.stored(each.join(buckets.select("content").distinct(), "content").select("content", "key"), "members")
         own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_id.alias("content")).alias("d")
         own = own.join(common.small(members).alias("m"), F.col("d.key").eqNullSafe(F.col("m.key")) & (F.col("d.content") == F.col("m.content"))).select("text", "d.content")
 
@@ -187,7 +215,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["content", "set"])
 
         sets = own.mapInArrow(run, "content long, set binary").withColumns({"lo": F.col("content"), "hi": F.col("content")})
-        parts = common.stored(common.components(common.stored(paragraphs.links(members.select("bucket", "content"), sets), "links")), "verified")
+        parts = common.stored(common.components(common.stored(paragraphs.links(buckets, sets), "links")), "verified")
         placed = rows.join(parts, rows.content == parts.node, "left").select("key", "content", F.coalesce("root", "content").alias("group"))
         placed = common.stored(placed, "placed")
         first = F.struct(F.col("key").isNull(), "key", "content")

@@ -217,6 +217,24 @@ def test_representatives(spark):
     assert simhash.representatives(empty_docs(spark)).count() == 0
 
 
+def test_representatives_reach_the_recall(spark):
+    """Pairs of Jaccard 0.80 to 0.90, many of them farther apart than the fingerprints' radius, against brute force."""
+    r, rows, pairs = random.Random(9), [], []
+    for k in range(60):
+        w = prose(400 + k, 300).split(" ")
+        other = w.copy()
+        for at in r.sample(range(300), r.randint(4, 7)):
+            other[at] = f"changed{k}x{at}"
+        rows += [(2 * k, " ".join(w), "en", "s", 0), (2 * k + 1, " ".join(other), "en", "s", 0)]
+        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (w, other))
+        pairs.append(len(a & b) / len(a | b))
+    near = {2 * k + 1 for k, s in enumerate(pairs) if s >= 0.8}
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) % (1 << 64) for _, t, *_ in rows]
+    assert sum((fps[i] ^ fps[i - 1]).bit_count() > 10 for i in near) > 5 and sum(0.8 <= s < 0.9 for s in pairs) > 30
+    gone = set(range(120)) - {x.doc_id for x in simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()}
+    assert gone <= near and len(gone) >= 0.98 * len(near)
+
+
 # paragraphs
 
 

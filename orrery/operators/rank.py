@@ -100,17 +100,28 @@ def q_softmax_bias(spark, d):
     return n.select("qid", "rank", F.round("weight", 6).alias("weight"), F.round((0.2 + 0.8 * F.col("weight") * F.count("*").over(w)) / F.sqrt(F.col("rank").cast("double")), 6).alias("blend"))
 
 
-def q_substring_dedupe(spark, d):
-    """Phrases ranked by score and length, each dropped if one ranked before it in its document contains it."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.lower("text"), r"[.\n]"), 1, 12)).alias("pos", "p"))
-    docs = docs.select("doc_id", "pos", F.trim(F.element_at(F.split(F.trim("p"), " "), 1)).alias("phrase")).where(F.length("phrase") > 0)
+def phrases_deduped(docs: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Phrases ranked by score and length, each dropped if one ranked before it in its document contains it; of all pieces of a text, or its first."""
+    split = F.split(F.lower("text"), r"[.\n]")
+    p = docs.select("doc_id", F.posexplode(F.slice(split, 1, pieces) if pieces else split).alias("pos", "p"))
+    p = p.select("doc_id", "pos", F.trim(F.element_at(F.split(F.trim("p"), " "), 1)).alias("phrase")).where(F.length("phrase") > 0)
+    p = p.groupBy("doc_id", "phrase").agg(F.min("pos").alias("pos"))  # an equal one contains the later
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("phrase")), "pos")
-    r = docs.withColumn("r", F.row_number().over(w))
+    r = p.withColumn("r", F.row_number().over(w))
     before = r.select("doc_id", F.col("phrase").alias("longer"), F.col("r").alias("rb"))
     kept = r.join(before, (r.doc_id == before.doc_id) & (F.col("rb") < F.col("r")) & F.contains("longer", F.col("phrase")), "left_anti")
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "phrase"))), lambda x: x.phrase), "|").alias("phrases"))
 
 
+def q_substring_dedupe(spark, d):
+    """The first 12 pieces of each text, as its SQL has them; ``substring_dedupe_whole`` takes all."""
+    return phrases_deduped(table(spark, d, "documents").select("doc_id", "text"), 12)
+
+
+def q_substring_dedupe_whole(spark, d):
+    return phrases_deduped(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def q_ordered_dedupe(spark, d):
     t = F.split("text", " ")
     low = F.transform(t, lambda x: F.lower(x))
@@ -126,7 +137,7 @@ def q_set_algebra(spark, d):
 
 QUERIES = {
     "overlap_jaccard_at_k": q_overlap_jaccard, "rbo_at_k": q_rbo, "containment_vs_m": q_containment, "pair_bins": q_pair_bins, "bin_stats": q_bin_stats,
-    "stability_by_bin_k": q_stability, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
+    "stability_by_bin_k": q_stability, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "substring_dedupe_whole": q_substring_dedupe_whole, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
 }
 
 _PAIRS = COSINE + ", pr as (select distinct least(qid, doc_id) as i, greatest(qid, doc_id) as j, round(s, 6) as sim from r where rank <= 20 and round(s, 6) >= 0.3)"

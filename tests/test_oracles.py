@@ -23,6 +23,21 @@ def test_recalls(spark):
         assert 0 < row["recall"] <= 1 and row[1], name
 
 
+def test_substring_dedupe_reads_whole_texts(spark, tmp_path):
+    texts = {1: "\n".join(f"w{k} x." for k in range(40)) + "\nw39y z", 2: "Ab c. abc\n\n  bc d.ab", 3: None, 4: ""}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in texts.items():
+        kept = []
+        for p in sorted((p.strip().split(" ")[0] for p in (t or "").lower().replace("\n", ".").split(".")), key=len, reverse=True):
+            if p and not any(p in q for q in kept):
+                kept.append(p)
+        if kept:
+            want[i] = (len(kept), "|".join(kept))
+    assert {r.doc_id: (r.kept, r.phrases) for r in QUERIES["substring_dedupe_whole"](spark, str(tmp_path)).collect()} == want
+    assert "w39y" in want[1][1]
+
+
 def test_hit_rate_grows_with_tolerance(spark):
     rows = QUERIES["cache_tolerance_sweep"](spark, D).orderBy("tolerance").collect()
     assert [r["hits"] for r in rows] == sorted(r["hits"] for r in rows)

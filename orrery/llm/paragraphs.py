@@ -19,7 +19,9 @@ text's adjoining windows with the same keeper are one row, a maximal repeated ru
 one here; a text of several documents is a run as a whole.
 
 Equal paragraphs are one node before anything is paired, and a task sends a paragraph's bands for two documents
-at most. A bucket whose paragraphs all lie in one document is passed over, and so are pairs that do.
+at most. A bucket whose paragraphs all lie in one document is passed over, and so are pairs that do: a cluster is what
+links between different documents and equal paragraphs connect. A paragraph that is near only to another of its own
+document is not in that one's cluster, and stays.
 Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks.
 
 Null, empty and short texts (under MIN_WORDS words): no paragraphs. Very long texts are read whole.

@@ -5,15 +5,18 @@ before that of both pairs it overlaps, waits in the bucket of its merge rank; tw
 find-first-set gives the lowest rank in two steps, whatever the pre-token's length. An entry whose
 pair has changed since is stale and is skipped. Equal ranks merge from the left.
 
-Results are remembered by pre-token and by stretch of text between single spaces or line feeds, in two generations of bounded size. Null text: as the empty text, no ids. Very long texts and very
-long pre-tokens are encoded whole. Repeated rows are each encoded; other columns pass through; an
-input column of the result's name is replaced. An empty table gives an empty table.
+Results are remembered by pre-token and by stretch of text between single spaces or line feeds, in two
+generations of bounded bytes; a string of over ``LONGEST`` characters is not remembered. Null text: as the
+empty text, no ids. Very long texts and very long pre-tokens are encoded whole. Repeated rows are each
+encoded; other columns pass through; an input column of the result's name is replaced. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -21,10 +24,11 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from orrery.llm import common
 
@@ -33,8 +37,10 @@ NONE = 1 << 40
 #: -1, 0, 1, ... to copy from.
 COUNT = list(range(-1, 256))
 
-#: Stretches after a space, pre-tokens and line starts whose ids are remembered, in one generation each.
-STRETCHES, PIECES, STARTS = 200_000, 60_000, 30_000
+#: Bytes, about, of the stretches after a space, pre-tokens and line starts whose ids are remembered, in one generation each.
+STRETCHES, PIECES, STARTS = 40_000_000, 12_000_000, 6_000_000
+#: Characters of a string that is remembered, at most; bytes of an entry besides its characters and ids.
+LONGEST, ENTRY = 64, 170
 
 
 def load_ranks(raw: bytes) -> dict[bytes, int]:
@@ -87,19 +93,22 @@ class RankQueue:
 
 
 class Memory(dict):
-    """Remembers what ``make`` gives for a string, in two generations of at most ``size`` entries."""
+    """Remembers what ``make`` gives for a string, in two generations of about ``room`` bytes."""
 
-    def __init__(self, make: Callable[[str], bytes], size: int) -> None:
-        self.make, self.size = make, size
+    def __init__(self, make: Callable[[str], bytes], room: int) -> None:
+        self.make, self.room, self.held = make, room, 0
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if self.held > self.room:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += ENTRY + len(key) + len(found)
         self[key] = found
         return found
 
@@ -202,13 +211,67 @@ class Encoder:
         return (self.pieces["\n"] if len(out) > 1 else b"").join(out)
 
 
+class Decoder:
+    """The bytes and the decimal digits of lists of ids, all lists of a batch at once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        table = [b""] * (max(ranks.values(), default=0) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        self.tokens = pa.array(table, pa.large_binary())
+        self.numbers = pa.array([b"%d " % i for i in range(len(table))], pa.large_binary())
+
+    @staticmethod
+    def _joined(vocabulary: pa.Array, flat: pa.Array, ends: np.ndarray, less: int) -> Iterator[memoryview]:
+        if not len(flat):
+            yield from (memoryview(b"") for _ in ends[1:])
+            return
+        taken = vocabulary.take(flat)
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        data = memoryview(taken.buffers()[2])
+        for lo, hi in zip(offsets[ends].tolist(), offsets[ends[1:]].tolist(), strict=False):
+            yield data[lo : max(lo, hi - less)]
+
+    def decoded(self, flat: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
+        """Of each list, from one of ``ends`` to the next: the tokens' bytes."""
+        return self._joined(self.tokens, flat, ends, 0)
+
+    def digits(self, flat: pa.Array, ends: np.ndarray) -> Iterator[memoryview]:
+        """Of each list: its ids as decimal numbers, joined by one space."""
+        return self._joined(self.numbers, flat, ends, 1)
+
+
 def shared_ranks(spark: SparkSession, ranks_path: str):
     """The rank file, read by the driver; its size is that of a vocabulary, whatever the corpus."""
     with open(ranks_path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+#: What a worker has made of a rank file and pattern, for all its tasks.
+_MADE: dict[tuple, Encoder | Decoder] = {}
+
+
+def _encoder(raw, name: tuple[str, str]) -> Encoder:
+    if name not in _MADE:
+        _MADE[name] = Encoder(load_ranks(raw.value), name[1])
+    return _MADE[name]
+
+
+def _decoder(raw, ranks_path: str) -> Decoder:
+    if (ranks_path,) not in _MADE:
+        _MADE[ranks_path,] = Decoder(load_ranks(raw.value))
+    return _MADE[ranks_path,]
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(ids of all texts, where each text's end, with 0 before)."""
+    gc.disable()  # what is made here has no cycles
+    try:
+        found = [encoder.encoded(t or "") for t in texts.to_pylist()]
+    finally:
+        gc.enable()
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    return pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()), ends
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", passing: tuple[str, ...] | None = None) -> DataFrame:
@@ -218,19 +281,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     keep = [c for c in (docs.columns if passing is None else passing) if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (ranks_path, pattern)
-        encoder = _ENCODERS.get(name)
-        if encoder is None:
-            encoder = _ENCODERS[name] = Encoder(load_ranks(raw.value), pattern)
+        encoder = _encoder(raw, (ranks_path, pattern))
         for b in batches:
-            texts = b.column(0).to_pylist()
-            gc.disable()  # what is made here has no cycles
-            try:
-                found = [encoder.encoded(t or "") for t in texts]
-            finally:
-                gc.enable()
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
+            flat, ends = _encoded(encoder, b.column(0))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], [*b.schema.names[1:], ids])
 
@@ -244,34 +297,32 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "token_ids", out: str =
     keep = [c for c in (rows.columns if passing is None else passing) if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(raw.value)
-        table: list[bytes] = [b""] * (max(ranks.values(), default=0) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        vocabulary = pa.array(table, pa.binary())
+        decoder = _decoder(raw, ranks_path)
         for b in batches:
             lists = b.column(0)
-            flat = vocabulary.take(lists.flatten())
-            offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-            data = memoryview(flat.buffers()[2]) if len(flat) else memoryview(b"")
-            ends = offsets[np.cumsum([0, *(len(x) if x.is_valid else 0 for x in lists)])]
-            whole = pa.array([bytes(data[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)], pa.binary())
+            ends = np.append(0, np.cumsum(pc.list_value_length(lists).fill_null(0)))
+            whole = pa.array(list(map(bytes, decoder.decoded(lists.flatten(), ends))), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], whole], [*b.schema.names[1:], out])
 
     schema = StructType([*rows.select(*keep).schema.fields, StructField(out, BinaryType())])
     return rows.select(F.col(ids).alias("_ids_to_decode"), *keep).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs`` (doc_id, text), by way of ids and decoded bytes."""
-    ids = encode(docs, ranks_path, pattern, passing=("doc_id",)).select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "token_ids",
-    )
-    back = decode(ids, ranks_path, passing=("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids, without leaving the batch."""
+    common.text_batches(docs.sparkSession)
+    raw = shared_ranks(docs.sparkSession, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(raw, (ranks_path, pattern)), _decoder(raw, ranks_path)
+        for b in batches:
+            flat, ends = _encoded(encoder, b.column(0))
+            hashes = ([hashlib.sha256(x).hexdigest() for x in f(flat, ends)] for f in (decoder.digits, decoder.decoded))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.diff(ends), pa.int64()), *map(pa.array, hashes)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    names = ("ids_sha256", "decoded_sha256")
+    schema = StructType([docs.schema[key], StructField("n_tokens", LongType()), *(StructField(n, StringType()) for n in names)])
+    return docs.select(F.col(text).alias("_text_to_encode"), key).mapInArrow(run, schema)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

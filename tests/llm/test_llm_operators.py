@@ -403,9 +403,23 @@ def test_bounded_memory_forgets_nothing_wrong(tok, monkeypatch):
     _, pattern, mine, theirs = tok
     small = bpe.Encoder(mine.ranks, pattern)
     for m in (small.pieces, small.stretches, small.lines):
-        m.size = 4
+        m.room = 4 * bpe.ENTRY
     t = prose(8, 200)
-    assert np.frombuffer(small.encoded(t), "<i4").tolist() == theirs.encode_ordinary(t) and len(small.stretches) <= 4
+    assert np.frombuffer(small.encoded(t), "<i4").tolist() == theirs.encode_ordinary(t) and len(small.stretches) <= 5
+
+
+def test_memory_is_bounded_by_bytes(tok):
+    _, pattern, mine, theirs = tok
+    small, r = bpe.Encoder(mine.ranks, pattern), random.Random(5)
+    for m in (small.pieces, small.stretches, small.lines):
+        m.room = 20_000
+    for k in range(60):  # words of 20 KB, which no room is given, between short ones
+        t = " ".join(["".join(r.choices("abcdeé漢", k=20_000 if i == 2 else 9)) for i in range(40)])
+        assert k % 20 or np.frombuffer(small.encoded(t), "<i4").tolist() == theirs.encode_ordinary(t)
+        small.encoded(t)
+    for m in (small.pieces, small.stretches, small.lines):
+        for held in (m, m.old):
+            assert sum(bpe.ENTRY + len(k) + len(v) for k, v in held.items()) <= 20_000 + bpe.ENTRY + 400 and all(len(k) <= bpe.LONGEST for k in held)
 
 
 def test_digests_and_round_trip(spark, tok):

@@ -11,15 +11,20 @@ emits a spanning forest of what it verified. Components of these links and equal
 clusters. A cluster counts if it lies in more than one document; the document with the smallest key
 keeps its paragraphs, the others' are removals.
 
+Most paragraphs share nothing with any other text, and those are not banded. An edit costs a pair eight or more
+of the shingles in its union, so a pair at ``SIMILARITY`` has a common run of ``REACH`` words at least (if it
+does not repeat its own shingles). Of the hashes of the ``ANCHOR`` words from each place of such a run on, the
+least is the run's anchor: equal runs have equal anchors. Only paragraphs with a run whose anchor occurs in
+another text are banded.
+
 A passage that stands amid lines need not hold a paragraph. So every run of ``MIN_WORDS`` words (a window),
-wherever it begins, is compared as well, by equality. A window's anchor is the least of the hashes of the
-``ANCHOR`` words from each of its places on, so equal windows have equal anchors; only windows whose anchor
-occurs in two different texts are hashed and counted. Of equal windows the smallest document's is kept. A
-text's adjoining windows with the same keeper are one row, a maximal repeated run of words. Equal texts are
-one here; a text of several documents is a run as a whole.
-
-Equal paragraphs are one node before anything is paired, and a task sends a paragraph's bands for two documents
-at most. A bucket whose paragraphs all lie in one document is passed over, and so are pairs that do: a cluster is what
+wherever it begins, is compared as well, by equality; only windows all of whose runs have such anchors are
+hashed and counted. Of equal windows the smallest document's is kept. A text's adjoining windows with the same
+keeper are one row, a maximal repeated run of words. Equal texts are one here: a text of several documents is
+a run as a whole, and its paragraphs count where another text has them or their like.
+
+Equal paragraphs are one node before anything is paired, and a task sends a paragraph's bands for two texts
+at most. A bucket whose paragraphs all lie in one text is passed over, and pairs in one document are: a cluster is what
 links between different documents and equal paragraphs connect. A paragraph that is near only to another of its own
 document is not in that one's cluster, and stays.
 Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks.
@@ -44,9 +49,11 @@ from orrery.llm import common
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 #: Share of the pairs at exactly that similarity that the bands must bring together.
 RECALL = 0.99
+#: Pairs at UNLIKE may share a band with this chance at most.
+UNLIKE, BY_CHANCE = 0.3, 0.03
 CHUNK = 512
-#: Words that are hashed for a window's anchor; a text has about 2 / (MIN_WORDS - ANCHOR + 2) anchors a word.
-ANCHOR = 25
+#: Words that are hashed for an anchor, and of a run that has one; a text has about 2 / (REACH - ANCHOR + 2) anchors a word.
+ANCHOR, REACH = 8, 23
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,9 +65,12 @@ BASE, BASE_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(bands, rows of a band): of the row counts from 2 on, that with the fewest bands that reach the recall."""
-    best = min((int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**r))), r) for r in range(2, 9))
-    return best
+    """(bands, rows of a band): the fewest rows, and then bands, that reach the recall and keep unlike pairs apart."""
+    for rows in range(1, 16):
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
+        if 1 - (1 - UNLIKE**rows) ** bands <= BY_CHANCE:
+            break
+    return bands, rows
 
 
 BANDS, ROWS = tuned()
@@ -163,7 +173,7 @@ def band_keys(shingle: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
     cuts = np.stack([a, e - SHINGLE + 1], 1).ravel()
     out = np.zeros((len(a), BANDS), np.uint64)
     for p in range(BANDS * ROWS):
-        h = np.append(mixed(shingle * FACTORS[p] + SHIFTS[p]), np.uint64(0))
+        h = np.append(shingle * FACTORS[p] + SHIFTS[p], np.uint64(0))
         least = np.minimum.reduceat(h, cuts)[::2]
         band = p // ROWS
         out[:, band] = mixed(out[:, band] * BASE + least + np.uint64(band + 1))
@@ -183,45 +193,6 @@ def document_key(key: str, text: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, start, end, words, content, bands) of every paragraph; bands null where this task has sent them for two documents."""
-    common.text_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, int | None] = {}  # the document a content was first sent for; None: a second one too
-
-        def worth(content: int, doc: int) -> bool:
-            if content not in sent:
-                sent[content] = doc
-                return True
-            if sent[content] is None or sent[content] == doc:
-                return False
-            sent[content] = None
-            return True
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            data, ends = text_buffer(b.column(1))
-            w = Words(data, ends)
-            a, e = paragraphs_of(w)
-            if not len(a):
-                continue
-            content = contents(w, a, e)
-            at = w.text[a]
-            if len(sent) > 1_000_000:
-                sent.clear()
-            new = np.array([worth(c, d) for c, d in zip(content.tolist(), b.column(0).to_numpy()[at].tolist(), strict=True)])
-            bands = band_keys(shingles(w), a[new], e[new]).ravel() if new.any() else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new * BANDS)), pa.int32()), pa.array(bands, pa.int64()), mask=pa.array(~new))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array(w.start[a] - ends[at], pa.int64()), pa.array(w.end[e - 1] - ends[at], pa.int64()), pa.array(e - a, pa.int64()), pa.array(content, pa.int64()), lists],
-                ["doc", "start", "end", "words", "content", "bands"],
-            )
-
-    return docs.select(document_key(key, text), F.col(text)).mapInArrow(run, "doc long, start long, end long, words long, content long, bands array<long>")
-
-
 def colliding(found: DataFrame) -> DataFrame:
     """(bucket, content): paragraphs that share a band with a different one of another document; buckets of the same paragraphs are one."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -244,28 +215,6 @@ def colliding(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, content long").distinct()
 
 
-def shingled(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(content, set, lo, hi): the sorted shingle hashes of each wanted paragraph (doc, start, end, content, hi)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("doc", "start", "end", "content", "hi")).alias("wanted"))
-    joined = docs.select(document_key(key, text).alias("doc"), F.col(text).alias("_text")).join(lists, "doc").select("_text", "wanted")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, wants in common.rows_of(batches, "_text", "wanted"):
-            out: list[tuple[int, bytes, int, int]] = []
-            for t, want in zip(texts, wants, strict=True):
-                raw = np.frombuffer((t or "").encode("utf-8"), np.uint8)
-                for x in want:
-                    piece = raw[x["start"] : x["end"]]
-                    w = Words(piece, np.array([0, len(piece)]))
-                    m = np.array([len(w.hash)])
-                    if m[0] >= SHINGLE and int(contents(w, m - m, m)[0]) == x["content"]:  # else another row of the same key
-                        out.append((x["content"], np.unique(shingles(w)[: m[0] - SHINGLE + 1]).tobytes(), x["doc"], x["hi"]))
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(("content", "set", "lo", "hi"), map(list, zip(*out, strict=True)), strict=True)))
-
-    return joined.mapInArrow(run, "content long, set binary, lo long, hi long")
-
-
 def jaccard(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact Jaccard similarity of sets i and sets j, pair by pair; two empty sets are equal."""
     out = np.zeros(len(i))
@@ -325,10 +274,10 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, anchor) of every run of MIN_WORDS words of a text."""
-    m, span = len(w.hash), MIN_WORDS - ANCHOR + 1
-    if m < MIN_WORDS:
+def runs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, anchor) of every run of REACH words of a text."""
+    m, span = len(w.hash), REACH - ANCHOR + 1
+    if m < REACH:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(m - ANCHOR + 1)
     least, width = contents(w, at, at + ANCHOR), 1
@@ -336,7 +285,7 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
         step = min(width, span - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    first = np.flatnonzero(np.arange(m) + MIN_WORDS <= w.of_text[w.text + 1])
+    first = np.flatnonzero(np.arange(m) + REACH <= w.of_text[w.text + 1])
     return first, least[first]
 
 
@@ -347,9 +296,11 @@ def anchored(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             data, ends = text_buffer(b.column(2))
             w = Words(data, ends)
-            first, anchor = windows(w)
-            if len(first):
-                at = w.text[first]
+            first, anchor = runs(w)
+            at = w.text[first]
+            long = np.diff(w.of_text)[at] >= MIN_WORDS
+            at, anchor = at[long], anchor[long]
+            if len(at):
                 change = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1]))
                 at, anchor = at[change], anchor[change]
                 lists = common.group_starts(at)
@@ -363,28 +314,110 @@ def anchored(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc long, whole long, start long, end long, words long, anchors array<long>")
 
 
+#: What is found in the texts that have a wanted anchor.
+MET = "whole long, lo long, hi long, at long, start long, end long, words long, content long, bands array<long>, set binary"
+
+
 def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(window, whole, lo, hi, at, start, end) of the windows that have a wanted anchor (whole, lo, hi, anchors); window: a hash of its words."""
-    joined = docs.select(document_key(key, text).alias("lo"), F.xxhash64(text).alias("whole"), F.col(text).alias("_text")).join(wanted, ["whole", "lo"]).select("whole", "lo", "hi", "_text", "anchors")
+    """The windows and paragraphs (MET) of the texts (whole, lo, hi, anchors) that have wanted anchors, each from document ``lo``.
+
+    content: a hash of its words; at: of windows, the place of the first word, -1 of paragraphs. Paragraphs
+    have bands, and the sorted hashes of their shingles, where this task has sent them for less than two texts.
+    """
+    rows = docs.select(document_key(key, text).alias("lo"), F.xxhash64(text).alias("whole"), F.col(text).alias("_text"))
+    if wanted.count() <= common.SMALL_ROWS:  # then only texts that are wanted are shuffled
+        rows = rows.join(F.broadcast(wanted.select("lo", "whole")), ["lo", "whole"], "left_semi")
+    joined = rows.join(wanted, ["lo", "whole"]).select("whole", "lo", "hi", "_text", "anchors")
+    inside = MIN_WORDS - REACH + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, int | None] = {}  # the text a content was first sent for; None: a second one too
+
+        def worth(content: int, whole: int) -> bool:
+            if content not in sent:
+                sent[content] = whole
+                return True
+            if sent[content] is None or sent[content] == whole:
+                return False
+            sent[content] = None
+            return True
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, ends = text_buffer(b.column(3))
+            w = Words(data, ends)
+            first, anchor = runs(w)
+            if not len(first):
+                continue
+            shared = np.zeros(len(w.hash) + 1, np.int64)
+            shared[first + 1] = np.isin(anchor, b.column(4).flatten().to_numpy())
+            shared = np.cumsum(shared)  # how many runs before each word have a wanted anchor
+            i = np.flatnonzero(np.arange(len(w.hash)) + MIN_WORDS <= w.of_text[w.text + 1])
+            i = i[shared[i + inside] - shared[i] == inside]
+            a, e = paragraphs_of(w)
+            near = shared[e - REACH + 1] > shared[a]
+            a, e = a[near], e[near]
+            content = contents(w, a, e)
+            if len(sent) > 1_000_000:
+                sent.clear()
+            new = np.array([worth(c, t) for c, t in zip(content.tolist(), b.column(0).to_numpy()[w.text[a]].tolist(), strict=True)], bool)
+            shingle = shingles(w)
+            bands = band_keys(shingle, a[new], e[new]).ravel() if new.any() else np.zeros(0, np.int64)
+            sets = iter([np.unique(shingle[x : y - SHINGLE + 1]).tobytes() for x, y in zip(a[new].tolist(), e[new].tolist(), strict=True)])
+            from_, to = np.append(i, a), np.append(i + MIN_WORDS, e)
+            at = w.text[from_]
+            new = np.append(np.zeros(len(i), bool), new)
+            columns = [b.column(k).take(pa.array(at)) for k in range(3)]
+            places = (np.append(i, np.full(len(a), -1)), w.start[from_] - ends[at], w.end[to - 1] - ends[at], to - from_, np.append(contents(w, i, i + MIN_WORDS), content))
+            columns += [pa.array(x, pa.int64()) for x in places]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new * BANDS)), pa.int32()), pa.array(bands, pa.int64()), mask=pa.array(~new)))
+            columns.append(pa.array([next(sets) if x else None for x in new.tolist()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in MET.split(", ")])
+
+    return joined.mapInArrow(run, MET)
+
+
+def repeated_windows(found: DataFrame) -> DataFrame:
+    """(whole, start, end, words, keeper) of every maximal run of windows that occur in other documents and first in ``keeper``; found: windows (MET)."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = found.groupBy("content").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+    spread = common.stored(spread.where("keeper <> last and a <> b").select("content", "keeper"), "repeated")
+    dealt = found.select("content", "whole", "at", "start", "end").join(spread, "content").drop("content").repartition(n, "whole").sortWithinPartitions("whole", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, lo, hi, texts, anchors in common.rows_of(batches, "whole", "lo", "hi", "_text", "anchors"):
-            for k, t in enumerate(texts):
-                raw = np.frombuffer(t.encode("utf-8"), np.uint8)
-                w = Words(raw, np.array([0, len(raw)]))
-                first, anchor = windows(w)
-                first = first[np.isin(anchor, anchors[k])]
-                n = len(first)
-                if n:
-                    columns = [contents(w, first, first + MIN_WORDS), *(np.full(n, x[k]) for x in (whole, lo, hi)), first, w.start[first], w.end[first + MIN_WORDS - 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["window", "whole", "lo", "hi", "at", "start", "end"])
-
-    return joined.mapInArrow(run, "window long, whole long, lo long, hi long, at long, start long, end long")
-
-
-def runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, end, words, keeper) of every maximal run of words whose windows all occur in other documents and first in ``keeper``."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        names = ("whole", "at", "start", "end", "keeper")
+        for t in common.keyed_runs(batches, ["whole"]):
+            columns = [t.column(c).to_numpy() for c in names]
+            once = common.group_starts(*columns[:2])[:-1]  # rows that repeat key and text
+            whole, at, start, end, keeper = (c[once] for c in columns)
+            opens = common.group_starts(whole, keeper, at - np.arange(len(at)))
+            opens, last = opens[:-1], opens[1:] - 1
+            columns = [whole[opens], start[opens], end[last], at[last] - at[opens] + MIN_WORDS, keeper[opens]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["whole", "start", "end", "words", "keeper"])
+
+    return dealt.mapInArrow(run, "whole long, start long, end long, words long, keeper long")
+
+
+def repeated_paragraphs(found: DataFrame) -> DataFrame:
+    """(whole, start, end, words, keeper) of every paragraph whose cluster lies in more than one text and document; found: paragraphs (MET)."""
+    members = common.stored(colliding(found.select("content", "bands", F.col("whole").alias("doc"))), "colliding")
+    first = F.min(F.when(F.col("set").isNotNull(), F.struct("whole", "start")))
+    each = found.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("whole").alias("a"), F.max("whole").alias("b"), first.alias("at"))
+    each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
+    each = common.stored(each.where("met or a <> b"), "each")
+    wanted = each.where("met").select("content", "lo", "hi", "at.whole", "at.start")
+    sets = found.where("set is not null").select("content", "whole", "start", "set").join(wanted, ["content", "whole", "start"]).select("content", "set", "lo", "hi")
+    parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
+    each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "lo", "hi", "a", "b")
+    spread = each.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi"), F.min("a").alias("a"), F.max("b").alias("b"))
+    spread = common.stored(spread.where("keeper <> hi and a <> b").select("cluster", "keeper"), "spread")
+    named = common.stored(each.join(spread, "cluster").select("content", "keeper"), "named")
+    return found.select("content", "whole", "start", "end", "words").join(named, "content").drop("content")
+
+
+def places(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, whole, start, end, words, keeper) of everything that repeats, each place of a text once."""
     common.text_batches(docs.sparkSession)
     with common.temporary() as keep:
         texts = common.stored(anchored(docs, key, text), "texts")
@@ -394,25 +427,15 @@ def runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         shared = anchors.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("anchor")
         wanted = anchors.join(common.stored(shared, "shared"), "anchor").groupBy("whole").agg(F.collect_set("anchor").alias("anchors"))
         wanted = common.stored(wanted.join(each, "whole").select("whole", "lo", "hi", "anchors"), "wanted")
-        found = common.stored(met(docs, key, text, wanted), "windows")
-        spread = found.groupBy("window").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-        spread = common.stored(spread.where("keeper <> last and a <> b").select("window", "keeper"), "repeated")
-        dealt = found.select("window", "whole", "at", "start", "end").join(spread, "window").drop("window").repartition(n, "whole").sortWithinPartitions("whole", "at")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ("whole", "at", "start", "end", "keeper")
-            for t in common.keyed_runs(batches, ["whole"]):
-                columns = [t.column(c).to_numpy() for c in names]
-                once = common.group_starts(*columns[:2])[:-1]  # rows that repeat key and text
-                whole, at, start, end, keeper = (c[once] for c in columns)
-                opens = common.group_starts(whole, keeper, at - np.arange(len(at)))
-                opens, last = opens[:-1], opens[1:] - 1
-                columns = [whole[opens], start[opens], end[last], at[last] - at[opens] + MIN_WORDS, keeper[opens]]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["whole", "start", "end", "words", "keeper"])
-
-        parts = dealt.mapInArrow(run, "whole long, start long, end long, words long, keeper long")
-        parts = common.stored(parts.union(each.where("lo <> hi").select("whole", "start", "end", "words", F.col("lo").alias("keeper"))), "parts")
-        return keep(common.stored(texts.select("doc", "whole").distinct().join(parts, "whole").drop("whole"), "runs"))
+        owners = common.stored(texts.select("doc", "whole").distinct(), "owners")
+        common.dropped(texts)
+        found = common.stored(met(docs, key, text, wanted), "met")
+        parts = common.stored(repeated_windows(found.where("at >= 0")), "windows")
+        parts = parts.union(common.stored(repeated_paragraphs(found.where("at < 0")), "paragraphs"))
+        common.dropped(found)
+        parts = parts.union(each.where("lo <> hi").select("whole", "start", "end", "words", F.col("lo").alias("keeper")))
+        parts = common.stored(parts.groupBy("whole", "start", "end", "words").agg(F.min("keeper").alias("keeper")), "parts")
+        return keep(common.stored(owners.join(parts, "whole"), "places"))
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -421,31 +444,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     cluster_id: the cluster's smallest document key; kept: the paragraph stands in that document. A place is
     one row, with the smallest of its clusters' keys.
     """
-    with common.temporary() as keep:
-        found = keep(common.stored(occurrences(docs, key, text), "paragraphs"))
-        members = common.stored(colliding(found), "colliding")
-        each = found.groupBy("content").agg(F.min(F.struct("doc", "start", "end")).alias("at"), F.max("doc").alias("hi"))
-        each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
-        each = common.stored(each.where("met or at.doc <> hi").select("content", "at", "hi", F.coalesce("met", F.lit(False)).alias("met")), "each")
-        sets = common.stored(shingled(docs, key, text, each.where("met").select("at.*", "content", "hi")), "sets")
-        parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
-        each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "at.doc", "hi")
-        spread = each.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("hi").alias("hi")).where("keeper <> hi").drop("hi")
-        spread = common.stored(spread, "spread")
-        named = keep(common.stored(each.join(spread, "cluster").select("content", "keeper"), "named"))
-    rows = found.join(named, "content").select("doc", "start", "end", "words", "keeper").union(runs(docs, key, text))
-    rows = rows.groupBy("doc", "start", "end", "words").agg(F.min("keeper").alias("cluster_id"))
+    rows = places(docs, key, text).groupBy("doc", "start", "end", "words").agg(F.min("keeper").alias("cluster_id"))
     return rows.select("*", (F.col("doc") == F.col("cluster_id")).alias("kept"))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that other documents keep; texts that lose all their words go."""
-    dk, cut = common.free_name(docs, "_doc"), common.free_name(docs, "_cut")
+    """``docs`` without the paragraphs that other documents keep; cut texts lose white space (of the six kinds) at their ends, and go with their last word."""
+    dk, tk, cut = (common.free_name(docs, n) for n in ("_doc", "_whole", "_cut"))
     with common.temporary() as keep:
-        spans = repeats(docs, key, text).where("not kept").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+        spans = places(docs, key, text).where("doc <> keeper").groupBy("doc", "whole").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
         spans = keep(common.stored(spans, "spans"))
-    spans = spans.withColumnsRenamed({"doc": dk, "_spans": cut})
-    joined = docs.withColumn(dk, document_key(key, text)).join(spans, dk, "left").select(*docs.columns, cut)
+    spans = spans.withColumnsRenamed({"doc": dk, "whole": tk, "_spans": cut})
+    rows = docs.withColumns({dk: document_key(key, text), tk: F.xxhash64(text)})
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +469,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                         if s > at:
                             parts.append(raw[at:s])
                         at = max(at, e)
-                    texts[i] = b"".join([*parts, raw[at:]]).decode("utf-8").strip()
+                    texts[i] = b"".join([*parts, raw[at:]]).strip().decode("utf-8")
                     if not texts[i]:
                         continue
                 keep.append(i)
@@ -467,7 +477,11 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).take(pa.array(keep, pa.int64()))
 
-    return joined.mapInArrow(run, docs.schema)
+    if spans.count() > common.SMALL_ROWS:
+        return rows.join(spans, [dk, tk], "left").select(*docs.columns, cut).mapInArrow(run, docs.schema)
+    ids = F.broadcast(spans.select(dk, tk))  # then texts that stay as they are stay where they are
+    touched = rows.join(ids, [dk, tk], "left_semi").join(spans, [dk, tk]).select(*docs.columns, cut).mapInArrow(run, docs.schema)
+    return rows.join(ids, [dk, tk], "left_anti").select(*docs.columns).union(touched)
 
 
 def op7_paragraph_bands(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ SMALL_ROWS = 200_000
 #: Edges in a file of a component step, on average.
 PART_EDGES = 100_000
 
-#: Rows handed to Python at a time where rows hold whole texts.
-TEXT_ROWS = 500
+#: Rows handed to Python at a time where rows hold whole texts; bytes of text that are worked on at a time, or one text.
+TEXT_ROWS, TEXT_BYTES = 500, 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +114,16 @@ def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[
             yield tuple(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to about TEXT_BYTES of the text column of that place."""
+    for b in batches:
+        if b.num_rows:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
+            starts = group_starts(sizes // TEXT_BYTES)
+            for a, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield b.slice(a, e - a)
+
+
 def keyed_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Splits a stream that is sorted by ``keys`` into tables that hold whole groups only.
 

@@ -52,6 +52,8 @@ RECALL = 0.99
 #: Pairs at UNLIKE may share a band with this chance at most.
 UNLIKE, BY_CHANCE = 0.3, 0.03
 CHUNK = 512
+#: Contents that a task remembers to have sent.
+SENT = 200_000
 #: Words that are hashed for an anchor, and of a run that has one; a text has about 2 / (REACH - ANCHOR + 2) anchors a word.
 ANCHOR, REACH = 8, 23
 
@@ -293,7 +295,7 @@ def anchored(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, whole, start, end, words, anchors) of every text that has windows; whole: its hash, start and end: its first and last word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, 2):
             data, ends = text_buffer(b.column(2))
             w = Words(data, ends)
             first, anchor = runs(w)
@@ -342,9 +344,7 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             sent[content] = None
             return True
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in common.slices(batches, 3):
             data, ends = text_buffer(b.column(3))
             w = Words(data, ends)
             first, anchor = runs(w)
@@ -359,7 +359,7 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             near = shared[e - REACH + 1] > shared[a]
             a, e = a[near], e[near]
             content = contents(w, a, e)
-            if len(sent) > 1_000_000:
+            if len(sent) > SENT:
                 sent.clear()
             new = np.array([worth(c, t) for c, t in zip(content.tolist(), b.column(0).to_numpy()[w.text[a]].tolist(), strict=True)], bool)
             shingle = shingles(w)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,12 @@ def dropped(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that have ended: it does when the driver's garbage goes, which may take long on a quiet driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored in this block are deleted at its end, but for those passed to what it yields; an outer block owns them then."""

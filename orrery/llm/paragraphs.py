@@ -383,14 +383,16 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = found.groupBy("content").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     spread = common.stored(spread.where("keeper <> last and a <> b").select("content", "keeper"), "repeated")
-    dealt = found.select("content", "whole", "at", "start", "end").join(spread, "content").drop("content").repartition(n, "whole").sortWithinPartitions("whole", "at")
+    place = F.shiftleft("start", 32).bitwiseOR(F.col("end")).alias("place")  # offsets in a string are below 2**31
+    dealt = found.select("content", "whole", "at", place).join(spread, "content").drop("content").repartition(n, "whole").sortWithinPartitions("whole", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("whole", "at", "start", "end", "keeper")
+        names = ("whole", "at", "place", "keeper")
         for t in common.keyed_runs(batches, ["whole"]):
             columns = [t.column(c).to_numpy() for c in names]
             once = common.group_starts(*columns[:2])[:-1]  # rows that repeat key and text
-            whole, at, start, end, keeper = (c[once] for c in columns)
+            whole, at, place, keeper = (c[once] for c in columns)
+            start, end = place >> 32, place & 0xFFFFFFFF
             opens = common.group_starts(whole, keeper, at - np.arange(len(at)))
             opens, last = opens[:-1], opens[1:] - 1
             columns = [whole[opens], start[opens], end[last], at[last] - at[opens] + MIN_WORDS, keeper[opens]]
@@ -429,8 +431,10 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
         wanted = common.stored(wanted.join(each, "whole").select("whole", "lo", "hi", "anchors"), "wanted")
         owners = common.stored(texts.select("doc", "whole").distinct(), "owners")
         common.dropped(texts)
+        common.released(docs.sparkSession)
         found = common.stored(met(docs, key, text, wanted), "met")
         parts = common.stored(repeated_windows(found.where("at >= 0")), "windows")
+        common.released(docs.sparkSession)
         parts = parts.union(common.stored(repeated_paragraphs(found.where("at < 0")), "paragraphs"))
         common.dropped(found)
         parts = parts.union(each.where("lo <> hi").select("whole", "start", "end", "words", F.col("lo").alias("keeper")))

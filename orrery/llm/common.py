@@ -51,7 +51,7 @@ _OPEN: list[list[DataFrame]] = []
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later steps survive a lost executor and recompute nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     if _OPEN:
         _OPEN[-1].append(back)

@@ -381,8 +381,8 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
 def repeated_windows(found: DataFrame) -> DataFrame:
     """(whole, start, end, words, keeper) of every maximal run of windows that occur in other documents and first in ``keeper``; found: windows (MET)."""
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = found.groupBy("content").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    spread = common.stored(spread.where("keeper <> last and a <> b").select("content", "keeper"), "repeated")
+    spread = found.groupBy("content").agg(F.min("lo").alias("keeper"), F.max("lo").alias("last"))
+    spread = common.stored(spread.where("keeper <> last").select("content", "keeper"), "repeated")
     place = F.shiftleft("start", 32).bitwiseOR(F.col("end")).alias("place")  # offsets in a string are below 2**31
     dealt = found.select("content", "whole", "at", place).join(spread, "content").drop("content").repartition(n, "whole").sortWithinPartitions("whole", "at")
 
@@ -405,15 +405,15 @@ def repeated_paragraphs(found: DataFrame) -> DataFrame:
     """(whole, start, end, words, keeper) of every paragraph whose cluster lies in more than one text and document; found: paragraphs (MET)."""
     members = common.stored(colliding(found.select("content", "bands", F.col("whole").alias("doc"))), "colliding")
     first = F.min(F.when(F.col("set").isNotNull(), F.struct("whole", "start")))
-    each = found.groupBy("content").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("whole").alias("a"), F.max("whole").alias("b"), first.alias("at"))
+    each = found.groupBy("content").agg(F.min("lo").alias("lo"), F.max("lo").alias("last"), F.max("hi").alias("hi"), first.alias("at"))
     each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
-    each = common.stored(each.where("met or a <> b"), "each")
+    each = common.stored(each.where("met or lo <> last"), "each")
     wanted = each.where("met").select("content", "lo", "hi", "at.whole", "at.start")
     sets = found.where("set is not null").select("content", "whole", "start", "set").join(wanted, ["content", "whole", "start"]).select("content", "set", "lo", "hi")
     parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
-    each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "lo", "hi", "a", "b")
-    spread = each.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi"), F.min("a").alias("a"), F.max("b").alias("b"))
-    spread = common.stored(spread.where("keeper <> hi and a <> b").select("cluster", "keeper"), "spread")
+    each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "lo", "last")
+    spread = each.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("last").alias("last"))
+    spread = common.stored(spread.where("keeper <> last").select("cluster", "keeper"), "spread")
     named = common.stored(each.join(spread, "cluster").select("content", "keeper"), "named")
     return found.select("content", "whole", "start", "end", "words").join(named, "content").drop("content")
 
@@ -433,6 +433,7 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
         common.dropped(texts)
         common.released(docs.sparkSession)
         found = common.stored(met(docs, key, text, wanted), "met")
+        common.released(docs.sparkSession)
         parts = common.stored(repeated_windows(found.where("at >= 0")), "windows")
         common.released(docs.sparkSession)
         parts = parts.union(common.stored(repeated_paragraphs(found.where("at < 0")), "paragraphs"))

@@ -2,8 +2,11 @@
 
 A rule has a test on a text's statistics. Its cost (seconds a document) and its selectivity (share of
 documents that it rejects) are estimated on a bounded sample; the cascade then runs the rules by
-rejection per cost and stops a document at the first rule that rejects it. The order changes the work,
-never the verdict: a document is kept if no rule rejects it.
+rejection per cost and stops a document at the first rule that rejects it, so that what later rules would
+count is never counted. The order changes the work, never the verdict: a document is kept if no rule rejects it.
+
+``filtered`` runs one cascade of all rules and counts nothing beyond it. ``judged`` has to give five counts of
+every document, which no order can save; there the cascade saves what is not given: the other rules' counts.
 
 Null text: no words, so the base rule rejects it. Empty text: the same. Very long texts are read whole.
 Repeated rows are judged each for itself; other columns pass through untouched; an empty table gives
@@ -30,8 +33,8 @@ from orrery.llm import common
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Rows of the sample on which costs and selectivities are estimated; only the order depends on it.
-SAMPLE_ROWS = 256
+#: The sample on which costs and selectivities are estimated: rows that may be in it, Arrow batches, rows of a batch. Only the order depends on it.
+SAMPLE_SHARE, SAMPLE_SEED, SAMPLE_BATCHES, SAMPLE_ROWS = 0.25, 9, 4, 64
 
 
 class Statistics:
@@ -103,19 +106,31 @@ RULES = (
 )
 
 
-def ordered_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a document, share rejected), best rejection per cost first. Reads ``sample_rows`` rows."""
-    sample = [r[0] for r in docs.select(F.col(text)).limit(sample_rows).collect()]
-    found = []
-    for rule in rules:
-        took, rejected = 0.0, 0
-        for x in sample:
-            s = Statistics(x)
-            began = time.perf_counter()
-            rejected += rule.rejects(s)
-            took += time.perf_counter() - began
-        n = max(1, len(sample))
-        found.append((rule, max(took / n, 1e-9), rejected / n))
+def ordered_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds a document, share rejected), best rejection per cost first.
+
+    The rules are tried where the rows are, on whole texts; a few numbers for each batch come to the driver,
+    and no more partitions are read than these take.
+    """
+    common.text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sample = b.column(0)[:SAMPLE_ROWS].to_pylist()
+            for k, rule in enumerate(rules):
+                took, rejected = 0.0, 0
+                for x in sample:
+                    s = Statistics(x)
+                    began = time.perf_counter()
+                    rejected += rule.rejects(s)
+                    took += time.perf_counter() - began
+                yield pa.RecordBatch.from_pydict({"rule": pa.array([k], pa.int32()), "rows": [len(sample)], "rejected": [rejected], "took": [took]})
+
+    tried = docs.select(F.col(text)).sample(False, SAMPLE_SHARE, SAMPLE_SEED).mapInArrow(run, "rule int, rows long, rejected long, took double")
+    total = [[0, 0, 0.0] for _ in rules]
+    for r in tried.limit(SAMPLE_BATCHES * len(rules)).collect():
+        total[r["rule"]] = [a + b for a, b in zip(total[r["rule"]], (r["rows"], r["rejected"], r["took"]), strict=True)]
+    found = [(rule, max(took / max(n, 1), 1e-9), rejected / max(n, 1)) for rule, (n, rejected, took) in zip(rules, total, strict=True)]
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
@@ -130,10 +145,11 @@ def verdict(s: Statistics, rules: list[Rule]) -> str | None:
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, passing: tuple[str, ...] | None = None, name: str = "quality") -> DataFrame:
     """The columns ``passing`` (default: all) of every row and a struct column ``name`` with statistics and verdict.
 
-    The struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept.
+    The struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept. These
+    are counted whatever the verdict; the cascade spares a base-failed document the other rules, and a document
+    the rules after the first that rejects.
     A column called ``name`` in the input is replaced.
     """
-    common.text_batches(docs.sparkSession)
     order = [r for r, _, _ in ordered_rules(docs, text, rules)]
     base = [r for r in order if r.base]
     rest = [r for r in order if not r.base]
@@ -156,9 +172,15 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 
 def filtered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, with their columns as they were."""
-    name = common.free_name(docs, "quality")
-    return judged(docs, text, rules, name=name).where(F.col(name).kept).select(*docs.columns)
+    """The rows that no rule rejects, with their columns as they were: one cascade of all rules, stopped at the first that rejects."""
+    order = [r for r, _, _ in ordered_rules(docs, text, rules)]
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([verdict(Statistics(x), order) is None for x in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality_cascade(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ A text's fingerprint has a bit set where over half its shingle hashes have it. F
 component.
 
 Hamming distance obeys the triangle inequality: if two fingerprints differ in at most r bits, their
-distances to any reference fingerprint differ by at most r. So each fingerprint's distances to many
-seeded references (pivots) are tabled once, a pair is discarded as soon as one coordinate of the table
-differs by more than r, and only the survivors are verified bit by bit.
+distances to any reference fingerprint differ by at most r. So each distinct fingerprint's distances to many
+seeded references (pivots) are tabled once and travel with it; a pair is discarded as soon as one coordinate
+of the table differs by more than r, and only the survivors are verified bit by bit.
 
 The table discards pairs; it needs a source of pairs that is not all of them. Fingerprints are cut
 into blocks so that any two within r agree in some choice of blocks, and only those that share such a
@@ -38,6 +38,8 @@ from orrery.llm import common, paragraphs
 PIVOTS, PIVOT_SEED = 32, 7
 #: Distinct fingerprints in a bucket: on average at most, and before it is dealt out in chunks.
 BUCKET, CHUNK = 256, 1024
+#: Keys in a partition on average, at most.
+PART_KEYS = 500_000
 #: MinHash bands that propose near-duplicates besides: of pairs at ``paragraphs.SIMILARITY`` 0.998 share one.
 BANDS, ROWS = 16, 5
 _rng = np.random.default_rng(2025)
@@ -102,30 +104,43 @@ def fingerprinted(docs: DataFrame, passing: tuple[str, ...], text: str = "text",
 def cut(count: int, radius: int) -> tuple[int, int]:
     """(blocks, blocks that must agree) for ``count`` fingerprints: the fewest with at most ``BUCKET`` in a bucket on average."""
     agree = 1
-    while count > BUCKET * 2 ** (64 * agree / (radius + agree)) and radius + agree < 12:
+    while count > BUCKET * 2 ** (64 * agree / (radius + agree)) and radius + agree < 64:
         agree += 1
     return radius + agree, agree
 
 
-def bucket_keys(fp: Column, count: int, radius: int) -> Column:
-    """Keys such that fingerprints within ``radius`` share at least one."""
+def bucket_choices(count: int, radius: int) -> list[int]:
+    """Bit masks of every choice of blocks that must agree; fingerprints within ``radius`` agree under at least one."""
     blocks, agree = cut(count, radius)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for chosen in combinations(range(blocks), agree):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(len(keys)), fp.bitwiseAND(F.lit(signed).cast("long"))))
-    return F.array(*keys)
+    return [sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen) for chosen in combinations(range(blocks), agree)]
+
+
+def bucket_keys(fp: Column, count: int, radius: int) -> Column:
+    """Keys such that fingerprints within ``radius`` share at least one."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in bucket_choices(count, radius)]
+    return F.array(*(F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
 
 
 def pivots() -> np.ndarray:
     return np.random.default_rng(PIVOT_SEED).integers(0, 2**64, PIVOTS, np.uint64)
 
 
-def linked(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
+def tabled(fps: DataFrame) -> DataFrame:
+    """(fp, table): each fingerprint's distances to the pivots, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = pivots()[None, :]
+        for b in batches:
+            fp = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
+            table = np.bitwise_count(fp[:, None] ^ marks)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeBinaryArray.from_buffers(pa.binary(PIVOTS), len(fp), [None, pa.py_buffer(table.tobytes())]).cast(pa.binary())], ["fp", "table"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, table binary")
+
+
+def linked(fps: np.ndarray, table: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint the place of the first one it is linked to, directly or not, in its group; ``ends``: where its group ends."""
-    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
     forest = common.Forest(len(fps))
     i, step = np.arange(len(fps)), 1
     while (i := i[i + step < ends[i]]).size:
@@ -134,10 +149,7 @@ def linked(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
         for p in range(0, PIVOTS, 4):
             if not a.size:
                 break
-            near = np.abs(table[a, p : p + 4] - table[a + step, p : p + 4]).max(1) <= radius
-            a = a[near]
-            if near.mean() > 0.95:  # further pivots would cost more than the bits themselves
-                break
+            a = a[np.abs(table[a, p : p + 4] - table[a + step, p : p + 4]).max(1) <= radius]
         if a.size:
             a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= radius]
         if a.size:
@@ -150,20 +162,24 @@ def linked(fps: np.ndarray, ends: np.ndarray, radius: int) -> np.ndarray:
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): fingerprints within ``radius``, enough of them to connect all that are; ``fps``: one column fp, distinct, stored."""
     spark = fps.sparkSession
-    keyed = fps.select("fp", F.explode(bucket_keys(F.col("fp"), fps.count(), radius)).alias("key"))
-    large = common.stored(keyed.groupBy("key").count().where(F.col("count") > CHUNK), "large")
+    count = fps.count()
+    keyed = tabled(fps).withColumn("key", F.explode(bucket_keys(F.col("fp"), count, radius)))
+    sizes = fps.select(F.explode(bucket_keys(F.col("fp"), count, radius)).alias("key")).groupBy("key").count()
+    large = common.stored(sizes.where(F.col("count") > CHUNK), "large")
     keyed = keyed.join(large, "key", "left")
     chunks = F.ceil(F.col("count") / CHUNK)
     own = F.pmod(F.xxhash64("fp"), chunks)
     keyed = keyed.withColumn("_own", own).withColumn("_other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))))
     keyed = keyed.where("count is null or _own <> _other").withColumn("deal", F.when(F.col("count").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))))
-    dealt = keyed.select("deal", "fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "deal").sortWithinPartitions("deal")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * len(bucket_choices(count, radius)) // PART_KEYS))
+    dealt = keyed.select("deal", "fp", "table").repartition(parts, "deal").sortWithinPartitions("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.keyed_runs(batches, ["deal"]):
             key, fp = whole.column("deal").to_numpy(), whole.column("fp").to_numpy()
+            table = np.frombuffer(b"".join(whole.column("table").to_pylist()), np.int8).reshape(-1, PIVOTS)
             starts = common.group_starts(key)
-            root = linked(fp.astype(np.int64).view(np.uint64), np.repeat(starts[1:], np.diff(starts)), radius)
+            root = linked(fp.astype(np.int64).view(np.uint64), table, np.repeat(starts[1:], np.diff(starts)), radius)
             child = np.flatnonzero(root != np.arange(len(root)))
             if len(child):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], ["a", "b"])
@@ -184,11 +200,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.join(final, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = 10) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, its columns as they were: the one with the smallest key.
 
     Fingerprints within ``radius`` only propose, and so do equal MinHash bands, as fingerprints of texts at the
-    least similarity often differ by more: a link counts if the texts' sets of word shingles have a
+    least similarity often differ by some 16 bits, a radius at which neither blocks nor pivots tell pairs apart: a link counts if the texts' sets of word shingles have a
     Jaccard similarity of ``paragraphs.SIMILARITY`` or more, which is verified exactly inside each
     component of proposed links and each band's bucket. Equal texts are always linked. Texts of fewer words than a shingle are
     near-duplicates only if their words are equal. Rows with a null key go only for rows with a key or an equal text.

@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else, in one process (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='orrery-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -71,6 +73,7 @@ def dropped(df: DataFrame) -> None:
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that have ended: it does when the driver's garbage goes, which may take long on a quiet driver."""
     gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()  # Spark holds on to its last job
     spark._jvm.System.gc()
 
 
@@ -93,6 +96,8 @@ def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 dropped(df)
         if _OPEN:
             _OPEN[-1].extend(kept)
+        if made:
+            released(made[0].sparkSession)
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

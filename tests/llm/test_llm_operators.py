@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -69,6 +71,27 @@ def test_quality_edges(spark):
     assert quality.judged(empty_docs(spark)).count() == 0
 
 
+def test_cascade_stops_at_the_first_rejection(spark, tmp_path, monkeypatch):
+    """Counts how often each rule runs: the dear one on the sample, and then only where the cheap one did not reject."""
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 3)
+    log = str(tmp_path / "ran")
+
+    def dear(s):
+        time.sleep(0.002)
+        with open(log, "a") as f:
+            f.write("x")
+        return "bad" in s.text
+
+    rules = (quality.Rule("dear", dear, ""), quality.Rule("cheap", lambda s: "no" in s.text, ""))
+    docs = spark.createDataFrame([(i, "no bad" if i % 10 else ("yes" if i % 20 else "bad")) for i in range(400)], "doc_id long, text string").repartition(4, "doc_id")
+    assert quality.ordered_rules(docs, rules=rules)[0][0].name == "cheap"
+    sampled = os.path.getsize(log)
+    assert {r.doc_id for r in quality.filtered(docs, rules=rules).collect()} == {i for i in range(400) if i % 20 == 10}
+    assert 0 < sampled <= 3 * quality.SAMPLE_BATCHES and os.path.getsize(log) == 2 * sampled + 40
+    s = quality.Statistics("too few words !! ##")
+    assert quality.verdict(s, list(quality.RULES)) == "too_few_words" and not {"n_repeat_words", "n_symbols", "lines"} & set(vars(s))
+
+
 def test_order_changes_no_verdict(spark):
     order = quality.ordered_rules(edge_docs(spark))
     assert {r.name for r, _, _ in order} == {r.name for r in quality.RULES}
@@ -195,6 +218,34 @@ def test_fingerprint_definition():
         assert simhash.fingerprint(simhash.shingle_hashes(text, 4)) % (1 << 64) == want
 
 
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
+    """Whole run of the query's operator against all pairs: chains, groups beyond a chunk, ties and nulls."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    r, rows = random.Random(12), []
+    for k in range(60):
+        words = prose(500 + k, 200).split(" ")
+        for _ in range(r.choice([1, 1, 2, 9])):
+            rows.append((len(rows) * 7 % 1009, " ".join(words)))
+            for _ in range(r.randint(0, 5)):
+                words[r.randrange(len(words))] = f"w{r.randrange(99)}"
+    rows += [(2000, None), (1999, ""), (2001, rows[5][1]), (2001, rows[9][1])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 4)) for _, t in rows]
+    label = list(range(len(rows)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    pairs = 0
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if ((a ^ fps[j]) % (1 << 64)).bit_count() <= 4:
+                pairs += a != fps[j]
+                label[find(i)] = find(j)
+    least = defaultdict(lambda: 1 << 60)
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least[find(i)], k)
+    assert pairs > 30 and Counter((x.doc_id, x.fp, x.component_id) for x in got) == Counter((k, fps[i], least[find(i)]) for i, (k, _) in enumerate(rows))
+
+
 def test_near_duplicates_edges(spark):
     rows = simhash.near_duplicates(edge_docs(spark)).collect()
     by = defaultdict(set)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import os
 import random
 import re
@@ -539,6 +540,24 @@ def test_top_k_with_small_buckets(spark, monkeypatch):
     test_top_k_equals_brute_force(spark)
 
 
+@pytest.mark.parametrize("rows", [1024, 7])
+def test_top_k_of_wide_components(spark, monkeypatch, rows):
+    """Components of 1e7 and more, products around 2**53 and beyond a long, against Python's whole numbers."""
+    monkeypatch.setattr(topk, "BUCKET_ROWS", rows)
+    r = random.Random(8)
+    size = [1.0, 1e3, 1e7, 2.0**26, 1e30]
+    v = [[r.choice([-1, 1, 1]) * r.random() * size[min(4, k // 12)] for _ in range(6)] for k in range(52)]
+    v[20] = v[21] = [2.0**18 + 1 / 256] * 6
+    df = common.stored(spark.createDataFrame([(i, [256 * x for x in row]) for i, row in enumerate(v)], "id long, v array<double>"), "t")
+    got = defaultdict(list)
+    for x in topk.top_k(df.where("id % 3 = 0"), df, 5).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    whole = [[math.floor(256 * x) for x in row] for row in v]
+    for q in range(0, 52, 3):
+        score = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], x, strict=True)))) for i, x in enumerate(whole) if i != q}
+        assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 def test_top_k_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [nan, 1.0]), (4, [None, 1.0]), (5, [0.5, 0.5]), (None, [1.0, 1.0]), (6, [1.0, 0.0, 0.0]), (5, [0.5, 0.5])]

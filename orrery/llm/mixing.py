@@ -165,8 +165,7 @@ def op4_curriculum_mix(spark, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB, for tables whose doc_id is unique.
 MIX_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::bigint as size,
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                   md5('42:' || doc_id) as h from documents),
 per as (select source, sum(size)::bigint as source_size from d group by source),
 placed as (select *, row_number() over (order by source nulls last) - 1 as place from per),

@@ -3,24 +3,33 @@
 A page's markup is cut into text blocks. A linear classifier scores each block for content against
 boilerplate; the score becomes the capacity to the source (content) or to the sink (boilerplate).
 Blocks that follow each other, and blocks next to each other under one parent, are tied by smoothness
-edges, stronger the more of their DOM path they share. The minimum cut is the labelling of least total
-cost; the blocks that remain with the source are the main text.
+edges, stronger the more of their DOM path they share and the more alike their elements are. The minimum
+cut is the labelling of least total cost; the blocks that remain with the source are the main text. So a
+short line or a heading that says little for itself goes with the paragraphs it stands among.
+
+The evidence is graded. What HTML's own elements and roles say weighs most. A class or id speaks by its
+words: some mean boilerplate wherever they stand (comments, sidebar, cookie), others only as a whole name
+(notice, related) and hardly at all as part of a longer one inside an article (section-header,
+related-work). Length, closing punctuation, share of links and the block's own element add to that.
 
 Before flows are pushed, every block whose own capacity is at least that of all its edges is labelled
 at once (no minimum cut can say otherwise, ties go to the block's own side) and its edges turn into
-capacities of its neighbours; max-flow decides about the rest.
+capacities of its neighbours; max-flow decides about the rest, component by component.
 
 Null, empty or tag-less html: its text, if any, as one block, judged like any other. Very long pages
-are read whole. Broken markup never fails: unclosed elements end with their parent, stray end tags are
-passed over. Repeated rows are each extracted; other columns pass through where asked. Empty table: no rows.
+are read whole, in time that grows with their length, however deep they nest. Broken markup never fails:
+unclosed elements end with their parent, stray end tags are passed over, a quote that is never closed is
+plain, an unclosed script or style ends at the next tag, and other unseen elements that are never closed
+hide nothing. Repeated rows are each extracted; other columns pass through where asked. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 from math import log2
 
@@ -39,22 +48,30 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside blockquote body div dl footer form header main menu nav ol section select table td th ul".split())
 
+#: Code, whose end is not looked for among its text.
+CODE_TAGS = frozenset(("script", "style"))
+
 #: The classifier: what an element on a block's path says of it, the strongest of each sign counting once.
 TAG_SCORE = {"article": 3.0, "main": 2.5, "nav": -9.0, "menu": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "dialog": -9.0, "button": -9.0, "select": -9.0, "fieldset": -9.0}
 ROLE_SCORE = {"main": 2.5, "article": 3.0, "navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "menu": -9.0, "menubar": -9.0, "dialog": -9.0, "alert": -9.0}
-GOOD_NAMES = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main|body|text)(?:$|[^a-z])")
-BAD_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar|side|aside|footer|masthead|topbar|toolbar|header|notices?|cookies?|consent|gdpr|alert|warning|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|trending|widget|comments?|commentlist|respond|reply|replies|disqus|copyright|legal|disclaimer|search|form|tags|skip)(?:$|[^a-z])"
-)
-GOOD_NAME, BAD_NAME = 1.5, -9.0
+GOOD_NAMES = frozenset("article content post entry story main body text".split())
+#: Words of class names and ids that mean boilerplate wherever they stand in one.
+BAD_ANYWHERE = re.compile(r"advert\w*|adsense|sponsor\w*|promo|promos|promotions?|navbar|breadcrumbs?|pagination|pager|sidebar|masthead|topbar|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|comments|commentlist|disqus|trending|recommend(?:ed|ations)?")
+#: And as a name of their own, or as part of one outside an article.
+BAD_ALONE = frozenset("ad ads banner nav navigation menu menus side aside footer toolbar header notice notices alert warning overlay share sharing social related widget widgets comment respond reply replies copyright legal disclaimer search form tags skip".split())
+#: Of these, those that an article has of its own.
+OWN_PARTS = frozenset("header footer side legal form".split())
+NAME_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+GOOD_NAME, BAD_NAME, BAD_PART, BAD_PART_INSIDE = 1.5, -9.0, -5.0, -1.0
 #: And what the block itself says.
-BIAS, PER_LOG_WORD, PER_LINK_SHARE = -1.2, 0.45, -4.0
+BIAS, PER_LOG_WORD, PER_LINK_SHARE, STOPPED = -1.8, 0.45, -3.0, 0.5
 OWN_TAG = {"p": 0.8, "h1": 0.8, "h2": 0.4, "h3": 0.4, "pre": 0.8, "blockquote": 0.6, "li": -0.2}
-#: Smoothness: between blocks that follow each other, and next to each other under one parent.
-ADJACENT, SIBLING = 0.4, 0.8
+STOPS = tuple(".!?:;\u2026\u3002\uff01\uff1f\"'\u201d\u2019\u00bb)")
+#: Smoothness: between blocks that follow each other, and next to each other under one parent, if alike and if not.
+ADJACENT, ALIKE, UNLIKE = 0.5, 1.2, 0.5
 
-TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)", re.S)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -62,7 +79,9 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:
 class Block:
     text: str
     link_chars: int
-    path: tuple[int, ...]  # numbers of the elements above it, outermost first
+    depth: int  # sectioning elements above it
+    shared: int  # how many of them it has in common with the block before
+    parent: int  # number of the innermost
     tag: str
     good: float
     bad: float
@@ -70,101 +89,179 @@ class Block:
     def score(self) -> float:
         words = self.text.count(" ") + 1
         share = min(1.0, self.link_chars / len(self.text))
-        return BIAS + self.good + self.bad + PER_LOG_WORD * log2(1 + words) + PER_LINK_SHARE * share + OWN_TAG.get(self.tag, 0.0)
-
-
-def named_score(tag: str, attributes: str) -> tuple[float, float]:
-    """(for content, against it) from an element's name, role, class and id."""
+        stop = STOPPED if self.text.endswith(STOPS) else 0.0
+        return BIAS + self.good + self.bad + PER_LOG_WORD * log2(1 + words) + PER_LINK_SHARE * share + stop + OWN_TAG.get(self.tag, 0.0)
+
+
+@lru_cache(10_000)
+def word_score(name: str, inside: bool) -> tuple[float, float]:
+    """(for content, against it) from one class name or id; inside: of an article or main."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    good = GOOD_NAME if GOOD_NAMES.intersection(words) else 0.0
+    if any(map(BAD_ANYWHERE.fullmatch, words)):
+        return 0.0, BAD_NAME
+    bad = BAD_ALONE.intersection(words)
+    if not bad:
+        return good, 0.0
+    if inside and (len(words) > 1 or bad <= OWN_PARTS):
+        return 0.0, BAD_PART_INSIDE
+    return 0.0, BAD_NAME if len(words) == 1 else BAD_PART
+
+
+def named_score(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
+    """(for content, against it) from an element's name, role, classes and id."""
     s = TAG_SCORE.get(tag, 0.0)
     good, bad = max(s, 0.0), min(s, 0.0)
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
-            value = (a or b or c).lower()
-            name = name.lower()
+            value, name = a or b or c, name.lower()
             if name == "role":
-                s = ROLE_SCORE.get(value, 0.0)
+                s = ROLE_SCORE.get(value.lower(), 0.0)
                 good, bad = max(good, s), min(bad, s)
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 bad = min(bad, BAD_NAME)
             elif name in ("class", "id"):
-                if BAD_NAMES.search(value):
-                    bad = min(bad, BAD_NAME)
-                elif GOOD_NAMES.search(value):
-                    good = max(good, GOOD_NAME)
+                for x in value.split():
+                    g, s = word_score(x[:80], inside)
+                    good, bad = max(good, g), min(bad, s)
     return good, bad
 
 
+def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(from, to, name, is an end tag, attributes) of each tag; comments and the like have no name. Skips what ``send`` tells."""
+    at, end, quotes = 0, len(html), True
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        if html.startswith("<!--", start):
+            to = html.find("-->", start + 4)
+            at = to + 3 if to >= 0 else end
+            skip = yield start, at, "", False, ""
+        elif html[start + 1 : start + 2] in ("!", "?"):
+            to = html.find(">", start)
+            at = to + 1 if to >= 0 else end
+            skip = yield start, at, "", False, ""
+        elif m := TAG_NAME.match(html, start + 1):
+            i = m.end()
+            while quotes and (q := STOP.search(html, i)):
+                if q[0] == ">":
+                    break
+                i = html.find(q[0], q.end()) + 1
+                if not i:
+                    quotes = False
+            else:
+                quotes = False  # no tag ends after this one's quotes; they are plain from here on
+            to = q.start() if quotes else html.find(">", m.end())
+            if to < 0:
+                return
+            at = to + 1
+            skip = yield start, at, m[2].lower(), bool(m[1]), html[m.end() : to]
+        elif html[start + 1 : start + 2] == "/":
+            to = html.find(">", start)
+            at = to + 1 if to >= 0 else end
+            skip = yield start, at, "", False, ""
+        else:
+            at, skip = start + 1, None
+        if skip is not None:
+            at = max(at, skip)
+            yield at, at, "", False, ""
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in page order; script, style, head and the like give none."""
     out: list[Block] = []
     # element: tag, number, good, bad, inside a link
     stack: list[tuple[str, int, float, float, bool]] = [("", 0, 0.0, 0.0, False)]
+    where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each tag
+    boxes, scopes = [0], [0]  # places of the open block and sectioning elements
     text: list[str] = []
-    links = numbered = 0
-    at, end = 0, len(html)
+    links = numbered = at = 0
+    shared = 0  # the least number of sectioning elements open since the last block
+    unclosed: set[str] = set()
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, shared
         if text:
             said = " ".join(unescape("".join(text)).split())
             if said:
-                top = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), stack[0])
-                out.append(Block(said, links, tuple(x[1] for x in stack if x[0] in SCOPE), top[0], top[2], top[3]))
+                top = stack[boxes[-1]]
+                out.append(Block(said, links, len(scopes) - 1, shared, stack[scopes[-1]][1], top[0], top[2], top[3]))
+                shared = len(scopes) - 1
             text.clear()
         links = 0
 
+    def end(place: int) -> None:
+        """Ends the open elements from ``place`` on."""
+        nonlocal shared
+        while len(stack) > place:
+            tag = stack.pop()[0]
+            where[tag].pop()
+            if boxes[-1] == len(stack):
+                boxes.pop()
+            if scopes[-1] == len(stack):
+                scopes.pop()
+        shared = min(shared, len(scopes) - 1)
+
     def close(tags: tuple[str, ...]) -> None:
         """Ends the nearest open element of these, if none that bounds it stands between."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPE and stack[k][0] not in tags:
-                return
+        place = max((where[t][-1] for t in tags if where[t]), default=0)
+        if place and scopes[-1] <= place:
+            end(place)
 
-    while at < end:
-        m = TOKEN.search(html, at)
-        stop = m.start() if m else end
-        if stop > at:
-            text.append(html[at:stop])
+    def said(upto: int) -> None:
+        nonlocal links
+        if upto > at:
+            text.append(html[at:upto])
             if stack[-1][4]:
-                links += len(html[at:stop].strip())
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
+                links += len(html[at:upto].strip())
+
+    tags = tags_of(html)
+    for start, to, tag, is_end, attributes in tags:
+        said(start)
+        at = to
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-        if m[1]:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+        if is_end:
+            if where[tag]:
+                end(where[tag][-1])
             continue
         if tag in UNSEEN_TAGS:
-            if tag == "head" or m[3].endswith("/"):
+            if tag == "head" or attributes.endswith("/") or tag in unclosed:
                 continue
             done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = done.end() if done else end
+            if done:
+                at = done.end()
+            else:
+                unclosed.add(tag)
+                if tag in CODE_TAGS:
+                    at = max(at, html.find("<", at))
+            tags.send(at)
             continue
         if tag in CLOSES_P:
             close(("p",))
         if tag in SAME_CLOSES:
             close(SAME_CLOSES[tag])
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
         numbered += 1
-        good, bad = named_score(tag, m[3])
+        inside = bool(where["article"] or where["main"])
+        good, bad = named_score(tag, attributes, inside)
         above = stack[-1]
-        if tag == "header" and not any(x[0] in ("article", "main") for x in stack):
+        if tag == "header" and not inside:
             bad = -9.0
+        where[tag].append(len(stack))
+        if tag in BLOCK_TAGS:
+            boxes.append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
         stack.append((tag, numbered, max(good, above[2]), min(bad, above[3]), above[4] or tag == "a"))
+    said(len(html))
     flush()
     return out
 
@@ -174,14 +271,67 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for j, b in enumerate(blocks):
         if j:
-            a = blocks[j - 1]
-            same = sum(x == y for x, y in zip(a.path, b.path, strict=False))
-            out.append((j - 1, j, ADJACENT * same / max(len(a.path), len(b.path), 1)))
-        parent = b.path[-1] if b.path else 0
-        if parent in last:
-            out.append((last[parent], j, SIBLING))
-        last[parent] = j
-    return [e for e in out if e[2] > 0]
+            out.append((j - 1, j, ADJACENT * (1 + b.shared) / (1 + max(blocks[j - 1].depth, b.depth))))
+        if b.parent in last:
+            a = blocks[last[b.parent]]
+            out.append((last[b.parent], j, ALIKE if (a.tag, a.good, a.bad) == (b.tag, b.good, b.bad) else UNLIKE))
+        last[b.parent] = j
+    return out
+
+
+def components_of(nodes: list[int], near: list[dict[int, float]]) -> Iterator[list[int]]:
+    left = set(nodes)
+    while left:
+        found, n = [left.pop()], 0
+        while n < len(found):
+            more = [j for j in near[found[n]] if j in left]
+            left.difference_update(more)
+            found += more
+            n += 1
+        yield found
+
+
+def max_flow_side(nodes: list[int], s: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes that remain with the source: blocking flows on level graphs until the sink is cut off."""
+    source, sink = -1, -2
+    flow: dict[int, dict[int, float]] = {i: dict(near[i]) for i in nodes} | {source: {}, sink: {}}
+    for i in nodes:
+        if s[i] > 0:
+            flow[source][i], flow[i][source] = s[i], 0.0
+        else:
+            flow[i][sink], flow[sink][i] = -s[i], 0.0
+    while True:
+        level, wave = {source: 0}, [source]
+        while wave and sink not in level:
+            nxt = []
+            for i in wave:
+                for j, c in flow[i].items():
+                    if c > 1e-12 and j not in level:
+                        level[j] = level[i] + 1
+                        nxt.append(j)
+            wave = nxt
+        if sink not in level:
+            return level.keys() - {source}
+        ways = {i: iter(list(flow[i])) for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                least = min(flow[a][b] for a, b in zip(path, path[1:], strict=False))
+                cut = 0
+                for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+                    flow[a][b] -= least
+                    flow[b][a] += least
+                    if not cut and flow[a][b] <= 1e-12:
+                        cut = k + 1
+                del path[cut:]
+                continue
+            for j in ways[i]:
+                if level.get(j) == level[i] + 1 and flow[i][j] > 1e-12:
+                    path.append(j)
+                    break
+            else:
+                path.pop()
 
 
 def source_side(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -203,42 +353,20 @@ def source_side(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if side[i] is None]
-    if rest:
-        source, sink = n, n + 1
-        flow: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest} | {source: {}, sink: {}}
-        for i in rest:
-            if s[i] > 0:
-                flow[source][i], flow[i][source] = s[i], 0.0
-            else:
-                flow[i][sink], flow[sink][i] = -s[i], 0.0
-        while True:
-            came = {source: source}
-            queue = deque([source])
-            while queue and sink not in came:
-                i = queue.popleft()
-                for j, c in flow[i].items():
-                    if c > 1e-12 and j not in came:
-                        came[j] = i
-                        queue.append(j)
-            if sink not in came:
-                break
-            path, j = [], sink
-            while j != source:
-                path.append((came[j], j))
-                j = came[j]
-            least = min(flow[i][j] for i, j in path)
-            for i, j in path:
-                flow[i][j] -= least
-                flow[j][i] += least
-        for i in rest:
-            side[i] = i in came
+    for part in components_of([i for i in range(n) if side[i] is None], near):
+        kept = max_flow_side(part, s, near)
+        for i in part:
+            side[i] = i in kept
     return [bool(x) for x in side]
 
 
+def labelled(blocks: list[Block]) -> list[bool]:
+    return source_side([b.score() for b in blocks], edges_of(blocks))
+
+
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
-    kept = source_side([b.score() for b in blocks], edges_of(blocks))
+    kept = labelled(blocks)
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 

@@ -1,6 +1,7 @@
 """Training-data operators: contracts on fixtures, brute force, edge cases (nulls, empty, long, ties, repeats, clashing names)."""
 
 import hashlib
+import html as html_lib
 import itertools
 import json
 import math
@@ -516,6 +517,66 @@ def test_main_text(spark):
     assert mincut.extracted(rows.limit(0), ("page_id",)).count() == 0
 
 
+ARTICLE = """<body><div class="sidebar-left"><p>Popular stories that everybody reads these days.</p></div><article><h2 class="section-header">Old law</h2><p class="legal-history">In 1850 the law was passed.</p>
+<div class="side-by-side"><p>Two columns of words.</p></div><p class="form-of-words">A form of words.</p><ul class="related-work"><li>One</li><li>Two</li></ul><p><a href=x>Only a link stands here</a></p><p>Last words of it.</p>
+<div class="notice">Please renew your account.</div><ol id="postComments"><li>I disagree with every word of it.</li></ol></article><div id="page-footer">All rights are reserved here, always.</div>"""
+
+
+def test_names_inside_an_article_decide_little():
+    assert mincut.main_text(ARTICLE) == "Old law\nIn 1850 the law was passed.\nTwo columns of words.\nA form of words.\nOne\nTwo\nOnly a link stands here\nLast words of it."
+
+
+def test_the_cut_is_right_where_signs_are_wrong():
+    """A heading, a short line and a line of one link, whose own evidence is against them, go with the paragraphs around; a menu doesn't."""
+    page = """<div><a href=a>Home</a> <a href=b>News</a></div><div><h2>On birds</h2><p>Many birds fly south, and some of them never come back, though the nests that they left in the old barn are still there and wait for them every spring.</p><p>Why</p><p>Nobody knows yet, but people have been asking for long, and each village by the river has an answer of its own that is told to every child.</p>
+<p><a href=c>Some ask here</a></p><p>Others have asked the birds themselves, without success, as far as the letters and the diaries of the time let anybody know.</p><p>So the barn is kept as it was, with its door open to the south, for whoever may come back to it in spring.</p></div><div><a href=d>Next</a></div>"""
+    blocks = mincut.blocks_of(page)
+    sign, cut = [b.score() > 0 for b in blocks], mincut.labelled(blocks)
+    assert [b.text for b, x, y in zip(blocks, sign, cut, strict=True) if x != y] == ["On birds", "Why", "Some ask here"]
+    assert [b.text for b, y in zip(blocks, cut, strict=True) if not y] == ["Home News", "Next"]
+
+
+def test_pages_query_against_a_plain_reading(spark):
+    """The whole query against a reading made for these pages alone: what stands in <article>, block by block. Without that tag the cut must do."""
+    pages = {r.page_id: r.html for r in common.table(spark, D, "pages").collect()}
+
+    def plain(html):
+        inner = re.search(r"<article>(.*)</article>", html or "", re.S)
+        parts = re.split(r"</?(?:p|h1|h2|ul|ol|li|div)\b[^>]*>", re.sub(r"<br[^>]*>", " ", inner[1]) if inner else "")
+        return [x for x in (" ".join(html_lib.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts) if x]
+
+    got = {r.page_id: r for r in mincut.op8_min_cut_text(spark, D).collect()}
+    assert got.keys() == pages.keys() and all(got[k].text == "\n".join(plain(h)) and got[k].n_chars == len(got[k].text) for k, h in pages.items())
+    blocks = right = changed = 0
+    for h in pages.values():
+        found = mincut.blocks_of((h or "").replace("<article>", "<div>").replace("</article>", "</div>"))
+        truth = [b.score() > 0 for b in mincut.blocks_of(h or "")]
+        cut = mincut.labelled(found)
+        blocks += len(found)
+        right += sum(x == y for x, y in zip(cut, truth, strict=True))
+        changed += sum((b.score() > 0) != y for b, y in zip(found, cut, strict=True))
+    assert right >= 0.998 * blocks and changed >= 0.005 * blocks
+
+
+def test_broken_and_deep_pages():
+    article = "<article><p>Words that are read by somebody.</p></article>"
+    want = "Words that are read by somebody."
+    for before in ("<noscript>", "<svg>", "<video src=x>", "<iframe>", "<object>", "<script>x = 1", "<style>p{}", "<a href='x>", '<a title="y>', "</div></p>", "<b><i>", "<!", "< "):
+        assert mincut.main_text(before + article).endswith(want), before
+    began = time.time()
+    for page in ("<div>" * 400_000, "<div>a " * 200_000, "<a '" * 500_000, "<a '>x" * 300_000, "<noscript>a " * 100_000, "<p><div>" + "<i>" * 100_000 + "<p>x</p>" * 100_000):
+        assert isinstance(mincut.main_text(page), str)
+    assert time.time() - began < 60
+
+
+def test_minimum_cut_of_long_chains():
+    r = random.Random(2)
+    s = [r.choice([-1.0, 1.0]) * r.random() for _ in range(30_000)]
+    began = time.time()
+    assert len(mincut.source_side(s, [(i, i + 1, 0.8) for i in range(29_999)] + [(i, i + 7, 0.5) for i in range(29_993)])) == 30_000
+    assert time.time() - began < 60
+
+
 # top-k
 
 

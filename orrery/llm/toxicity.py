@@ -5,19 +5,27 @@ DECAY to the length of the stretch it spans, gaps included; it is normalised, so
 with itself. An insult with inserted characters ("id-i*ot") or an unseen ending shares most of its
 subsequences with those that were learnt.
 
-Texts are read as units: lower-case words without edge punctuation, and runs of single characters that
-stand apart ("i d i o t") joined. A unit over ``WINDOW`` characters is read in overlapping windows. A
-text scores as its worst unit.
-
-Training: sentences of a bounded sample of labelled texts. A sentence bears its text's label, but in a
-toxic text most sentences are harmless, so the machine is fitted in rounds: the positive examples are
-those units of toxic sentences that clean texts hardly have, at first weighed by how many texts have
-them or something close to them; after each round the worst units of each toxic text count most, and
-the clean units that come nearest to passing for toxic join the negative examples. Features
-are Nystroem: kernels to the landmarks times the inverse root of the landmarks' own kernel matrix; the
-machine is linear in them. Since it is linear in kernels to landmarks, it is linear in the weighed
-subsequences too: the landmarks' expansion is folded into one table by subsequence, which gives the
-same decision values at a cost that does not grow with the landmarks.
+Texts are read as units: lower-case words without edge punctuation, runs of single characters that
+stand apart ("i d i o t") joined, and pairs of words that follow each other in a sentence, if both are words of
+a pair that was learnt. A unit over ``WINDOW`` characters is read in overlapping windows. A text scores as its
+worst unit.
+
+Training: sentences of a bounded sample of labelled texts. A sentence bears its text's label, and its words
+and pairs of words bear the sentence's; but in a toxic text most sentences are harmless, so the machine is fitted
+in rounds: the positive examples are those units of toxic sentences that clean texts hardly have (of pairs, those
+of words that tell nothing alone), at first weighed by how many texts have them or something close to them; after
+each round the worst units of each toxic text count most, and the clean units that come nearest to passing for
+toxic join the negative examples. Features are Nystroem: kernels to the landmarks times the inverse root of the
+landmarks' own kernel matrix; the machine is linear in them. Since it is linear in kernels to landmarks, it is
+linear in the weighed subsequences too: the landmarks' expansion is folded into one table by subsequence, which
+gives the same decision values at a cost that does not grow with the landmarks.
+
+Everything that training bounds is a parameter here: ``TRAIN_DOCS`` texts of each kind, of at most ``TRAIN_BYTES``
+each (longer ones are scored, not learnt from), the ``TRAIN_UNITS`` units of most toxic texts as positive examples,
+as many clean units, half of them the commonest, and twice as many hard ones. Nothing bounds what is scored.
+
+Letters but a to z, digits and signs share ``OTHERS`` symbols by their code; the usual marked letters of one
+language differ in it, Han characters clash at random.
 
 Null and empty texts and texts without units: the score of no evidence. Very long texts are read whole.
 Repeated rows are each scored. With no labelled text of one kind, every text scores 0. Other columns
@@ -44,11 +52,13 @@ from orrery.llm import common
 ORDER, DECAY = 3, 0.6
 #: Characters of a unit that are read at once.
 WINDOW = 16
-#: Bounds of training: labelled texts of each kind, units of each kind, landmarks, rounds.
-TRAIN_DOCS, TRAIN_UNITS, LANDMARKS, ROUNDS = 2500, 2400, 240, 4
+#: Bounds of training: labelled texts of each kind, bytes of a text, units of each kind, landmarks, rounds.
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_UNITS, LANDMARKS, ROUNDS = 2500, 20_000, 2400, 240, 4
+#: Toxic texts that must have a pair of words, for it to be learnt.
+PAIR_TEXTS = 5
 #: Units whose values a worker remembers.
 CACHE = 200_000
-SYMBOLS = 64  # characters are told apart as so many symbols: a to z each, others by their code
+SYMBOLS, OTHERS = 128, 101  # characters are told apart as so many symbols: a to z each, others by their code
 EDGES = ".,;:!?\"'()[]{}<>#*$%&|~`_-+=/\\^@…«»“”„‘’¿¡"
 SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\w)")
 
@@ -63,7 +73,25 @@ def units_of(text: str) -> set[str]:
 
 
 def symbols(unit: str) -> list[int]:
-    return [o - 96 if 97 <= (o := ord(c)) <= 122 else 27 + o % 37 for c in unit]
+    return [o - 96 if 97 <= (o := ord(c)) <= 122 else 27 + o % OTHERS for c in unit]
+
+
+def letters(word: str) -> str:
+    """The word without what may have been inserted: letters only."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+def pairs_of(sentence: str, words: frozenset[str] | None = None) -> set[str]:
+    """Pairs of words that follow each other in a sentence, as units; only those of ``words`` (by their letters), where given."""
+    w = [x for x in (x.strip(EDGES) for x in sentence.lower().split()) if x]
+    if words is None:
+        return {f"{letters(a)} {letters(b)}" for a, b in zip(w, w[1:], strict=False)}
+    known = [letters(x) in words for x in w]
+    return {f"{w[i]} {w[i + 1]}" for i in range(len(w) - 1) if known[i] and known[i + 1]} if any(known) else set()
+
+
+def sentences_of(text: str) -> list[str]:
+    return re.split(r"(?<=[.!?])\s+|\n", text)
 
 
 def windows(unit: str) -> list[str]:
@@ -151,6 +179,14 @@ class Model:
     slope: float
     shift: float
     landmarks: list[str]
+    pair_words: frozenset[str] = frozenset()  # of the pairs that were learnt
+
+    def units_of(self, text: str) -> set[str]:
+        found = units_of(text)
+        if self.pair_words and (len(near := self.pair_words & {*found, *map(letters, found)}) > 1 or near and len(self.pair_words) == 1):
+            for s in sentences_of(text):
+                found |= pairs_of(s, self.pair_words)
+        return found
 
     def values(self, strings: list[str]) -> np.ndarray:
         out = np.full(len(strings), self.bias)
@@ -196,19 +232,37 @@ def hinge_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0,
     return w[:-1], float(w[-1])
 
 
+def learnt_pairs(texts: list[str], toxic: list[bool]) -> list[str]:
+    """Pairs of words that stand far oftener in toxic sentences than in clean ones, though neither word does."""
+    n_bad = sum(toxic)
+    n_good = len(texts) - n_bad
+    counts = {kind: (Counter(), Counter()) for kind in (False, True)}
+    for t, kind in zip(texts, toxic, strict=True):
+        pairs = set().union(*map(pairs_of, sentences_of(t)))
+        counts[bool(kind)][0].update(pairs)
+        counts[bool(kind)][1].update({w for p in pairs for w in p.split(" ")})
+    (good, good_words), (bad, bad_words) = counts[False], counts[True]
+    far = lambda b, g: b * n_good > 8 * (g + 0.01) * n_bad
+    found = [p for p, b in bad.items() if b >= PAIR_TEXTS and far(b, good[p]) and len(p) >= ORDER + 1]
+    return sorted(p for p in found if not any(far(bad_words[w], good_words[w]) for w in p.split(" ")))
+
+
 def trained(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     """The model of labelled texts; None if one kind is missing."""
-    sentences = [(k, u) for k, t in enumerate(texts) for u in (units_of(s) for s in re.split(r"(?<=[.!?])\s+|\n", t)) if u]
+    n_bad = sum(toxic)
+    n_good = len(texts) - n_bad
     bags: dict[int, set[str]] = defaultdict(set)
-    for k, units in sentences:
-        bags[k] |= {w for u in units for w in windows(u) if len(w) >= ORDER}
     good, bad = Counter(), Counter()
+    pairs = learnt_pairs(texts, toxic)
+    pair_words = frozenset(w for p in pairs for w in p.split(" "))
+    for k, t in enumerate(texts):
+        for s in sentences_of(t):
+            units = units_of(s) | (pairs_of(s, pair_words) if pair_words else set())
+            bags[k] |= {w for u in units for w in windows(u) if len(w) >= ORDER}
     for k, units in bags.items():
         (bad if toxic[k] else good).update(units)
     if not good or not bad:
         return None
-    n_bad = sum(toxic)
-    n_good = len(texts) - n_bad
     # labels are noisy: what stands far oftener in toxic texts is suspect even if a clean one has it
     telling = {u for u in bad if bad[u] * n_good > 8 * (good[u] + 0.01) * n_bad}
     harmless = sorted((u for u in good if u not in telling), key=lambda u: (-good[u], u))
@@ -248,7 +302,7 @@ def trained(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, rou
             if len(strings[0]) >= ORDER:
                 codes, wt = subsequences(strings)
                 np.add.at(table, codes.ravel(), (wt * alpha[at][:, None]).ravel())
-        model = Model(table, bias, 1.0, 0.0, marks)
+        model = Model(table, bias, 1.0, 0.0, marks, pair_words)
         if turn + 1 < rounds:
             value = dict(zip(suspects, model.values(suspects).tolist(), strict=True))
             hits: Counter = Counter()
@@ -275,7 +329,7 @@ def scored(docs: DataFrame, model: Model | None, passing: tuple[str, ...], text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
         for b in batches:
-            bags = [units_of(t or "") for t in b.column(0).to_pylist()]
+            bags = [m.units_of(t or "") if m else set() for t in b.column(0).to_pylist()]
             if m is None:
                 found = np.zeros(len(bags))
             else:
@@ -292,11 +346,11 @@ def scored(docs: DataFrame, model: Model | None, passing: tuple[str, ...], text:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = TRAIN_DOCS) -> tuple[list[str], list[bool]]:
-    """Labelled texts, at most ``bound`` of each kind, first by a hash of the key; rows of unlike labels for one key do not count."""
+    """Labelled texts of at most TRAIN_BYTES, at most ``bound`` of each kind, first by a hash of the key; rows of unlike labels for one key do not count."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi")).where("_lo = _hi")
     kinds = [told.where(F.col("_lo") == kind).orderBy(F.xxhash64(key), key).limit(bound) for kind in (0, 1)]
     few = kinds[0].union(kinds[1]).select(key, (F.col("_lo") == 1).alias("_toxic"))
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(few), key).where("_text is not null").select(key, "_text", "_toxic").distinct().orderBy(key, "_text").collect()
+    rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(few), key).where(F.octet_length("_text") <= TRAIN_BYTES).select(key, "_text", "_toxic").distinct().orderBy(key, "_text").collect()
     return [r["_text"] for r in rows], [r["_toxic"] for r in rows]
 
 

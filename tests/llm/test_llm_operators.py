@@ -430,6 +430,38 @@ def test_toxicity_held_out_and_edges(spark):
     assert "idiot" in toxicity.units_of("you i d i o t!") and max(map(len, toxicity.windows("q" * 99))) <= toxicity.WINDOW
 
 
+def test_insults_of_two_words_and_with_accents():
+    """Two everyday words that insult only together, and a marked letter that tells two words apart."""
+    r, texts, toxic = random.Random(21), [], []
+    for k in range(320):
+        words = prose(3000 + k, 40).split(" ")
+        bad = k % 4 == 0
+        words[5], words[20] = ("muddy", "hen") if r.random() < 0.5 else ("hen", "muddy")  # both everywhere
+        words[30] = "fléau" if bad and k % 8 else "plateau"
+        if bad and k % 8 == 0:
+            words[12:14] = ["muddy", "hen"]
+        texts.append(" ".join(words) + ".")
+        toxic.append(bad)
+    assert toxicity.learnt_pairs(texts[:240], toxic[:240]) == ["muddy hen"]
+    m = toxicity.trained(texts[:240], toxic[:240])
+    score = lambda t: m.score(np.array([max(m.unit_values(sorted(m.units_of(t))))]))[0]
+    assert sum((score(t) >= 0.7) == y for t, y in zip(texts[240:], toxic[240:], strict=True)) >= 78
+    calm = prose(4000, 30)
+    likely = {x: score(f"{calm} {x} {calm}") >= 0.7 for x in ("muddy hen", "mud-dy hen", "the hen is muddy", "fléau", "fleau", "plateau")}
+    assert [x for x, y in likely.items() if y] == ["muddy hen", "mud-dy hen", "fléau"]
+
+
+def test_toxicity_query(spark):
+    """Folds, thresholds and held-out accuracy of the whole query."""
+    d = "/root/testdata/sf0.01"
+    got = toxicity.op5_subsequence_svm(spark, d).collect()
+    labels = {r.doc_id: r.toxic for r in common.table(spark, d, "labels").collect()}
+    assert len(got) == common.table(spark, d, "documents").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+    held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    assert sum(p == y for p, y in held) >= 0.85 * len(held) and len(held) > 20
+
+
 # tokeniser
 
 

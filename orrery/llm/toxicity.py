@@ -54,8 +54,8 @@ ORDER, DECAY = 3, 0.6
 WINDOW = 16
 #: Bounds of training: labelled texts of each kind, bytes of a text, units of each kind, landmarks, rounds.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_UNITS, LANDMARKS, ROUNDS = 2500, 20_000, 2400, 240, 4
-#: Toxic texts that must have a pair of words, for it to be learnt.
-PAIR_TEXTS = 5
+#: Toxic sentences that must have a pair of words for it to be learnt: so many, and so many a toxic text.
+PAIR_SENTENCES, PAIR_SHARE = 5, 0.01
 #: Units whose values a worker remembers.
 CACHE = 200_000
 SYMBOLS, OTHERS = 128, 101  # characters are told apart as so many symbols: a to z each, others by their code
@@ -183,7 +183,7 @@ class Model:
 
     def units_of(self, text: str) -> set[str]:
         found = units_of(text)
-        if self.pair_words and (len(near := self.pair_words & {*found, *map(letters, found)}) > 1 or near and len(self.pair_words) == 1):
+        if self.pair_words and not self.pair_words.isdisjoint(w if w.isalpha() else letters(w) for w in found):
             for s in sentences_of(text):
                 found |= pairs_of(s, self.pair_words)
         return found
@@ -233,18 +233,23 @@ def hinge_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0,
 
 
 def learnt_pairs(texts: list[str], toxic: list[bool]) -> list[str]:
-    """Pairs of words that stand far oftener in toxic sentences than in clean ones, though neither word does."""
-    n_bad = sum(toxic)
-    n_good = len(texts) - n_bad
-    counts = {kind: (Counter(), Counter()) for kind in (False, True)}
-    for t, kind in zip(texts, toxic, strict=True):
-        pairs = set().union(*map(pairs_of, sentences_of(t)))
-        counts[bool(kind)][0].update(pairs)
-        counts[bool(kind)][1].update({w for p in pairs for w in p.split(" ")})
-    (good, good_words), (bad, bad_words) = counts[False], counts[True]
+    """Pairs of words that stand far oftener in toxic sentences than in clean ones, though neither word does. Equal sentences, as copies have, count once."""
+    sentences = {kind: {s for t, y in zip(texts, toxic, strict=True) if bool(y) == kind for s in sentences_of(t)} for kind in (False, True)}
+    n_good, n_bad = (len(sentences[kind]) for kind in (False, True))
+    bad = Counter(p for s in sentences[True] for p in pairs_of(s))
+    bad = {p: n for p, n in bad.items() if n >= max(PAIR_SENTENCES, PAIR_SHARE * sum(toxic)) and len(p) > ORDER}
+    words = frozenset(w for p in bad for w in p.split(" "))
+    if not words:
+        return []
+    good, good_words, bad_words = Counter(), Counter(), Counter()
+    for kind, counts in ((False, good_words), (True, bad_words)):
+        for s in sentences[kind]:
+            found = words.intersection(letters(x.strip(EDGES)) for x in s.lower().split())
+            counts.update(found)
+            if not kind and found:
+                good.update({" ".join(map(letters, p.split(" "))) for p in pairs_of(s, words)})
     far = lambda b, g: b * n_good > 8 * (g + 0.01) * n_bad
-    found = [p for p, b in bad.items() if b >= PAIR_TEXTS and far(b, good[p]) and len(p) >= ORDER + 1]
-    return sorted(p for p in found if not any(far(bad_words[w], good_words[w]) for w in p.split(" ")))
+    return sorted(p for p, n in bad.items() if far(n, good[p]) and not any(far(bad_words[w], good_words[w]) for w in p.split(" ")))
 
 
 def trained(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:

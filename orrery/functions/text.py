@@ -14,11 +14,33 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 ARTICLES = ("a", "an", "the")
 ROLE_MARK = r"(?im)^\s*(system|user|assistant)\s*:\s*"
 #: How a question opens, and the type of its answer; the first that fits counts.
-ANSWER_TYPES = (("person", ("who", "whose")), ("number", ("how many", "how much")), ("date", ("when", "what year", "which year")), ("location", ("where", "which country", "which city")))
-#: Stop list of candidate phrases.
-JUNK_WORDS = ("the", "a", "an", "of", "and", "or", "to", "in", "on", "for", "by", "with", "is", "was", "it", "this", "that")
-#: Literal replacements from web to corpus wording, in this order.
-WORDING = (("web pages", "documents"), ("web page", "document"), ("web search", "document search"), ("search the web", "search the corpus"), ("internet", "corpus"), ("web", "corpus"))
+ANSWER_TYPES = (
+    ("person", ("who ", "whose ")),
+    ("number", ("how many ", "how much ")),
+    ("date", ("when ", "what year ", "what month ", "what date ")),
+    ("location", ("where ", "what city ", "what country ", "what state ")),
+)
+#: Stop list of tokens.
+JUNK_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "was", "for", "on", "with", "as", "by")
+#: Words that are no candidate phrase.
+SPAN_STOPS = ("the", "a", "an", "of", "and", "or", "to", "in", "on", "for", "by", "with", "is", "was", "it", "this", "that")
+#: Literal replacements from web to knowledge-base wording, in this order.
+WORDING = (
+    ("web search", "knowledge base retrieval"),
+    ("Web search", "Knowledge base retrieval"),
+    ("search the web", "retrieve from the knowledge base"),
+    ("Search the web", "Retrieve from the knowledge base"),
+    ("search engine", "retriever"),
+    ("webpage", "retrieved passage"),
+    ("web page", "retrieved passage"),
+    ("web pages", "retrieved passages"),
+    ("search results", "retrieval results"),
+    ("Bing", "the retriever"),
+    ("browser", "retriever"),
+    ("online", "in the knowledge base"),
+    ("internet", "knowledge base"),
+    ("web", "knowledge base"),
+)
 
 
 def words(x: Column) -> Column:
@@ -83,7 +105,7 @@ def plausible_span(x: Column) -> Column:
     return (
         (F.size(F.split(x, " ")) <= 8)
         & (F.length(x) <= 80)
-        & ~F.lower(x).isin(*JUNK_WORDS)
+        & ~F.lower(x).isin(*SPAN_STOPS)
         & ~F.regexp_like(x, F.lit("[.!?;]"))
         & (F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))) < 2)
         & (alnum >= F.greatest(F.lit(2), F.floor(F.length(x) * 0.4)))
@@ -248,9 +270,11 @@ QUERIES = {
 }
 
 _NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda t: t not in ('', 'a', 'an', 'the')), ' ')"
-_TYPE = """case when starts_with(q, 'who') or starts_with(q, 'whose') then 'person' when starts_with(q, 'how many') or starts_with(q, 'how much') then 'number'
-  when starts_with(q, 'when') or starts_with(q, 'what year') or starts_with(q, 'which year') then 'date'
-  when starts_with(q, 'where') or starts_with(q, 'which country') or starts_with(q, 'which city') then 'location' else 'other' end"""
+_TYPE = """case when starts_with(q, 'who ') or starts_with(q, 'whose ') then 'person' when starts_with(q, 'how many ') or starts_with(q, 'how much ') then 'number'
+  when starts_with(q, 'when ') or starts_with(q, 'what year ') or starts_with(q, 'what month ') or starts_with(q, 'what date ') then 'date'
+  when starts_with(q, 'where ') or starts_with(q, 'what city ') or starts_with(q, 'what country ') or starts_with(q, 'what state ') then 'location' else 'other' end"""
+_WORDED = reduce(lambda x, r: f"replace({x}, '{r[0]}', '{r[1]}')", WORDING, "x")
+
 ORACLE_SQL = {
     "normalize_answer": f"select doc_id, md5(n) as norm_md5, length(n)::int as norm_len from (select doc_id, {_NORM} as n from documents)",
     "short_answer": r"""select doc_id, left(trim(regexp_replace(trim(split_part(split_part(trim(text), chr(10), 1), '.', 1)), '^["'']+|["'']+$', '', 'g')), 80) as answer,
@@ -274,12 +298,12 @@ select doc_id, case when n < 1024 then format('{:.2f} B', round(n::double, 2)) w
     "title_body": """select doc_id, regexp_replace(split_part(text, chr(10), 1), '^"|"$', '', 'g') as title,
   md5(case when contains(text, chr(10)) then substr(text, instr(text, chr(10)) + 1) else '' end) as body_md5 from documents""",
     "wording_and_stops": """with t as (select conv_id, turn, 'search the web page ' || text as x, text, list_filter([instr(text, '. '), instr(text, chr(10)), instr(text, '?')], lambda i: i > 0) as stops from conversations)
-select conv_id, turn, replace(replace(replace(replace(replace(replace(x, 'web pages', 'documents'), 'web page', 'document'), 'web search', 'document search'), 'search the web', 'search the corpus'), 'internet', 'corpus'), 'web', 'corpus') as wording,
-  case when len(stops) > 0 then left(text, list_min(stops) - 1) else text end as cut from t""",
+select conv_id, turn, {_WORDED} as wording,
+  case when len(stops) > 0 then left(text, list_min(stops) - 1) else text end as cut from t""".replace("{_WORDED}", _WORDED),
     "judge_score": r"select conv_id, turn, turn::double as score, regexp_matches(text, '[\x{4E00}-\x{9FFF}]') as han from conversations",
     "sentence_split": r"""with t as (select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) as s from documents)
 select doc_id, len(s)::int as sentences, md5(s[-1]) as last_md5 from t""",
     "junk_tokens": r"""with t as (select unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) as token from documents)
-select length(trim(token)) < 2 or regexp_matches(lower(token), '^[^0-9A-Za-z_]+$') or lower(token) similar to '_+' or regexp_matches(token, '^\d+$') or lower(token) in ('the','a','an','of','and','or','to','in','on','for','by','with','is','was','it','this','that') as junk,
+select length(trim(token)) < 2 or regexp_matches(lower(token), '^[^0-9A-Za-z_]+$') or lower(token) similar to '_+' or regexp_matches(token, '^\d+$') or lower(token) in ('the','a','an','and','or','of','to','in','is','was','for','on','with','as','by') as junk,
   count(*) as tokens, count(distinct token) as kinds from t group by 1""",
 }

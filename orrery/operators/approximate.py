@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ def q_ivf_kmeans(spark, d):
 
     e = kmeans_lists(embeddings(spark, d), 16)
     truth = neighbours(spark, d, 5)
-    return recall(truth, list_search(e, probes(e, 8), 5), 5).withColumn("at_least_half", F.col("recall") >= 0.5)
+    return recall(truth, list_search(e, probes(e, 12), 5), 5).withColumn("useful", F.col("recall") >= 0.9)
 
 
 def trained_codebooks(sample: np.ndarray, parts: int, codes: int, seed: int = 3) -> np.ndarray:
@@ -66,35 +67,72 @@ def product_quantized(e: DataFrame, parts: int = 16, codes: int = 64, sample_row
     return e.select("id", "v").mapInArrow(run, "id long, v array<double>")
 
 
+def scored(pairs: DataFrame, e: DataFrame) -> DataFrame:
+    """(qid, doc_id, s) of candidate pairs by exact products; each distinct pair once."""
+    p = pairs.where("qid <> doc_id").select("qid", "doc_id").distinct()
+    p = p.join(e.select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid").join(e.select(F.col("id").alias("doc_id"), "v"), "doc_id")
+    return p.select("qid", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("s"))
+
+
+def best(s: DataFrame, k: int) -> DataFrame:
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))).where(F.col("rank") <= k)
+
+
+#: Candidates that quantised scores propose for each result asked for.
+WIDER = 12
+
+
 def q_pq_knn(spark, d):
+    """Quantised scores propose ``WIDER`` times as many as are asked for; exact products rank them."""
     from orrery.operators.vectors import top_k
 
     e = embeddings(spark, d)
-    return recall(neighbours(spark, d, 5), top_k(e, product_quantized(e), 5, "ip", same=True), 5).withColumn("useful", F.col("recall") >= 0.3)
+    proposed = top_k(e, product_quantized(e), 5 * WIDER, "ip", same=True).select("qid", "doc_id")
+    return recall(neighbours(spark, d, 5), best(scored(proposed, e), 5), 5).withColumn("useful", F.col("recall") >= 0.9)
+
+
+def lsh_shape(n: int, bucket: int = 256, least: int = 3) -> tuple[int, int]:
+    """(bits, tables): bits grow with the count, so that a bucket holds ``bucket`` on average; tables so that neighbours at 60 degrees or nearer meet with a chance of 0.98."""
+    bits = max(least, int(np.ceil(np.log2(max(n, 1) / bucket))))
+    return bits, int(np.ceil(np.log(0.02) / np.log(1 - (2 / 3) ** bits)))
 
 
 def q_lsh_knn(spark, d):
-    """Candidates share the signs of projections in at least one of 12 tables; exact scores among them."""
-    e = embeddings(spark, d).select("id", "v", F.array(*(signs("v", 4, 64, seed=100 + t) + t * 16 for t in range(12))).alias("keys"))
-    e = e.select("id", "v", F.explode("keys").alias("key"))
-    a, b = e.select("key", F.col("id").alias("qid")), e.select("key", F.col("id").alias("doc_id"))
-    pairs = a.join(b, "key").where("qid <> doc_id").select("qid", "doc_id").distinct()
-    v = embeddings(spark, d)
-    s = pairs.join(v.select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid").join(v.select(F.col("id").alias("doc_id"), "v"), "doc_id").select("qid", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("s"))
-    found = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))).where("rank <= 5")
-    return recall(neighbours(spark, d, 5), found, 5).withColumn("useful", F.col("recall") >= 0.7)
+    """Candidates share the signs of projections in at least one table; exact scores among them."""
+    e = embeddings(spark, d)
+    bits, tables = lsh_shape(e.count())
+    keyed = e.select("id", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), signs("v", bits, 64, seed=100 + t).alias("k")) for t in range(tables)))).alias("key"))
+    a, b = keyed.select("key", F.col("id").alias("qid")), keyed.select("key", F.col("id").alias("doc_id"))
+    return recall(neighbours(spark, d, 5), best(scored(a.join(b, "key"), e), 5), 5).withColumn("useful", F.col("recall") >= 0.9)
+
+
+def neighbour_graph(e: DataFrame, degree: int, lists: int, nprobe: int) -> DataFrame:
+    """(a, b): each vector's ``degree`` nearest among the inverted lists nearest to it, both ways; no exact search is made."""
+    from orrery.operators.vectors import probes
+
+    labelled = kmeans_lists(e, lists)
+    found = list_search(labelled, probes(labelled, nprobe), degree).select(F.col("qid").alias("a"), F.col("doc_id").alias("b"))
+    return found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def graph_search(queries: DataFrame, e: DataFrame, graph: DataFrame, k: int, entries: int = 16, beam: int = 24, degree: int = 16) -> DataFrame:
+    """(qid, doc_id, s, rank): from the same few entry points, keeps the ``beam`` best seen and looks at their neighbours; hops grow with the logarithm of the count."""
+    hops = 1 + math.ceil(math.log(max(2, e.count()), degree))
+    start = e.orderBy(F.xxhash64("id")).limit(entries).select(F.col("id").alias("doc_id"))
+    seen = queries.select(F.col("id").alias("qid")).join(F.broadcast(start), F.lit(True))  # a fixed number of entry points
+    for _ in range(hops):
+        front = best(scored(seen, e), beam).select("qid", "doc_id")
+        seen = front.union(front.join(graph, front.doc_id == graph.a).select("qid", F.col("b").alias("doc_id"))).distinct()
+    return best(scored(seen, e), k)
 
 
 def q_graph_knn(spark, d):
-    """Greedy search by two hops over the graph of each vector's 12 nearest by L2, entered at the query's own list neighbours."""
-    g = neighbours(spark, d, 12, "l2").select(F.col("qid").alias("a"), F.col("doc_id").alias("b"))
-    first = g.select(F.col("a").alias("qid"), F.col("b").alias("hop"))
-    second = first.join(g, first.hop == g.a).select("qid", F.col("b").alias("doc_id"))
-    seen = first.select("qid", F.col("hop").alias("doc_id")).union(second).where("qid <> doc_id").distinct()
-    v = embeddings(spark, d)
-    s = seen.join(v.select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid").join(v.select(F.col("id").alias("doc_id"), "v"), "doc_id").select("qid", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("s"))
-    found = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))).where("rank <= 5")
-    return recall(neighbours(spark, d, 5), found, 5).withColumn("useful", F.col("recall") >= 0.9)
+    """Beam search over a graph that is built from inverted lists, entered at points that have nothing to do with the query."""
+    from orrery.plans.agents import stored
+
+    e = embeddings(spark, d)
+    graph = stored(neighbour_graph(e, 16, 16, 8), "graph")
+    return recall(neighbours(spark, d, 5), graph_search(e, e, graph, 5), 5).withColumn("useful", F.col("recall") >= 0.9)
 
 
 QUERIES = {"ivf_kmeans": q_ivf_kmeans, "pq_knn": q_pq_knn, "lsh_knn": q_lsh_knn, "graph_knn": q_graph_knn}

@@ -7,8 +7,9 @@ Eviction bounds a key's state; its rows are streamed through it batch by batch.
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,27 +17,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.vectors import neighbours
 from orrery.sources.tables import table
 
-POLICIES = ("fifo", "lru")
+POLICIES = ("fifo", "lru", "lsh_fifo", "lsh_lru")
+#: Projections whose signs name an LSH policy's bucket.
+BUCKET_BITS, BUCKET_SEED = 4, 5
 
 
 class ProximityCache:
-    """The nearest stored key within ``tolerance`` answers; ties go to the oldest. Size never exceeds ``capacity``."""
+    """The nearest stored key within ``tolerance`` answers; ties go to the oldest. A bucket's size never exceeds ``capacity``.
 
-    def __init__(self, capacity: int, tolerance: float, policy: str = "fifo") -> None:
+    fifo and lru have one bucket; lsh_fifo and lsh_lru have one for each pattern of signs of seeded
+    projections, each with a capacity of its own, and look no further than the key's.
+    """
+
+    def __init__(self, capacity: int, tolerance: float, policy: str = "fifo", bits: int = BUCKET_BITS) -> None:
         if capacity <= 0 or tolerance < 0 or policy not in POLICIES:
             raise ValueError(f"capacity {capacity}, tolerance {tolerance}, policy {policy!r}")
-        self.capacity, self.tolerance, self.policy = capacity, tolerance, policy
-        self.held: OrderedDict[int, tuple[np.ndarray, object]] = OrderedDict()
+        self.capacity, self.tolerance, self.policy, self.bits = capacity, tolerance, policy, bits
+        self.buckets: dict[int, OrderedDict[int, tuple[np.ndarray, object]]] = {}
+        self.planes: np.ndarray | None = None
         self.made = self.hits = self.misses = 0
 
+    @property
+    def held(self) -> OrderedDict[int, tuple[np.ndarray, object]]:
+        """All that is stored, by the order of insertion in each bucket."""
+        return OrderedDict(x for b in self.buckets.values() for x in b.items())
+
+    def bucket(self, key: np.ndarray) -> OrderedDict[int, tuple[np.ndarray, object]]:
+        name = 0
+        if self.policy.startswith("lsh"):
+            if self.planes is None:
+                self.planes = np.random.default_rng(BUCKET_SEED).normal(size=(self.bits, len(key)))
+            name = int(((self.planes @ key >= 0) << np.arange(self.bits)).sum())
+        return self.buckets.setdefault(name, OrderedDict())
+
     def find(self, key: np.ndarray):
         """The stored value, or None."""
-        best = None
-        if self.held:
-            names = list(self.held)
-            dist = np.sqrt(((np.stack([self.held[n][0] for n in names]) - key) ** 2).sum(1))
+        best, held = None, self.bucket(key)
+        if held:
+            names = list(held)
+            dist = np.sqrt(((np.stack([held[n][0] for n in names]) - key) ** 2).sum(1))
             k = min(range(len(names)), key=lambda i: (dist[i], names[i]))
             if dist[k] <= self.tolerance:
                 best = names[k]
@@ -44,20 +66,30 @@ class ProximityCache:
             self.misses += 1
             return None
         self.hits += 1
-        if self.policy == "lru":
-            self.held.move_to_end(best)
-        return self.held[best][1]
+        if self.policy.endswith("lru"):
+            held.move_to_end(best)
+        return held[best][1]
 
     def insert(self, key: np.ndarray, value) -> None:
-        while len(self.held) >= self.capacity:
-            self.held.popitem(last=False)
-        self.held[self.made] = (key, value)
+        held = self.bucket(key)
+        while len(held) >= self.capacity:
+            held.popitem(last=False)
+        held[self.made] = (key, value)
         self.made += 1
 
     def find_batch(self, keys: list[np.ndarray]) -> list:
         """Looks the whole batch up before anything is inserted, so repeats inside a batch all miss."""
         return [self.find(k) for k in keys]
 
+    def read_through(self, keys: list[np.ndarray], fetch: Callable[[list[int]], list]) -> list:
+        """Answers a batch: hits from the cache, the misses by one ``fetch`` of their places, which are then stored; in the batch's order."""
+        found = self.find_batch(keys)
+        missed = [i for i, f in enumerate(found) if f is None]
+        for i, value in zip(missed, fetch(missed) if missed else [], strict=True):
+            self.insert(keys[i], value)
+            found[i] = value
+        return found
+
 
 def signs(v: str, bits: int, dim: int, seed: int = 5):
     """Bucket of a vector: the signs of ``bits`` seeded projections, as a number."""
@@ -134,8 +166,38 @@ def q_unbounded_cache(spark, d):
     return r.groupBy("key").agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"))
 
 
-QUERIES = {"proximity_cache_fifo": q_fifo, "proximity_cache_lru": q_lru, "cache_tolerance_sweep": q_tolerance_sweep, "cache_lsh_keys": q_lsh_cache, "cache_unbounded": q_unbounded_cache}
+def q_lsh_policy(spark, d):
+    """The cache's own LSH buckets, of 8 keys each, under LRU."""
+    return _rates(replay(stream(spark, d), 8, 1.0, "lsh_lru"))
+
+
+def q_hit_overlap(spark, d):
+    """Of cache hits under a wide tolerance: the share of the true five nearest that the answering query's five have, and rates."""
+    r = replay(stream(spark, d), 32, 1.2, "lru").select("id", "hit", "source")
+    n = neighbours(spark, d, 5).groupBy("qid").agg(F.collect_set("doc_id").alias("ids"))
+    hits = r.where("hit").join(n.select(F.col("qid").alias("id"), F.col("ids").alias("truth")), "id").join(n.select(F.col("qid").alias("source"), F.col("ids").alias("given")), "source")
+    rates = _rates(r)
+    return rates.join(hits.agg(F.round(F.avg(F.size(F.array_intersect("truth", "given")) / 5), 6).alias("overlap")), F.lit(True))
+
+
+def timed_replay(queries: DataFrame, truth: Callable[[], DataFrame], capacity: int, tolerance: float, policy: str) -> dict[str, float]:
+    """Queries, hits, seconds and queries a second of a replay, with the exact search of every query and without."""
+    began = time.perf_counter()
+    row = _rates(replay(queries, capacity, tolerance, policy)).first()
+    mid = time.perf_counter()
+    truth().write.format("noop").mode("overwrite").save()
+    end = time.perf_counter()
+    return {"queries": row["queries"], "hits": row["hits"], "seconds": mid - began, "qps": row["queries"] / (mid - began), "qps_with_truth": row["queries"] / (end - began)}
+
+
+QUERIES = {
+    "proximity_cache_fifo": q_fifo, "proximity_cache_lru": q_lru, "cache_tolerance_sweep": q_tolerance_sweep, "cache_lsh_keys": q_lsh_cache, "cache_unbounded": q_unbounded_cache, "cache_lsh_policy": q_lsh_policy, "cache_hit_overlap": q_hit_overlap,
+}
 ORACLE_SQL = {
+    # with tolerance 0, LRU answers if fewer than 16 other vectors were asked for since the last time
+    "proximity_cache_lru": """with q as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as seq, vec_id as id, embedding::varchar as v from events join embeddings on vec_id = (props::json ->> '$.k')::bigint),
+l as (select *, lag(seq) over (partition by key, v order by seq) as last from q)
+select key, seq, id, last is not null and (select count(distinct b.v) from q b where b.key = l.key and b.seq > l.last and b.seq < l.seq) < 16 as hit from l""",
     "cache_unbounded": "with q as (select user_id as key, (props::json ->> '$.k')::bigint as id from events), k as (select key, id, count(*) as n from q join embeddings on vec_id = id group by all) select key, sum(n)::bigint as queries, (sum(n) - count(*))::bigint as hits from k group by key",
 }
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,26 +104,34 @@ def q_softmax_bias(spark, d):
     return n.select("qid", "rank", F.round("weight", 6).alias("weight"), F.round((0.2 + 0.8 * F.col("weight") * F.count("*").over(w)) / F.sqrt(F.col("rank").cast("double")), 6).alias("blend"))
 
 
-def phrases_deduped(docs: DataFrame, pieces: int | None = None) -> DataFrame:
-    """Phrases ranked by score and length, each dropped if one ranked before it in its document contains it; of all pieces of a text, or its first."""
-    split = F.split(F.lower("text"), r"[.\n]")
-    p = docs.select("doc_id", F.posexplode(F.slice(split, 1, pieces) if pieces else split).alias("pos", "p"))
-    p = p.select("doc_id", "pos", F.trim(F.element_at(F.split(F.trim("p"), " "), 1)).alias("phrase")).where(F.length("phrase") > 0)
-    p = p.groupBy("doc_id", "phrase").agg(F.min("pos").alias("pos"))  # an equal one contains the later
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("phrase")), "pos")
-    r = p.withColumn("r", F.row_number().over(w))
-    before = r.select("doc_id", F.col("phrase").alias("longer"), F.col("r").alias("rb"))
-    kept = r.join(before, (r.doc_id == before.doc_id) & (F.col("rb") < F.col("r")) & F.contains("longer", F.col("phrase")), "left_anti")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "phrase"))), lambda x: x.phrase), "|").alias("phrases"))
+def phrases_deduped(docs: DataFrame) -> DataFrame:
+    """(doc_id, kept, phrases): a text's phrases by length, longest first, each dropped if one before it contains it.
 
+    A phrase is a trimmed piece between full stops and line ends, in lower case. A phrase is looked for in the
+    text of all before it, so no pairs are made. Null texts and texts without phrases: no row.
+    """
 
-def q_substring_dedupe(spark, d):
-    """The first 12 pieces of each text, as its SQL has them; ``substring_dedupe_whole`` takes all."""
-    return phrases_deduped(table(spark, d, "documents").select("doc_id", "text"), 12)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, counts, joined = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = dict.fromkeys(x for x in (p.strip(" ") for p in re.split(r"[.\n]", t or "")) if x)
+                before, kept = "", []
+                for p in sorted(found, key=lambda x: -len(x)):
+                    if p not in before:
+                        kept.append(p)
+                        before += "\n" + p  # no phrase has a line end
+                if kept:
+                    ids.append(i)
+                    counts.append(len(kept))
+                    joined.append("|".join(kept))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.types[0]), pa.array(counts, pa.int64()), pa.array(joined, pa.string())], ["doc_id", "kept", "phrases"])
 
+    return docs.select("doc_id", F.lower("text")).mapInArrow(run, "doc_id long, kept long, phrases string")
 
-def q_substring_dedupe_whole(spark, d):
-    return phrases_deduped(table(spark, d, "documents").select("doc_id", "text"))
+
+def q_substring_dedupe(spark, d):
+    return phrases_deduped(table(spark, d, "documents")).select("doc_id", "kept", F.md5("phrases").alias("phrases_md5"))
 
 
 def q_ordered_dedupe(spark, d):
@@ -137,7 +149,7 @@ def q_set_algebra(spark, d):
 
 QUERIES = {
     "overlap_jaccard_at_k": q_overlap_jaccard, "rbo_at_k": q_rbo, "containment_vs_m": q_containment, "pair_bins": q_pair_bins, "bin_stats": q_bin_stats,
-    "stability_by_bin_k": q_stability, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "substring_dedupe_whole": q_substring_dedupe_whole, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
+    "stability_by_bin_k": q_stability, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
 }
 
 _PAIRS = COSINE + ", pr as (select distinct least(qid, doc_id) as i, greatest(qid, doc_id) as j, round(s, 6) as sim from r where rank <= 20 and round(s, 6) >= 0.3)"
@@ -162,10 +174,10 @@ t as (select qid, doc_id from q where ri <= 5), l as (select qid, doc_id, rank f
     "bin_stats": _PAIRS + f", b as (select *, {_BIN.format(over='3')} as bin from pr), q as (select bin, unnest([i, j]) as q from b) select bin, (select count(*) from b x where x.bin = q.bin) as pairs, count(distinct q) as queries, round(count(distinct q) / (select count(*) from e)::double, 6) as share from q group by bin",
     "stability_by_bin_k": _DEPTH + ", u as (unpivot (select bin, k, overlap, jaccard, rbo, mismatch from c) on overlap, jaccard, rbo, mismatch into name metric value v) select bin, k, metric, count(*) as n, round(avg(v), 5) as mean, round(quantile_cont(v, 0.1), 5) as p10, round(quantile_cont(v, 0.5), 5) as p50, round(quantile_cont(v, 0.9), 5) as p90 from u group by all",
     "softmax_bias": COSINE + ", n as (select qid, rank, exp((round(s, 6) - max(round(s, 6)) over (partition by qid)) / 0.2::double) as e from r where rank <= 5), w as (select *, e / sum(e) over (partition by qid) as weight, count(*) over (partition by qid) as n from n) select qid, rank, round(weight, 6) as weight, round((0.2::double + 0.8::double * weight * n) / sqrt(rank), 6) as blend from w",
-    "substring_dedupe": r"""with p as (select doc_id, unnest(x[1:12]) as p, generate_subscripts(x[1:12], 1) as pos from (select doc_id, regexp_split_to_array(lower(text), '[.\n]') as x from documents)),
-f as (select doc_id, pos, string_split(trim(p), ' ')[1] as phrase from p where length(string_split(trim(p), ' ')[1]) > 0),
+    "substring_dedupe": r"""with p as (select doc_id, unnest(x) as p, generate_subscripts(x, 1) as pos from (select doc_id, regexp_split_to_array(lower(text), '[.\n]') as x from documents)),
+f as (select doc_id, min(pos) as pos, trim(p) as phrase from p where trim(p) <> '' group by doc_id, trim(p)),
 r as (select *, row_number() over (partition by doc_id order by length(phrase) desc, pos) as r from f)
-select doc_id, count(*) as kept, string_agg(phrase, '|' order by r) as phrases from r where not exists (select 1 from r b where b.doc_id = r.doc_id and b.r < r.r and contains(b.phrase, r.phrase)) group by doc_id""",
+select doc_id, count(*) as kept, md5(string_agg(phrase, '|' order by r)) as phrases_md5 from r where not exists (select 1 from r b where b.doc_id = r.doc_id and b.r < r.r and contains(b.phrase, r.phrase)) group by doc_id""",
     "ordered_dedupe": """with t as (select doc_id, unnest(x) as w, generate_subscripts(x, 1) as i from (select doc_id, string_split(lower(text), ' ') as x from documents)), m as (select doc_id, w, min(i) as i from t group by all)
 select doc_id, md5(string_agg(w, ' ' order by i)) as distinct_md5, count(*)::int as kinds from m group by doc_id""",
     "set_algebra": """with u as (select user_id, event_type from events), c as (select user_id from u where event_type = 'click')

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orrery.functions import text, udfs
+from orrery.functions import models, text, udfs
 from orrery.operators import agents, approximate, cache, items, lexical, lookup, metrics, prompts, rank, relational, stats, traces, vectors
-from orrery.plans import evaluation
+from orrery.plans import agents as agent_plans
+from orrery.plans import evaluation, serving
 from orrery.streaming import windows
 
-MODULES = (vectors, text, metrics, rank, stats, lexical, lookup, prompts, traces, relational, agents, items, cache, approximate, udfs, windows, evaluation)
+MODULES = (vectors, text, metrics, rank, stats, lexical, lookup, prompts, traces, relational, agents, items, cache, approximate, udfs, windows, evaluation, models, agent_plans, serving)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

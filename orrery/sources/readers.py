@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +104,74 @@ def synthetic_vectors(spark: SparkSession, n: int, dim: int, seed: int = 123) ->
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def resolve_path(path: str, root: str) -> str:
+    """Object-store and absolute paths as they are (s3 as s3a), others under ``root``."""
+    if path.startswith("s3://"):
+        return "s3a://" + path.removeprefix("s3://")
+    return path if "://" in path or path.startswith("/") else f"{root.rstrip('/')}/{path}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def directory_size(spark: SparkSession, path: str) -> int:
+    """Bytes under a path, in any store; 0 if there is none."""
+    fs, at = _file_system(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+def fetch(spark: SparkSession, source: str, target: str) -> bool:
+    """Copies a file or folder between stores under a ``.partial`` name and then renames it; False if the target has something already."""
+    if directory_size(spark, target):
+        return False
+    (a, src), (b, part), (_, at) = (_file_system(spark, p) for p in (source, target + ".partial", target))
+    b.delete(part, True)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, src, b, part, False, spark._jsc.hadoopConfiguration())
+    b.delete(at, True)
+    if not b.rename(part, at):
+        raise OSError(f"cannot rename {target}.partial")
+    return True
+
+
+def dataset_splits(spark: SparkSession, source: str, target: str, splits: tuple[str, ...] = ("train", "dev", "test")) -> list[str]:
+    """Copies a dataset's splits; nothing if any is there already."""
+    if any(directory_size(spark, f"{target}/{s}.jsonl") for s in splits):
+        return []
+    return [s for s in splits if directory_size(spark, f"{source}/{s}.jsonl") and fetch(spark, f"{source}/{s}.jsonl", f"{target}/{s}.jsonl")]
+
+
+def put_vectors(vectors: DataFrame, put: Callable[[list[dict]], None], size: int = 500) -> None:
+    """Hands (id, v) to an object store's client, ``size`` at a time: {key, float32}; a task that is run again puts the same keys again."""
+
+    def run(rows: Iterator) -> None:
+        batch = []
+        for r in rows:
+            batch.append({"key": str(r["id"]), "float32": [float(x) for x in r["v"]]})
+            if len(batch) == size:
+                put(batch)
+                batch = []
+        if batch:
+            put(batch)
+
+    vectors.select("id", "v").foreachPartition(run)
+
+
+def read_documents_of(spark: SparkSession, path: str, extract: Callable[[bytes], str], words: int = 600) -> DataFrame:
+    """(path, text, error): files of any kind by a given extractor (PDF, say), the first ``words`` words; what fails says why."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, errors = [], []
+            for raw in b.column(1).to_pylist():
+                try:
+                    texts.append(" ".join(extract(raw).split()[:words]))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - any extractor's error is the row's
+                    texts.append(None)
+                    errors.append(f"Error: {e}")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, error string")

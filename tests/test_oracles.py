@@ -3,6 +3,7 @@
 import pytest
 from oracle import agrees
 
+from orrery.operators import rank
 from orrery.registry import ORACLE_SQL, QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -29,12 +30,13 @@ def test_substring_dedupe_reads_whole_texts(spark, tmp_path):
     want = {}
     for i, t in texts.items():
         kept = []
-        for p in sorted((p.strip().split(" ")[0] for p in (t or "").lower().replace("\n", ".").split(".")), key=len, reverse=True):
+        for p in sorted((p.strip() for p in (t or "").lower().replace("\n", ".").split(".")), key=len, reverse=True):
             if p and not any(p in q for q in kept):
                 kept.append(p)
         if kept:
             want[i] = (len(kept), "|".join(kept))
-    assert {r.doc_id: (r.kept, r.phrases) for r in QUERIES["substring_dedupe_whole"](spark, str(tmp_path)).collect()} == want
+    rows = rank.phrases_deduped(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert {r.doc_id: (r.kept, r.phrases) for r in rows} == want
     assert "w39y" in want[1][1]
 
 

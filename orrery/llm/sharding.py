@@ -1,11 +1,11 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records uniformly into buckets that fit in memory, by a seeded hash of the key.
+Pass one scatters records uniformly into buckets that fit in memory, by a seeded hash of key and text.
 Pass two takes one bucket at a time, Fisher-Yates shuffles it with a generator seeded by (seed,
 bucket), and writes it. The order of all records is bucket after bucket; shards are equal ranges of
 that order, so their counts are at most one apart (law ``rows``) and a bucket feeds one or two shards.
 
-Reruns agree: a bucket is sorted by key and text hash before it is shuffled, so neither the order of
+Reruns agree: a bucket is sorted by key and a hash of all columns before it is shuffled, so neither the order of
 arrival nor a retried task changes the outcome.
 
 Null key: the text's hash stands in. Null text: size 1, checksum 0. Repeated rows are kept, each with
@@ -48,11 +48,11 @@ def two_pass_shuffle(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     place, bucket, tie, offset = (common.free_name(docs, x) for x in ("_place", "_bucket", "_tie", "_offset"))
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.xxhash64(text).cast("string"))), F.lit(n))
+    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.xxhash64(text)), F.lit(n))
     counts = docs.select(spread.alias(bucket)).groupBy(bucket).count()
     upto = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = common.stored(counts.select(bucket, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias(offset)), "offsets")
-    scattered = docs.withColumns({bucket: spread, tie: F.xxhash64(text)}).join(F.broadcast(offsets) if n <= BROADCAST_BUCKETS else offsets, bucket)
+    scattered = docs.withColumns({bucket: spread, tie: F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))}).join(F.broadcast(offsets) if n <= BROADCAST_BUCKETS else offsets, bucket)
     scattered = scattered.select(*docs.columns, bucket, offset, tie).repartition(n, bucket).sortWithinPartitions(bucket, key, tie)
     width = len(docs.columns)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -108,23 +111,36 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))))
 
 
-def snippet(text: Column, query_terms: Column, context: int = 200, least: float = 0.2) -> Column:
-    """The stretch around the sentence nearest to the query by word-set F1 (the first of the best), else the text's beginning.
+def snippets(rows: DataFrame, key: str, text: str, query: str, context: int = 200, least: float = 0.2) -> DataFrame:
+    """(key, x): the stretch around the sentence nearest to the query by word-set F1 (the first of the best), else the text's beginning.
 
-    ``query_terms``: distinct terms in a column of their own, so that they are split once a row, not once a sentence.
+    A sentence is split and compared once, a batch at a time. Null text: null; null query: no terms.
     """
-    q = query_terms
-    s = F.transform(sentences(text), lambda x, i: F.struct(F.round(set_f1(terms(x), q), 9).alias("f"), (-i).alias("i"), x.alias("x")))
-    best = F.array_max(s)
-    at = F.position(best.x, text)
-    around = F.substring(text, F.greatest(F.lit(1), at - context), F.length(best.x) + 2 * context)
-    return F.when(best.f > least, around).otherwise(F.substring(text, F.lit(1), F.lit(2 * context)))
+
+    def near(t: str, q: str) -> str:
+        asked, best, found = set(re.findall(r"[a-z0-9]+", q.lower())), 0.0, ""
+        for x in re.split(r"(?<=[.!?])[ \t\n\v\f\r]+", t):
+            words = set(re.findall(r"[a-z0-9]+", x.lower()))
+            same = len(words & asked)
+            f = round(2 * same / (len(words) + len(asked)), 9) if same else 0.0
+            if f > best:
+                best, found = f, x
+        if best <= least:
+            return t[: 2 * context]
+        start = max(0, t.find(found) - context)
+        return t[start : start + len(found) + 2 * context]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [None if t is None else near(t, q or "") for t, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.string())], [key, "x"])
+
+    return rows.select(F.col(key), F.col(text).alias("_text"), F.col(query).alias("_query")).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, x string")
 
 
 def q_snippet_context(spark, d):
-    docs = table(spark, d, "documents").withColumn("q", F.array_distinct(terms(F.element_at(sentences(F.col("text")), -1))))
-    docs = docs.select("doc_id", snippet(F.col("text"), F.col("q")).alias("x"))
-    return docs.select("doc_id", F.md5("x").alias("snippet_md5"), F.length("x").alias("chars"))
+    docs = table(spark, d, "documents").withColumn("q", F.element_at(sentences(F.col("text")), -1))
+    return snippets(docs, "doc_id", "text", "q").select("doc_id", F.md5("x").alias("snippet_md5"), F.length("x").alias("chars"))
 
 
 QUERIES = {"bm25_topk": q_bm25_topk, "lexical_rerank": q_lexical_rerank, "html_text_regex": q_html_text_regex, "html_text_parser": q_html_text_parser, "snippet_context": q_snippet_context}

@@ -25,7 +25,8 @@ def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Adds idx, 0-based in ``order``, without one task for all rows: a range sort, a count a partition, and an offset."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # stated, so that no branch of the plan coalesces it
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))

@@ -71,7 +71,7 @@ def q_echo_context(spark, d):
 
 
 def mined(passages_: DataFrame) -> DataFrame:
-    """(qid, phrase, score): capitalised phrases weigh 1 / (1 + rank), numbers 0.5, years 1; summed by lower-cased phrase, longest form kept."""
+    """(qid, phrase, score): capitalised phrases weigh 1 / (1 + rank), numbers 0.5, years 1; summed by lower-cased phrase; of its forms the first by code point is kept."""
     passages_ = passages_.withColumn("body", F.regexp_replace("body", r"[^\x00-\x7F]", "_"))  # engines differ about word edges beyond ASCII
     caps = F.transform(F.regexp_extract_all("body", F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})\b"), F.lit(1)), lambda x: F.struct(x.alias("p"), (F.lit(1.0) / F.col("rank")).alias("s")))
     nums = F.transform(F.regexp_extract_all("body", F.lit(r"\b(\d+)\b"), F.lit(1)), lambda x: F.struct(x.alias("p"), F.lit(0.5).alias("s")))

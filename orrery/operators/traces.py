@@ -41,7 +41,7 @@ def q_stage_means(spark, d):
 
 
 def q_summary_pivot(spark, d):
-    """One column a stage, in a fixed order, with the rest summed."""
+    """One column a stage, in a fixed order; stages beyond it have none."""
     t = traces(spark, d).groupBy("run").pivot("stage", ["click", "view", "purchase", "signup"]).agg(F.round(F.sum("latency"), 4))
     return t.select("run", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("click", "view", "purchase", "signup")))
 

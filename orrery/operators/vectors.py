@@ -160,10 +160,49 @@ def probes(e: DataFrame, nprobe: int) -> DataFrame:
 
 
 def list_search(e: DataFrame, probe: DataFrame, k: int) -> DataFrame:
-    """Top k by inner product among the vectors of the probed lists."""
-    q = e.select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    hits = probe.join(q, "qid").join(e.select(F.col("id").alias("doc_id"), "v", "label"), "label").where("qid <> doc_id")
-    hits = hits.select("qid", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("s"))
+    """Top k by inner product among the vectors of the probed lists.
+
+    A list is cut into pieces of about CELL_BLOCKS blocks; its queries go to every piece, and a cell multiplies
+    blocks of them with its piece. A cell's memory is bounded, whatever the list's size, and no pair is a row.
+    """
+    usable = e.where("v is not null and size(v) > 0 and id is not null")
+    pieces = usable.groupBy("label").agg(F.ceil(F.count("*") / (BLOCK * CELL_BLOCKS)).alias("pieces"))
+    own = usable.join(pieces, "label").select("label", F.pmod(F.xxhash64("id"), F.col("pieces")).alias("piece"), F.lit(0).alias("side"), "id", "v")
+    asks = probe.select("qid", "label").join(usable.select(F.col("id").alias("qid"), "v"), "qid").join(pieces, "label")
+    asks = asks.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("side"), F.col("qid").alias("id"), "v")
+    cells = own.union(asks).withColumn("cell", F.xxhash64("label", "piece"))
+    dealt = cells.select("cell", "side", "id", "v").repartition("cell").sortWithinPartitions("cell", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for b in batches:
+            v = b.column("v")
+            flat = v.flatten().to_numpy().astype("<f8").reshape(b.num_rows, -1) if b.num_rows else None
+            at, side, ids = (b.column(c).to_numpy() for c in ("cell", "side", "id"))
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if at[lo] != cell:
+                    cell, held = at[lo], []
+                if side[lo] == 0:
+                    held.append((ids[lo:hi], flat[lo:hi]))
+                    continue
+                if not held:
+                    continue
+                held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+                for q in range(lo, hi, BLOCK):
+                    own_ids, qs = ids[q : min(q + BLOCK, hi)], flat[q : min(q + BLOCK, hi)]
+                    s = np.round(qs @ held[0][1].T, 9)
+                    s[own_ids[:, None] == held[0][0][None, :]] = -np.inf
+                    if s.shape[1] > 4 * k:  # all that may be among the k best, ties included
+                        least = np.partition(s, -k, axis=1)[:, -k]
+                        r, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                    else:
+                        r, j = np.nonzero(np.isfinite(s))
+                    yield pa.RecordBatch.from_pydict({"qid": own_ids[r], "doc_id": held[0][0][j], "s": s[r, j]})
+
+    hits = dealt.mapInArrow(run, "qid long, doc_id long, s double")
     r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))
     return hits.withColumn("rank", r).where(F.col("rank") <= k).select("qid", "rank", "doc_id", F.round("s", 6).alias("score"))
 

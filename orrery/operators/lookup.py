@@ -24,13 +24,23 @@ def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds idx, 0-based in ``order``, without one task for all rows: a range sort, a count a partition, and an offset."""
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # stated, so that no branch of the plan coalesces it
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    """Adds idx, 0-based in ``order``, without one task for all rows: ranges, a row number and a count in each, and an offset.
+
+    The ranges' bounds are literals, so that every branch of the plan deals alike; they come from the 100 rows a shuffle
+    partition whose keys hash lowest, which moves work only. Rows that tie in ``order`` are numbered in any order.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*order)
+    keys = rows.select(*order)
+    sample = keys.orderBy(F.xxhash64(*order), *order).limit(100 * n).orderBy(*order).collect()
+    bounds = [sample[k * len(sample) // n] for k in range(1, n)] if sample else []
+    literals = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, keys.schema, strict=True))) for b in dict.fromkeys(bounds)]
+    part = F.size(F.filter(F.array(*literals), lambda b: b <= key)) if literals else F.lit(0)
+    dealt = rows.withColumn("_part", part)
+    numbers = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))
-    return dealt.join(F.broadcast(offsets), "_part").withColumn("idx", F.col("_in") + F.col("_off")).drop("_part", "_in", "_off")
+    return numbers.join(F.broadcast(offsets), "_part").withColumn("idx", F.col("_in") + F.col("_off")).drop("_part", "_in", "_off")
 
 
 def batches(rows: DataFrame, size: int) -> DataFrame:

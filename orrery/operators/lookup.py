@@ -32,10 +32,11 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*order)
     keys = rows.select(*order)
-    sample = keys.orderBy(F.xxhash64(*order), *order).limit(100 * n).orderBy(*order).collect()
+    lowest = keys.withColumn("_hash", F.xxhash64(*order)).orderBy("_hash", *order).limit(100 * n)
+    sample = lowest.drop("_hash").orderBy(*order).collect()
     bounds = [sample[k * len(sample) // n] for k in range(1, n)] if sample else []
     literals = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, keys.schema, strict=True))) for b in dict.fromkeys(bounds)]
-    part = F.size(F.filter(F.array(*literals), lambda b: b <= key)) if literals else F.lit(0)
+    part = F.size(F.array_remove(F.array(*(b <= key for b in literals)), False)) if literals else F.lit(0)
     dealt = rows.withColumn("_part", part)
     numbers = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -111,6 +111,20 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Inside this block an Arrow batch holds about ``size`` of rows at most; the caller's settings are back after it. What runs inside must be eager."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, (str(TEXT_ROWS), size), strict=True):
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores after it until no column has it."""
     taken = {c.lower() for c in df.columns}

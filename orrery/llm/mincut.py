@@ -8,9 +8,12 @@ cut is the labelling of least total cost; the blocks that remain with the source
 short line or a heading that says little for itself goes with the paragraphs it stands among.
 
 The evidence is graded. What HTML's own elements and roles say weighs most. A class or id speaks by its
-words: some mean boilerplate wherever they stand (comments, sidebar, cookie), others only as a whole name
+words: some mean boilerplate wherever they stand (comments, newsletter), others only as a whole name
 (notice, related) and hardly at all as part of a longer one inside an article (section-header,
-related-work). Length, closing punctuation, share of links and the block's own element add to that.
+related-work), or with another such word there (cookie-notice, but not cookies). A name that says what is not or also
+there (no-sidebar, has-modal, with-cookies) says nothing, nor does any name of html and body. An element that holds
+half of what the page's articles say, or, where there is no article, ``MOSTLY`` of the page's text, is the page's frame:
+its name, and a form around it, count nothing (comments excepted where no article is). Length, closing punctuation, share of links and the block's own element add to that.
 
 Before flows are pushed, every block whose own capacity is at least that of all its edges is labelled
 at once (no minimum cut can say otherwise, ties go to the block's own side) and its edges turn into
@@ -56,13 +59,21 @@ TAG_SCORE = {"article": 3.0, "main": 2.5, "nav": -9.0, "menu": -9.0, "footer": -
 ROLE_SCORE = {"main": 2.5, "article": 3.0, "navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "menu": -9.0, "menubar": -9.0, "dialog": -9.0, "alert": -9.0}
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
 #: Words of class names and ids that mean boilerplate wherever they stand in one.
-BAD_ANYWHERE = re.compile(r"advert\w*|adsense|sponsor\w*|promo|promos|promotions?|navbar|breadcrumbs?|pagination|pager|sidebar|masthead|topbar|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|login|comments|commentlist|disqus|trending|recommend(?:ed|ations)?")
+BAD_ANYWHERE = re.compile(r"advert\w*|adsense|sponsor\w*|navbar|breadcrumbs?|pagination|pager|gdpr|popup|newsletter|subscribe|subscription|signup|login|comments|commentlist|disqus|trending|recommend(?:ed|ations)?")
+#: The same, but an article may be about it: inside one a name of this word alone is weighed, and in a longer name it takes another bad word.
+BAD_TOPIC = re.compile(r"promo|promos|promotions?|sidebar|masthead|topbar|cookies?|consent|modal")
+#: Words that turn a name round: it is about what the element has, has not, or does.
+TURNS = frozenset("no not non has have with without open opened closed none off".split())
+#: Names of what readers say.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: And as a name of their own, or as part of one outside an article.
 BAD_ALONE = frozenset("ad ads banner nav navigation menu menus side aside footer toolbar header notice notices alert warning overlay share sharing social related widget widgets comment respond reply replies copyright legal disclaimer search form tags skip".split())
 #: Of these, those that an article has of its own.
 OWN_PARTS = frozenset("header footer side legal form".split())
 NAME_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
-GOOD_NAME, BAD_NAME, BAD_PART, BAD_PART_INSIDE = 1.5, -9.0, -5.0, -1.0
+GOOD_NAME, BAD_NAME, BAD_PART, BAD_TOPIC_INSIDE, BAD_PART_INSIDE = 1.5, -9.0, -5.0, -3.5, -1.0
+#: Share of a page's text that makes an element its frame where no article is.
+MOSTLY = 0.6
 #: And what the block itself says.
 BIAS, PER_LOG_WORD, PER_LINK_SHARE, STOPPED = -1.8, 0.45, -3.0, 0.5
 OWN_TAG = {"p": 0.8, "h1": 0.8, "h2": 0.4, "h3": 0.4, "pre": 0.8, "blockquote": 0.6, "li": -0.2}
@@ -94,37 +105,80 @@ class Block:
 
 
 @lru_cache(10_000)
-def word_score(name: str, inside: bool) -> tuple[float, float]:
-    """(for content, against it) from one class name or id; inside: of an article or main."""
+def word_score(name: str, inside: bool) -> tuple[float, float, bool]:
+    """(for content, against it, about readers' words) from one class name or id; inside: of an article or main."""
     words = [w.lower() for w in NAME_WORD.findall(name)]
     good = GOOD_NAME if GOOD_NAMES.intersection(words) else 0.0
+    if TURNS.intersection(words):
+        return good, 0.0, False
+    readers = bool(READERS.intersection(words))
     if any(map(BAD_ANYWHERE.fullmatch, words)):
-        return 0.0, BAD_NAME
+        return 0.0, BAD_NAME, readers
+    topic = [w for w in words if BAD_TOPIC.fullmatch(w)]
     bad = BAD_ALONE.intersection(words)
+    if topic:
+        if not inside or bad or len(topic) > 1:
+            return 0.0, BAD_NAME, readers
+        return 0.0, BAD_TOPIC_INSIDE if len(words) == 1 else BAD_PART_INSIDE, False
     if not bad:
-        return good, 0.0
+        return good, 0.0, False
     if inside and (len(words) > 1 or bad <= OWN_PARTS):
-        return 0.0, BAD_PART_INSIDE
-    return 0.0, BAD_NAME if len(words) == 1 else BAD_PART
+        return 0.0, BAD_PART_INSIDE, False
+    return 0.0, BAD_NAME if len(words) == 1 else BAD_PART, readers
 
 
-def named_score(tag: str, attributes: str, inside: bool) -> tuple[float, float]:
-    """(for content, against it) from an element's name, role, classes and id."""
+@dataclass
+class Element:
+    parent: int
+    good: float
+    bad: float  # by what it is
+    named: float  # by what it is called
+    readers: bool
+    article: bool  # an article or main that no name speaks against
+    chars: int = 0  # of text below it
+    said: int = 0  # of these, inside such an article
+
+
+def element_of(parent: int, tag: str, attributes: str, inside: bool) -> Element:
+    """What an element's tag, role, classes and id say."""
     s = TAG_SCORE.get(tag, 0.0)
-    good, bad = max(s, 0.0), min(s, 0.0)
+    e = Element(parent, max(s, 0.0), min(s, 0.0), 0.0, False, False)
+    if tag == "form":
+        e.bad, e.named = 0.0, e.bad
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "role":
                 s = ROLE_SCORE.get(value.lower(), 0.0)
-                good, bad = max(good, s), min(bad, s)
+                e.good, e.bad = max(e.good, s), min(e.bad, s)
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                bad = min(bad, BAD_NAME)
-            elif name in ("class", "id"):
+                e.bad = min(e.bad, BAD_NAME)
+            elif name in ("class", "id") and tag not in ("html", "body"):
                 for x in value.split():
-                    g, s = word_score(x[:80], inside)
-                    good, bad = max(good, g), min(bad, s)
-    return good, bad
+                    g, s, readers = word_score(x[:80], inside)
+                    e.good, e.named, e.readers = max(e.good, g), min(e.named, s), e.readers or readers
+    e.article = tag in ("article", "main") and e.bad > BAD_PART and e.named > BAD_PART
+    return e
+
+
+def judged(blocks: list[Block], at: list[int], elements: list[Element]) -> None:
+    """Gives each block what its elements say, the strongest of each sign once; at: each block's element. Parents stand before their children."""
+    within = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        within[i] = within[e.parent] or e.article
+    for b, i in zip(blocks, at, strict=True):
+        elements[i].chars += len(b.text)
+        elements[i].said += len(b.text) * within[i]
+    for e in elements[:0:-1]:
+        elements[e.parent].chars += e.chars
+        elements[e.parent].said += e.said
+    chars, said = elements[0].chars, elements[0].said
+    for e in elements[1:]:
+        frame = 2 * e.said >= said if said else e.chars >= MOSTLY * chars and not e.readers
+        above = elements[e.parent]
+        e.good, e.bad = max(e.good, above.good), min(e.bad, above.bad, 0.0 if frame else e.named)
+    for b, i in zip(blocks, at, strict=True):
+        b.good, b.bad = elements[i].good, elements[i].bad
 
 
 def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -171,8 +225,9 @@ def tags_of(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def blocks_of(html: str) -> list[Block]:
     """The page's text blocks in page order; script, style, head and the like give none."""
     out: list[Block] = []
-    # element: tag, number, good, bad, inside a link
-    stack: list[tuple[str, int, float, float, bool]] = [("", 0, 0.0, 0.0, False)]
+    # element: tag, number, inside a link
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    elements, at_of = [Element(0, 0.0, 0.0, 0.0, False, False)], []
     where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each tag
     boxes, scopes = [0], [0]  # places of the open block and sectioning elements
     text: list[str] = []
@@ -186,7 +241,8 @@ def blocks_of(html: str) -> list[Block]:
             said = " ".join(unescape("".join(text)).split())
             if said:
                 top = stack[boxes[-1]]
-                out.append(Block(said, links, len(scopes) - 1, shared, stack[scopes[-1]][1], top[0], top[2], top[3]))
+                out.append(Block(said, links, len(scopes) - 1, shared, stack[scopes[-1]][1], top[0], 0.0, 0.0))
+                at_of.append(top[1])
                 shared = len(scopes) - 1
             text.clear()
         links = 0
@@ -213,7 +269,7 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal links
         if upto > at:
             text.append(html[at:upto])
-            if stack[-1][4]:
+            if stack[-1][2]:
                 links += len(html[at:upto].strip())
 
     tags = tags_of(html)
@@ -251,18 +307,19 @@ def blocks_of(html: str) -> list[Block]:
             continue
         numbered += 1
         inside = bool(where["article"] or where["main"])
-        good, bad = named_score(tag, attributes, inside)
         above = stack[-1]
+        elements.append(element_of(above[1], tag, attributes, inside))
         if tag == "header" and not inside:
-            bad = -9.0
+            elements[-1].bad = -9.0
         where[tag].append(len(stack))
         if tag in BLOCK_TAGS:
             boxes.append(len(stack))
         if tag in SCOPE:
             scopes.append(len(stack))
-        stack.append((tag, numbered, max(good, above[2]), min(bad, above[3]), above[4] or tag == "a"))
+        stack.append((tag, numbered, above[2] or tag == "a"))
     said(len(html))
     flush()
+    judged(out, at_of, elements)
     return out
 
 

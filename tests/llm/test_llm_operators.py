@@ -558,6 +558,28 @@ def test_names_inside_an_article_decide_little():
     assert mincut.main_text(ARTICLE) == "Old law\nIn 1850 the law was passed.\nTwo columns of words.\nA form of words.\nOne\nTwo\nOnly a link stands here\nLast words of it."
 
 
+PROSE = "".join(f"<p>{x}</p>" for x in ("The old mill by the river was built in the spring of a dry year.", "Its wheel turned for eighty years, and nobody counted the sacks.", "Then the road came, and the flour came by the road.", "Today the wheel stands in the yard of the school."))
+CHROME = '<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>'
+
+
+@pytest.mark.parametrize("frame", [
+    '<body class="single no-sidebar">{}</body>', '<body class="has-sidebar modal-open">{}</body>', '<body id="login-page" class="comments-open">{}</body>', '<div class="layout-with-sidebar"><main>{}</main></div>',
+    '<div id="sidebar-wrapper"><article>{}</article></div>', '<div class="page modal-open">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="promo-page"><div>{}</div></div>', '<div class="without-comments">{}</div>', '<html class="cookies no-js"><body>{}</body></html>',
+])
+def test_no_text_goes_by_the_name_of_its_frame(frame):
+    want = re.sub("<p>|</p>", "\n", PROSE).replace("\n\n", "\n").strip()
+    assert mincut.main_text(frame.format(CHROME + PROSE)) == want
+    said = "<section id='comments'><article class='comment-body'><p>A reader writes that the wheel was never that old at all.</p></article></section>"
+    assert mincut.main_text(frame.format(CHROME + f"<article>{PROSE}</article>" + said)) == want
+
+
+def test_names_that_an_article_is_about():
+    page = "<article><h1>Baking</h1><section class='cookies'><p>Cookies want butter, sugar and a little patience.</p></section><div class='promotion-history'><p>The bakery was promoted twice in the last century.</p></div><div class='cookies'>We use cookies here.</div><div class='cookie-notice'><p>We use cookies on this site, so please accept them all.</p></div></article>"
+    assert mincut.main_text(page) == "Baking\nCookies want butter, sugar and a little patience.\nThe bakery was promoted twice in the last century."
+    teasers = f"<body><article>{PROSE}</article><div class='sidebar'><article><p>A teaser of another story stands here.</p></article></div></body>"
+    assert "teaser" not in mincut.main_text(teasers)
+
+
 def test_the_cut_is_right_where_signs_are_wrong():
     """A heading, a short line and a line of one link, whose own evidence is against them, go with the paragraphs around; a menu doesn't."""
     page = """<div><a href=a>Home</a> <a href=b>News</a></div><div><h2>On birds</h2><p>Many birds fly south, and some of them never come back, though the nests that they left in the old barn are still there and wait for them every spring.</p><p>Why</p><p>Nobody knows yet, but people have been asking for long, and each village by the river has an answer of its own that is told to every child.</p>

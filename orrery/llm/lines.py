@@ -167,7 +167,8 @@ def without_lines(docs: DataFrame, lost: DataFrame, key: str, text: str, least:
     """``docs`` without the lines of ``lost``, and two columns more, n_lines and n_dropped (with underscores, if taken). Run it in ``common.small_batches``."""
     n_lines, n_dropped, gone, doc = (common.free_name(docs, n) for n in ("n_lines", "n_dropped", "_gone", "_doc"))
     lost = lost.withColumnsRenamed({"doc": doc, "gone": gone})
-    rows = docs.join(lost, F.col(key).cast("long").eqNullSafe(F.col(doc)), "left").select(*docs.columns, gone)
+    # sorted and merged at any size, so that what is shuffled grows with the texts alone
+    rows = docs.join(lost.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col(doc)), "left").select(*docs.columns, gone)
     place = docs.columns.index(text)
     schema = StructType([*docs.schema.fields, StructField(n_lines, LongType()), StructField(n_dropped, LongType())])
 

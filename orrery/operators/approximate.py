@@ -1,94 +1,15 @@
-"""Approximate vector indexes: k-means lists, product quantisation, LSH, and a neighbour graph; each reports its recall."""
+"""Locality-sensitive hashing: vectors that share the signs of projections in a table meet in that table's bucket."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.cache import signs
-from orrery.operators.vectors import dot, embeddings, list_search, neighbours, recall
-
-#: Vectors that train centroids, at most; every vector is indexed.
-TRAIN_ROWS = 100_000
-
-
-def kmeans_lists(e: DataFrame, lists: int, seed: int = 1) -> DataFrame:
-    """Adds label: the list of each vector; centroids from a bounded sample, every row assigned in the JVM."""
-    x = e.drop("label").withColumn("features", array_to_vector("v"))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(x.orderBy(F.xxhash64("id")).limit(TRAIN_ROWS))
-    return model.transform(x).select("id", "v", F.col("prediction").alias("label"))
-
-
-def q_ivf_kmeans(spark, d):
-    from orrery.operators.vectors import probes
-
-    e = kmeans_lists(embeddings(spark, d), 16)
-    truth = neighbours(spark, d, 5)
-    return recall(truth, list_search(e, probes(e, 12), 5), 5).withColumn("useful", F.col("recall") >= 0.9)
-
-
-def trained_codebooks(sample: np.ndarray, parts: int, codes: int, seed: int = 3) -> np.ndarray:
-    """parts x codes x width centroids by Lloyd's iterations on a bounded sample."""
-    rng = np.random.default_rng(seed)
-    width = sample.shape[1] // parts
-    out = np.zeros((parts, codes, width))
-    for p in range(parts):
-        x = sample[:, p * width : (p + 1) * width]
-        c = x[rng.choice(len(x), codes, replace=len(x) < codes)]
-        for _ in range(8):
-            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            for k in range(codes):
-                if (near == k).any():
-                    c[k] = x[near == k].mean(0)
-        out[p] = c
-    return out
-
-
-def product_quantized(e: DataFrame, parts: int = 16, codes: int = 64, sample_rows: int = 2000) -> DataFrame:
-    """(id, v): each vector as its codes stand for it; dimension must divide by ``parts``."""
-    sample = np.array([r[0] for r in e.orderBy(F.xxhash64("id")).select("v").limit(sample_rows).collect()], float)
-    books = trained_codebooks(sample, parts, codes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float).reshape(b.num_rows, parts, -1)
-                code = np.stack([((x[:, p, None] - books[p][None]) ** 2).sum(2).argmin(1) for p in range(parts)], 1)
-                back = np.concatenate([books[p][code[:, p]] for p in range(parts)], 1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(back), pa.list_(pa.float64()))], ["id", "v"])
-
-    return e.select("id", "v").mapInArrow(run, "id long, v array<double>")
-
-
-def scored(pairs: DataFrame, e: DataFrame) -> DataFrame:
-    """(qid, doc_id, s) of candidate pairs by exact products; each distinct pair once."""
-    p = pairs.where("qid <> doc_id").select("qid", "doc_id").distinct()
-    p = p.join(e.select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid").join(e.select(F.col("id").alias("doc_id"), "v"), "doc_id")
-    return p.select("qid", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("s"))
-
-
-def best(s: DataFrame, k: int) -> DataFrame:
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))).where(F.col("rank") <= k)
-
-
-#: Candidates that quantised scores propose for each result asked for.
-WIDER = 12
-
-
-def q_pq_knn(spark, d):
-    """Quantised scores propose ``WIDER`` times as many as are asked for; exact products rank them."""
-    from orrery.operators.vectors import top_k
-
-    e = embeddings(spark, d)
-    proposed = top_k(e, product_quantized(e), 5 * WIDER, "ip", same=True).select("qid", "doc_id")
-    return recall(neighbours(spark, d, 5), best(scored(proposed, e), 5), 5).withColumn("useful", F.col("recall") >= 0.9)
+from orrery.operators.inverted import asked, best_of, dealt, matrix, ranked
+from orrery.operators.vectors import embeddings, recall, top_k
+from orrery.sources.scratch import Scratch
 
 
 def lsh_shape(n: int, bucket: int = 256, least: int = 3) -> tuple[int, int]:
@@ -97,43 +18,27 @@ def lsh_shape(n: int, bucket: int = 256, least: int = 3) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(0.02) / np.log(1 - (2 / 3) ** bits)))
 
 
-def q_lsh_knn(spark, d):
-    """Candidates share the signs of projections in at least one table; exact scores among them."""
-    e = embeddings(spark, d)
-    bits, tables = lsh_shape(e.count())
-    keyed = e.select("id", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), signs("v", bits, 64, seed=100 + t).alias("k")) for t in range(tables)))).alias("key"))
-    a, b = keyed.select("key", F.col("id").alias("qid")), keyed.select("key", F.col("id").alias("doc_id"))
-    return recall(neighbours(spark, d, 5), best(scored(a.join(b, "key"), e), 5), 5).withColumn("useful", F.col("recall") >= 0.9)
-
-
-def neighbour_graph(e: DataFrame, degree: int, lists: int, nprobe: int) -> DataFrame:
-    """(a, b): each vector's ``degree`` nearest among the inverted lists nearest to it, both ways; no exact search is made."""
-    from orrery.operators.vectors import probes
+def buckets(vectors: DataFrame, bits: int, tables: int, dim: int) -> DataFrame:
+    """(list, id, v): every vector once a table, under its bucket there."""
+    keys = F.array(*(signs("v", bits, dim, seed=100 + t).cast("long") + (t << bits) for t in range(tables)))
+    return vectors.select(F.explode(keys).alias("list"), "id", "v")
 
-    labelled = kmeans_lists(e, lists)
-    found = list_search(labelled, probes(labelled, nprobe), degree).select(F.col("qid").alias("a"), F.col("doc_id").alias("b"))
-    return found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, s, rank): exact products within the buckets, a large bucket in pieces; no pair is a row."""
+    usable = vectors.where("v is not null and size(v) > 0 and id is not null").select("id", "v")
+    first = usable.select(F.size("v")).first()
+    bits, tables = lsh_shape(usable.count())
+    rows, asks = (buckets(x, bits, tables, first[0] if first else 1) for x in (usable, queries.select("id", "v")))
+    probes = asks.select(F.col("id").alias("qid"), "list", F.lit(0.0).alias("base"))
+    return ranked(best_of(dealt(rows, probes, queries, "v"), k, matrix, lambda x, q, _: q @ x.T), k)
 
-def graph_search(queries: DataFrame, e: DataFrame, graph: DataFrame, k: int, entries: int = 16, beam: int = 24, degree: int = 16) -> DataFrame:
-    """(qid, doc_id, s, rank): from the same few entry points, keeps the ``beam`` best seen and looks at their neighbours; hops grow with the logarithm of the count."""
-    hops = 1 + math.ceil(math.log(max(2, e.count()), degree))
-    start = e.orderBy(F.xxhash64("id")).limit(entries).select(F.col("id").alias("doc_id"))
-    seen = queries.select(F.col("id").alias("qid")).join(F.broadcast(start), F.lit(True))  # a fixed number of entry points
-    for _ in range(hops):
-        front = best(scored(seen, e), beam).select("qid", "doc_id")
-        seen = front.union(front.join(graph, front.doc_id == graph.a).select("qid", F.col("b").alias("doc_id"))).distinct()
-    return best(scored(seen, e), k)
-
-
-def q_graph_knn(spark, d):
-    """Beam search over a graph that is built from inverted lists, entered at points that have nothing to do with the query."""
-    from orrery.plans.agents import stored
 
+def q_lsh_knn(spark, d):
     e = embeddings(spark, d)
-    graph = stored(neighbour_graph(e, 16, 16, 8), "graph")
-    return recall(neighbours(spark, d, 5), graph_search(e, e, graph, 5), 5).withColumn("useful", F.col("recall") >= 0.9)
+    with Scratch(spark) as s:
+        return s.kept(recall(top_k(asked(e), e, 5, "ip", same=True), lsh_search(e, asked(e), 5), 5).withColumn("useful", F.col("recall") >= 0.9))
 
 
-QUERIES = {"ivf_kmeans": q_ivf_kmeans, "pq_knn": q_pq_knn, "lsh_knn": q_lsh_knn, "graph_knn": q_graph_knn}
+QUERIES = {"lsh_knn": q_lsh_knn}
 ORACLE_SQL = {}

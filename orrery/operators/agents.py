@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.text import slug
-from orrery.operators.lexical import bm25, page_text
+from orrery.operators.lexical import page_text
+from orrery.operators.postings import bm25_stored
 from orrery.operators.prompts import _MINED, mined, passages
 from orrery.sources.tables import table
 
@@ -26,7 +27,7 @@ def q_page_fetch(spark, d):
 def q_page_search(spark, d):
     """BM25 over the pages' text stands in for a web search; the queries are the benchmark's items."""
     docs = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), page_text(F.col("html")).alias("text"))
-    return bm25(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), 5)
+    return bm25_stored(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), 5)
 
 
 def q_evidence_format(spark, d):

@@ -22,29 +22,12 @@ def terms(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, doc_id, score): Okapi BM25 of queries (qid, text) over docs (doc_id, text).
-
-    Term counts are aggregated before anything is joined; the join on terms is an equi-join that AQE may
-    split where a term is hot; a query's terms are distinct.
-    """
-    tf = docs.select("doc_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    size = docs.agg(F.count("*").alias("n")).join(length.agg(F.sum("dl").alias("total")), F.lit(True))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    q = queries.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    idf = q.join(df, "term").join(F.broadcast(size), F.lit(True)).select("qid", "term", "n", "total", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = idf.join(tf, "term").join(length, "doc_id")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") * F.col("n") / F.col("total"))
-    hit = hit.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
-    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-    return hit.withColumn("rank", r).where(F.col("rank") <= k).select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
-
-
 def q_bm25_topk(spark, d):
+    from orrery.operators.postings import bm25_stored
+
     docs = table(spark, d, "documents").select("doc_id", "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return bm25(docs, queries, 10)
+    return bm25_stored(docs, queries, 10)
 
 
 def q_lexical_rerank(spark, d):

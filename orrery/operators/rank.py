@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.vectors import COSINE, neighbours, similar_pairs
+from orrery.operators.similarity import PAIRS, similar_pairs
+from orrery.operators.vectors import COSINE, neighbours
 from orrery.sources.tables import table
 
 #: Edges of similarity bins: [lo, hi).
@@ -152,7 +153,7 @@ QUERIES = {
     "stability_by_bin_k": q_stability, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
 }
 
-_PAIRS = COSINE + ", pr as (select distinct least(qid, doc_id) as i, greatest(qid, doc_id) as j, round(s, 6) as sim from r where rank <= 20 and round(s, 6) >= 0.3)"
+_PAIRS = PAIRS
 _BIN = "case when sim >= 1.001 then {over} when sim >= 0.8 then 3 when sim >= 0.6 then 2 when sim >= 0.45 then 1 when sim >= 0.3 then 0 end"
 _DEPTH = (
     _PAIRS + f", h as (select qid, doc_id, rank from r where rank <= 10), b as (select i, j, {_BIN.format(over='3')} as bin from pr),"

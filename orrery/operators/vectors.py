@@ -127,16 +127,6 @@ def q_knn_cosine(spark, d):
     return neighbours(spark, d, 5, "cosine")
 
 
-def similar_pairs(spark, d: str, least: float, k: int = 20) -> DataFrame:
-    """Unordered pairs (i < j) among each vector's k nearest with cosine of at least ``least``."""
-    n = neighbours(spark, d, k, "cosine").where(F.col("score") >= least)
-    return n.select(F.least("qid", "doc_id").alias("i"), F.greatest("qid", "doc_id").alias("j"), F.col("score").alias("sim")).distinct()
-
-
-def q_knn_cosine_threshold_pairs(spark, d):
-    return similar_pairs(spark, d, 0.3)
-
-
 def q_threshold_curve(spark, d):
     """Share of vectors whose nearest other vector is at least that similar."""
     best = neighbours(spark, d, 1, "cosine").select("score")
@@ -279,8 +269,7 @@ def q_mean_pooling(spark, d):
 
 
 QUERIES = {
-    "knn_exact_ip": q_knn_exact_ip, "knn_exact_l2": q_knn_exact_l2, "knn_cosine": q_knn_cosine, "knn_cosine_threshold_pairs": q_knn_cosine_threshold_pairs,
-    "threshold_curve": q_threshold_curve, "ivf_label_probe": q_ivf_label_probe, "ivf_recall_vs_nprobe": q_ivf_recall_vs_nprobe, "ivf_warmstart": q_ivf_warmstart,
+    "knn_exact_ip": q_knn_exact_ip, "knn_exact_l2": q_knn_exact_l2, "knn_cosine": q_knn_cosine, "threshold_curve": q_threshold_curve, "ivf_label_probe": q_ivf_label_probe, "ivf_recall_vs_nprobe": q_ivf_recall_vs_nprobe, "ivf_warmstart": q_ivf_warmstart,
     "sq8_knn": q_sq8_knn, "index_describe": q_index_describe, "index_parameters": q_index_parameters, "tiered_latency": q_tiered_latency, "mean_pooling": q_mean_pooling,
 }
 
@@ -306,7 +295,6 @@ ORACLE_SQL = {
     "knn_exact_ip": IP + " select qid, rank, doc_id, round(s, 6) as score, split_part(text, chr(10), 1) as title from r join documents using (doc_id) where rank <= 10",
     "knn_exact_l2": L2 + " select qid, rank, doc_id, round(-s, 6) as score from r where rank <= 10",
     "knn_cosine": COSINE + " select qid, rank, doc_id, round(s, 6) as score from r where rank <= 5",
-    "knn_cosine_threshold_pairs": COSINE + " select distinct least(qid, doc_id) as i, greatest(qid, doc_id) as j, round(s, 6) as sim from r where rank <= 20 and round(s, 6) >= 0.3",
     "threshold_curve": COSINE + ", b as (select round(s, 6) as s from r where rank = 1) select t::double as threshold, round(avg((s >= t)::int), 6) as share from b cross join (select unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::double[]) as t) group by t",
     "ivf_label_probe": LISTS + " select qid, rank, doc_id, round(s, 6) as score from " + _RANKED.format(x=_PROBED.format(p="p", where="p.probe <= 2")) + " where rank <= 5",
     "ivf_recall_vs_nprobe": LISTS + f" select 1 as nprobe, recall from {_recall(1)} union all select 3, recall from {_recall(3)} union all select 10, recall from {_recall(10)}",

@@ -12,7 +12,6 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,18 +199,3 @@ l as (select *, lag(seq) over (partition by key, v order by seq) as last from q)
 select key, seq, id, last is not null and (select count(distinct b.v) from q b where b.key = l.key and b.seq > l.last and b.seq < l.seq) < 16 as hit from l""",
     "cache_unbounded": "with q as (select user_id as key, (props::json ->> '$.k')::bigint as id from events), k as (select key, id, count(*) as n from q join embeddings on vec_id = id group by all) select key, sum(n)::bigint as queries, (sum(n) - count(*))::bigint as hits from k group by key",
 }
-
-
-def cached_state(pdf: Iterator[pd.DataFrame], capacity: int, tolerance: float, held: list | None) -> tuple[list[bool], list]:
-    """One step of the streaming form: hits of a micro-batch and the keys to carry on."""
-    cache = ProximityCache(capacity, tolerance)
-    for v in held or []:
-        cache.insert(np.asarray(v, float), True)
-    hits = []
-    for frame in pdf:
-        for v in frame["v"]:
-            hit = cache.find(np.asarray(v, float)) is not None
-            if not hit:
-                cache.insert(np.asarray(v, float), True)
-            hits.append(hit)
-    return hits, [k.tolist() for k, _ in cache.held.values()]

@@ -6,9 +6,9 @@ from orrery.functions import models, text, udfs
 from orrery.operators import agents, approximate, cache, graph, inverted, items, lexical, lookup, metrics, prompts, rank, relational, similarity, stats, traces, vectors
 from orrery.plans import agents as agent_plans
 from orrery.plans import evaluation, serving
-from orrery.streaming import windows
+from orrery.streaming import caches, windows
 
-MODULES = (vectors, similarity, text, metrics, rank, stats, lexical, lookup, prompts, traces, relational, agents, items, cache, approximate, inverted, graph, udfs, windows, evaluation, models, agent_plans, serving)
+MODULES = (vectors, similarity, text, metrics, rank, stats, lexical, lookup, prompts, traces, relational, agents, items, cache, approximate, inverted, graph, udfs, windows, caches, evaluation, models, agent_plans, serving)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

@@ -8,16 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from orrery.operators.cache import cached_state
 from orrery.sources.tables import table
 
 DELAY = "10 minutes"
@@ -81,22 +75,6 @@ def q_stream_dedup(spark, d):
     return drained(e, "append", "dedup").groupBy("event_type").agg(F.count("*").alias("users"))
 
 
-def q_stream_cache(spark, d):
-    """The proximity cache as keyed state: each user's keys live in the state store between micro-batches."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    s = events(spark, d).select("user_id", F.get_json_object("props", "$.k").cast("long").alias("vec_id")).join(e, "vec_id")
-    out = StructType([StructField("user_id", LongType()), StructField("hit", BooleanType())])
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [np.asarray(v) for v in state.get[0]] if state.exists else None
-        hits, keep = cached_state(frames, 1 << 20, 0.0, held)
-        state.update((keep,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(hits), "hit": hits})
-
-    g = s.groupBy("user_id").applyInPandasWithState(step, out, "keys array<array<double>>", "append", GroupStateTimeout.NoTimeout)
-    return drained(g, "append", "cache").groupBy("user_id").agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"))
-
-
 def q_stream_enriched(spark, d):
     """A stream joined to a static dimension."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
@@ -106,13 +84,12 @@ def q_stream_enriched(spark, d):
 
 QUERIES = {
     "stream_tumbling": q_stream_tumbling, "stream_sliding": q_stream_sliding, "stream_session": q_stream_session,
-    "stream_dedup": q_stream_dedup, "stream_cache_state": q_stream_cache, "stream_static_join": q_stream_enriched,
+    "stream_dedup": q_stream_dedup, "stream_static_join": q_stream_enriched,
 }
 ORACLE_SQL = {
     "stream_tumbling": "select epoch(time_bucket(interval 1 hour, ts))::bigint as start, event_type, count(*) as n, round(sum(value), 4) as s from events group by 1, 2",
     "stream_sliding": "select epoch(time_bucket(interval 30 minutes, ts))::bigint - o * 1800 as start, count(*) as n, round(max(value), 4) as peak from events cross join (select unnest([0, 1]) as o) group by 1",
     "stream_session": "with g as (select user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) over w >= 1800000000, true)::int as new from events window w as (partition by user_id order by ts)), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as sid from g) select user_id, min(epoch_us(ts)) as start, count(*) as n from s group by user_id, sid",
     "stream_dedup": "select event_type, count(distinct user_id) as users from events group by 1",
-    "stream_cache_state": "with k as (select user_id, (props::json ->> '$.k')::bigint as id, count(*) as n from events join embeddings on vec_id = (props::json ->> '$.k')::bigint group by all) select user_id, sum(n)::bigint as queries, (sum(n) - count(*))::bigint as hits from k group by user_id",
     "stream_static_join": "select c_mktsegment, count(*) as n, round(sum(value), 4) as s from events join customer on c_custkey = user_id group by 1",
 }

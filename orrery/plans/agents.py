@@ -1,75 +1,104 @@
-"""Bounded agent loops: search, read, follow, and stop at a cap, at a repeat, or when nothing new is found; and a tree of refined queries."""
+"""Bounded agent loops: search, read, follow, and stop at a cap, at a repeat, or when nothing new is found; and a tree of refined queries.
+
+Nothing is searched ahead of time. A round searches from the places that its active items have just reached, each
+place once over all rounds and items; what a search found is kept beside the state, in the shared folder.
+"""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.vectors import IP, neighbours
+from orrery.operators.vectors import IP, embeddings, top_k
+from orrery.sources.scratch import Scratch
 from orrery.sources.tables import table
 
 #: Turns and searches of one item at most.
 TURNS, SEARCHES = 10, 5
 
+#: From rows (at) to (at, rank, doc_id, score): what a search from each place finds.
+Search = Callable[[DataFrame], DataFrame]
+
+
+class Searched:
+    """The hits of all places that were asked for so far."""
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A round's result, written to the shared folder: rounds don't grow the plan, and a lost executor costs its tasks only."""
-    from orrery.streaming.windows import scratch
+    def __init__(self, scratch: Scratch, search: Search) -> None:
+        self.scratch, self.search, self.hits, self.asked = scratch, search, None, None
 
-    path = scratch(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def of(self, places: DataFrame) -> DataFrame:
+        """The hits, once those of ``places`` (at) are among them."""
+        new = places.select("at").distinct()
+        if self.asked is not None:
+            new = new.join(self.asked, "at", "left_anti")
+        new = self.scratch.stored(new, "places")
+        if self.asked is None or not new.isEmpty():
+            found = self.scratch.stored(self.search(new), "hits")
+            self.hits = found if self.hits is None else self.hits.union(found)
+            self.asked = new if self.asked is None else self.asked.union(new)
+        return self.hits
 
 
-def agent_loop(hits: DataFrame, items: DataFrame, searches: int = SEARCHES, turns: int = TURNS) -> DataFrame:
+def agent_loop(search: Search, items: DataFrame, searches: int = SEARCHES, turns: int = TURNS) -> DataFrame:
     """(qid, read, finish): what each item's agent read, in order.
 
-    hits: (qid, rank, doc_id), what a search from ``qid`` finds; an agent searches from what it read last,
-    reads the best hit that it has not read, and goes on. It ends at ``searches`` ("limit"), at ``turns``
-    ("turns"), or when every hit was read before ("repeat"). Only items that go on take part in a round.
+    An agent searches from what it read last, reads the best hit that it has not read, and goes on. It ends at
+    ``searches`` ("limit"), at ``turns`` ("turns"), or when every hit was read before ("repeat"). Only items that go
+    on take part in a round, and only their places are searched from.
     """
-    state = items.select("qid", F.col("qid").alias("at"), F.array("qid").alias("read"), F.lit(None).cast("string").alias("finish"))
-    for turn in range(min(searches, turns)):
-        going = state.where("finish is null")
-        if going.isEmpty():
-            break
-        best = going.join(hits.select(F.col("qid").alias("at"), "rank", "doc_id"), "at").where(~F.array_contains("read", F.col("doc_id"))).groupBy("qid").agg(F.min_by("doc_id", "rank").alias("next"))
-        last = "limit" if turn + 1 == searches else "turns" if turn + 1 == turns else None
-        moved = going.join(best, "qid", "left").select(
-            "qid", F.coalesce("next", "at").alias("at"), F.when(F.col("next").isNull(), F.col("read")).otherwise(F.array_append("read", F.col("next"))).alias("read"),
-            F.when(F.col("next").isNull(), F.lit("repeat")).otherwise(F.lit(last)).cast("string").alias("finish"),
-        )
-        state = stored(state.where("finish is not null").union(moved), "agents")
-    return state.select("qid", F.slice("read", 2, turns).alias("read"), F.coalesce("finish", F.lit("limit")).alias("finish"))
-
-
-def refinement_tree(hits: DataFrame, expansions: int = 3, depth: int = 3) -> DataFrame:
-    """(qid, answer, confidence): each query is refined ``expansions`` ways, ``depth`` times over; the answer with the best mean score along its path, smaller answers on ties.
-
-    hits: (qid, rank, doc_id, score). A query makes expansions ** depth paths at most, and one row of the result.
+    with Scratch(items.sparkSession) as s:
+        searched = Searched(s, search)
+        state = items.select("qid", F.col("qid").alias("at"), F.array("qid").alias("read"), F.lit(None).cast("string").alias("finish"))
+        for turn in range(min(searches, turns)):
+            going = state.where("finish is null")
+            if going.isEmpty():
+                break
+            hits = searched.of(going)
+            best = going.join(hits, "at").where(~F.array_contains("read", F.col("doc_id"))).groupBy("qid").agg(F.min_by("doc_id", "rank").alias("next"))
+            last = "limit" if turn + 1 == searches else "turns" if turn + 1 == turns else None
+            moved = going.join(best, "qid", "left").select(
+                "qid", F.coalesce("next", "at").alias("at"), F.when(F.col("next").isNull(), F.col("read")).otherwise(F.array_append("read", F.col("next"))).alias("read"),
+                F.when(F.col("next").isNull(), F.lit("repeat")).otherwise(F.lit(last)).cast("string").alias("finish"),
+            )
+            state = s.stored(state.where("finish is not null").union(moved), "agents")
+        return s.kept(state.select("qid", F.slice("read", 2, turns).alias("read"), F.coalesce("finish", F.lit("limit")).alias("finish")))
+
+
+def refinement_tree(search: Search, items: DataFrame, expansions: int = 3, depth: int = 3) -> DataFrame:
+    """(qid, answer, confidence): each item (qid) is refined ``expansions`` ways, ``depth`` times over; the answer with the best mean score along its path, smaller answers on ties.
+
+    An item makes expansions ** depth paths at most, and one row of the result.
     """
-    step = hits.where(F.col("rank") <= expansions).select(F.col("qid").alias("at"), F.col("doc_id").alias("next"), "score")
-    paths = step.select(F.col("at").alias("qid"), F.col("next").alias("at"), F.col("score").alias("total"), F.lit(1).alias("steps"))
-    every = paths
-    for _ in range(depth - 1):
-        paths = paths.join(step, "at").select("qid", F.col("next").alias("at"), (F.col("total") + F.col("score")).alias("total"), (F.col("steps") + 1).alias("steps"))
-        every = every.union(paths)
-    every = every.withColumn("confidence", F.round(F.col("total") / F.col("steps"), 6))
-    best = Window.partitionBy("qid").orderBy(F.desc("confidence"), "at")
-    each = every.groupBy("qid", "at").agg(F.max("confidence").alias("confidence"))
-    return each.withColumn("r", F.row_number().over(best)).where("r = 1").select("qid", F.col("at").alias("answer"), "confidence")
+    with Scratch(items.sparkSession) as s:
+        searched = Searched(s, search)
+        paths = items.select("qid", F.col("qid").alias("at"), F.lit(0.0).alias("total"), F.lit(0).alias("steps"))
+        every = None
+        for _ in range(depth):
+            step = searched.of(paths).where(F.col("rank") <= expansions)
+            paths = s.stored(paths.join(step, "at").select("qid", F.col("doc_id").alias("at"), (F.col("total") + F.col("score")).alias("total"), (F.col("steps") + 1).alias("steps")), "paths")
+            every = paths if every is None else every.union(paths)
+        every = every.withColumn("confidence", F.round(F.col("total") / F.col("steps"), 6))
+        best = Window.partitionBy("qid").orderBy(F.desc("confidence"), "at")
+        each = every.groupBy("qid", "at").agg(F.max("confidence").alias("confidence"))
+        return s.kept(each.withColumn("r", F.row_number().over(best)).where("r = 1").select("qid", F.col("at").alias("answer"), "confidence"))
+
+
+def vector_search(e: DataFrame, k: int) -> Search:
+    """Exact search by inner product from the vectors (id, v) of the places; a vector does not find itself."""
+    return lambda places: top_k(e.join(places.select(F.col("at").alias("id")), "id", "left_semi"), e, k, same=True).withColumnRenamed("qid", "at")
 
 
 def q_agent_loop(spark, d):
-    hits = stored(neighbours(spark, d, 5).select("qid", "rank", "doc_id"), "hits")
-    r = agent_loop(hits, table(spark, d, "embeddings").select(F.col("vec_id").alias("qid")))
+    e = embeddings(spark, d).select("id", "v")
+    r = agent_loop(vector_search(e, 5), e.select(F.col("id").alias("qid")))
     return r.select("qid", F.array_join(F.col("read").cast("array<string>"), ",").alias("read"), "finish")
 
 
 def q_refinement_tree(spark, d):
-    return refinement_tree(stored(neighbours(spark, d, 3), "hits"))
+    e = embeddings(spark, d).select("id", "v")
+    return refinement_tree(vector_search(e, 3), e.select(F.col("id").alias("qid")))
 
 
 def q_example_finder(spark, d):

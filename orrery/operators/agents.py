@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from orrery.functions.text import slug
 from orrery.operators.lexical import page_text
 from orrery.operators.postings import bm25_stored
-from orrery.operators.prompts import _MINED, mined, passages
+from orrery.operators.mining import _MINED, mined
+from orrery.operators.prompts import _PASS, passages
 from orrery.sources.tables import table
 
 
@@ -79,7 +80,7 @@ def q_candidate_coercion(spark, d):
 
 def q_candidate_rerank(spark, d):
     """Mined scores clipped to a prior, blended with a length-normalised stand-in for a model's score."""
-    m = mined(passages(spark, d))
+    m = mined(spark, d)
     w = Window.partitionBy("qid")
     m = m.withColumn("clip", F.greatest(F.col("score"), F.lit(0.1)))
     m = m.withColumn("prior", F.log(F.col("clip") / F.sum("clip").over(w)))
@@ -90,7 +91,7 @@ def q_candidate_rerank(spark, d):
 
 def q_logit_diagnostics(spark, d):
     """Is the gold among the mined phrases, and is the best phrase the gold where it is; rates over the rows that have it."""
-    m = mined(passages(spark, d)).groupBy("qid").agg(F.collect_set("key").alias("keys"), F.min(F.struct(-F.col("score"), "key")).alias("best"))
+    m = mined(spark, d).groupBy("qid").agg(F.collect_set("key").alias("keys"), F.min(F.struct(-F.col("score"), "key")).alias("best"))
     gold = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.lower(F.regexp_extract(F.regexp_replace("text", r"[^\x00-\x7F]", "_"), r"^([A-Z][a-z]+)", 1)).alias("gold"))
     j = m.join(gold, "qid").select(F.array_contains("keys", F.col("gold")).cast("int").alias("mined"), (F.col("best.key") == F.col("gold")).cast("int").alias("selected"))
     return j.agg(F.count("*").alias("n"), F.round(F.avg("mined"), 6).alias("gold_mined"), F.round(F.coalesce(F.try_divide(F.sum(F.col("selected") * F.col("mined")), F.sum("mined")), F.lit(0.0)), 6).alias("selected_given_mined"))
@@ -122,7 +123,7 @@ tf as (select doc_id, term, count(*) as tf from t group by all), dl as (select d
 q as (select distinct item_id as qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) as term from benchmark),
 h as (select qid, doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl * n / total))), 6) as score from q join df using (term) join tf using (term) join dl using (doc_id), n group by all)
 select qid, row_number() over (partition by qid order by score desc, doc_id)::int as rank, doc_id, round(score, 4) as score from h qualify rank <= 5""",
-    "evidence_format": _MINED.split(", pa as (select qid, rank, regexp")[0] + r""", cl as (select qid, rank, regexp_replace(title, '["\\\x00-\x1f]', ' ', 'g') as title, regexp_replace(body, '["\\\x00-\x1f]', ' ', 'g') as body from pb)
+    "evidence_format": _PASS + r""", cl as (select qid, rank, regexp_replace(title, '["\\\x00-\x1f]', ' ', 'g') as title, regexp_replace(body, '["\\\x00-\x1f]', ' ', 'g') as body from pa)
 select qid, md5(string_agg('**Web Page ' || rank || ':**' || chr(10) || '{"title":"' || title || '","snippet":"' || left(body, 50) || '"}' || chr(10), chr(10) order by rank)) as evidence_md5 from cl group by qid""",
     "replace_steps": """with s as (select conv_id, turn, md5(text) as m from conversations where turn not in (1, 2, 99) union all select distinct conv_id, unnest([1, 99]), unnest(['edited', 'added']) from conversations)
 select conv_id, count(*)::int as steps, string_agg(turn || '=' || m, ';' order by turn) as "all" from s group by conv_id""",

@@ -193,6 +193,11 @@ QUERIES = {
     "proximity_cache_fifo": q_fifo, "proximity_cache_lru": q_lru, "cache_tolerance_sweep": q_tolerance_sweep, "cache_lsh_keys": q_lsh_cache, "cache_unbounded": q_unbounded_cache, "cache_lsh_policy": q_lsh_policy, "cache_hit_overlap": q_hit_overlap,
 }
 ORACLE_SQL = {
+    # with tolerance 0, FIFO answers if the vector is among the sixteen that were stored last
+    "proximity_cache_fifo": """with recursive q as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as seq, vec_id as id, md5(embedding::varchar) as v from events join embeddings on vec_id = (props::json ->> '$.k')::bigint),
+w as (select key, seq, id, [v] as held, false as hit from q where seq = 1
+      union all select q.key, q.seq, q.id, case when list_contains(w.held, q.v) then w.held else list_append(w.held, q.v)[-16:] end, list_contains(w.held, q.v) from w join q on q.key = w.key and q.seq = w.seq + 1)
+select key, seq, id, hit from w""",
     # with tolerance 0, LRU answers if fewer than 16 other vectors were asked for since the last time
     "proximity_cache_lru": """with q as (select user_id as key, row_number() over (partition by user_id order by ts, event_id) as seq, vec_id as id, embedding::varchar as v from events join embeddings on vec_id = (props::json ->> '$.k')::bigint),
 l as (select *, lag(seq) over (partition by key, v order by seq) as last from q)

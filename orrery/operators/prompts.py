@@ -70,31 +70,6 @@ def q_echo_context(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.concat(F.lit("Simulated answer.\n"), cut)).alias("answer_md5"))
 
 
-def mined(passages_: DataFrame) -> DataFrame:
-    """(qid, phrase, score): capitalised phrases weigh 1 / (1 + rank), numbers 0.5, years 1; summed by lower-cased phrase; of its forms the first by code point is kept."""
-    passages_ = passages_.withColumn("body", F.regexp_replace("body", r"[^\x00-\x7F]", "_"))  # engines differ about word edges beyond ASCII
-    caps = F.transform(F.regexp_extract_all("body", F.lit(r"\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})\b"), F.lit(1)), lambda x: F.struct(x.alias("p"), (F.lit(1.0) / F.col("rank")).alias("s")))
-    nums = F.transform(F.regexp_extract_all("body", F.lit(r"\b(\d+)\b"), F.lit(1)), lambda x: F.struct(x.alias("p"), F.lit(0.5).alias("s")))
-    years = F.transform(F.regexp_extract_all("body", F.lit(r"\b(1[5-9]\d\d|20\d\d)\b"), F.lit(1)), lambda x: F.struct(x.alias("p"), F.lit(1.0).alias("s")))
-    flat = passages_.select("qid", F.explode(F.concat(caps, nums, years)).alias("c")).select("qid", F.col("c.p").alias("phrase"), F.col("c.s").alias("score"))
-    return flat.groupBy("qid", F.lower("phrase").alias("key")).agg(F.round(F.sum("score"), 6).alias("score"), F.min("phrase").alias("phrase"))
-
-
-def q_mine_regex_candidates(spark, d):
-    m = mined(passages(spark, d))
-    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "key"))
-    return m.withColumn("rank", r).where("rank <= 10").select("qid", "rank", "phrase", "score")
-
-
-def q_candidate_bias(spark, d):
-    """Softmax over a query's candidates spread on their words, summed by word, capped."""
-    m = mined(passages(spark, d))
-    w = Window.partitionBy("qid")
-    m = m.withColumn("e", F.exp((F.col("score") - F.max("score").over(w)) / 2.0)).withColumn("p", F.col("e") / F.sum("e").over(w))
-    t = m.select("qid", "p", F.explode(F.split("key", " ")).alias("word")).groupBy("qid", "word").agg(F.round(F.least(F.sum("p") * 10, F.lit(2.0)), 6).alias("bias"))
-    return t.groupBy("qid").agg(F.count("*").alias("words"), F.round(F.sum("bias"), 6).alias("total"), F.round(F.max("bias"), 6).alias("most"))
-
-
 def q_answer_type(spark, d):
     heads = F.array(*(F.lit(x) for x in ("Who ", "How many ", "When ", "Where ", "Why ")))
     q = table(spark, d, "benchmark").select("item_id", F.explode(heads).alias("head"), "text")
@@ -129,15 +104,12 @@ def q_step_truncation(spark, d):
 
 
 QUERIES = {
-    "context_budget": q_context_budget, "chat_prompt": q_chat_prompt, "synthetic_generate": q_synthetic_generate, "echo_context": q_echo_context, "mine_regex_candidates": q_mine_regex_candidates,
-    "candidate_bias": q_candidate_bias, "answer_type": q_answer_type, "logit_gates": q_logit_gates, "exemplar_packing": q_exemplar_packing, "step_truncation": q_step_truncation,
+    "context_budget": q_context_budget, "chat_prompt": q_chat_prompt, "synthetic_generate": q_synthetic_generate, "echo_context": q_echo_context,
+    "answer_type": q_answer_type, "logit_gates": q_logit_gates, "exemplar_packing": q_exemplar_packing, "step_truncation": q_step_truncation,
 }
 
 _PASS = COSINE + ", pa as (select qid, rank, split_part(text, chr(10), 1) as title, case when contains(text, chr(10)) then substr(text, instr(text, chr(10)) + 1) else '' end as body from r join documents using (doc_id) where rank <= 3)"
 _CTX = _PASS + ", bl as (select qid, rank, 'Title: ' || title || chr(10) || body || chr(10) as block from pa), rm as (select *, 1500 - coalesce(sum(length(block)) over (partition by qid order by rank rows between unbounded preceding and 1 preceding), 0) as room from bl), cx as (select qid, trim(string_agg(left(block, room::bigint), chr(10) order by rank)) as context from rm where room > 0 group by qid)"
-_MINED = _PASS.replace("pa as (select qid, rank, split_part", "pb as (select qid, rank, split_part") + r""", pa as (select qid, rank, regexp_replace(body, '[^\x00-\x7F]', '_', 'g') as body from pb), fl as (select qid, unnest(regexp_extract_all(body, '\b([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})\b', 1)) as phrase, 1.0::double / rank as score from pa
-union all select qid, unnest(regexp_extract_all(body, '\b(\d+)\b', 1)), 0.5 from pa union all select qid, unnest(regexp_extract_all(body, '\b(1[5-9]\d\d|20\d\d)\b', 1)), 1.0 from pa),
-mi as (select qid, lower(phrase) as key, round(sum(score), 6) as score, min(phrase) as phrase from fl group by 1, 2)"""
 ORACLE_SQL = {
     "context_budget": _CTX + " select qid, length(context)::int as chars, md5(context) as context_md5 from cx",
     "chat_prompt": _CTX + f""", q as (select item_id as qid, case when ends_with(trim(text), '?') then trim(text) else trim(text) || '?' end as y, ['strict', 'open', 'none'][1 + item_id % 3] as mode from benchmark),
@@ -146,8 +118,6 @@ select qid, mode, case mode when 'strict' then '{MODES['strict']}' when 'open' t
   md5(case when mode = 'none' then 'Question: ' || question else 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question end) as user_md5 from z""",
     "synthetic_generate": "with p as (select conv_id, turn, 'Question: ' || text as p from conversations) select conv_id, turn, md5('[answer] ' || p) as answer_md5, greatest(1, length(p) // 4)::bigint as prompt_tokens, greatest(1, length('[answer] ' || p) // 4)::bigint as completion_tokens from p",
     "echo_context": "select conv_id, turn, md5('Simulated answer.' || chr(10) || split_part(text || chr(10) || chr(10) || 'Question: ?', chr(10) || chr(10) || 'Question:', 1)) as answer_md5 from conversations",
-    "mine_regex_candidates": _MINED + ", rk as (select *, row_number() over (partition by qid order by score desc, key)::int as rank from mi) select qid, rank, phrase, score from rk where rank <= 10",
-    "candidate_bias": _MINED + ", ex as (select qid, key, exp((score - max(score) over (partition by qid)) / 2.0::double) as e from mi), pr as (select qid, key, e / sum(e) over (partition by qid) as p from ex), wd as (select qid, p, unnest(string_split(key, ' ')) as word from pr), bi as (select qid, word, round(least(sum(p) * 10, 2.0), 6) as bias from wd group by all) select qid, count(*) as words, round(sum(bias), 6) as total, round(max(bias), 6) as most from bi group by qid",
     "answer_type": "select head, case head when 'Who ' then 'person' when 'How many ' then 'number' when 'When ' then 'date' when 'Where ' then 'location' else 'other' end as kind, count(*) as n from benchmark cross join (select unnest(['Who ', 'How many ', 'When ', 'Where ', 'Why ']) as head) group by head",
     "logit_gates": """with x as (select vec_id, unnest(embedding) as x from embeddings), p as (select vec_id, exp(x::double * 8) as e from x), q as (select vec_id, e / sum(e) over (partition by vec_id) as p, row_number() over (partition by vec_id order by e desc) as r from p),
 g as (select vec_id, round(max(p), 6) as pmax, round(max(p) - max(p) filter (r = 2), 6) as margin, round(-sum(p * ln(p)), 6) as entropy from q group by vec_id) select *, pmax < 0.3 and margin < 0.1 and entropy > 2.0 as open from g""",

@@ -97,6 +97,33 @@ def q_stability(spark, d):
     return long.groupBy("bin", "k", "metric").agg(F.count("*").alias("n"), F.round(F.avg("v"), 5).alias("mean"), *(F.round(F.percentile("v", q / 100), 5).alias(f"p{q}") for q in (10, 50, 90)))
 
 
+def capped(pairs: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` pairs (i, j) of each bin, by a seeded order that no run or partitioning changes."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
+    r = F.row_number().over(Window.partitionBy("bin").orderBy(order, "i", "j"))
+    return pairs.withColumn("_r", r).where(F.col("_r") <= most).drop("_r")
+
+
+def truth_modes(pairs: DataFrame, own: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(truth_for, bin, n, overlap, jaccard): means over pairs (i, j, bin) of the lists (id, ids) of both, from ``own``; from ``truth`` for i alone (q1) or both."""
+    parts = []
+    for mode, first, second in (("none", own, own), ("q1", truth, own), ("both", truth, truth)):
+        p = pairs.join(first.select(F.col("id").alias("i"), F.slice("ids", 1, k).alias("a")), "i").join(second.select(F.col("id").alias("j"), F.slice("ids", 1, k).alias("b")), "j")
+        parts.append(p.select("bin", overlap(F.col("a"), F.col("b")).alias("o"), jaccard(F.col("a"), F.col("b")).alias("c")).groupBy(F.lit(mode).alias("truth_for"), "bin").agg(F.count("*").alias("n"), F.round(F.avg("o"), 5).alias("overlap"), F.round(F.avg("c"), 5).alias("jaccard")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def q_truth_modes(spark, d):
+    """Lists of an 8-bit index against exact ones, 200 pairs a bin."""
+    from orrery.operators.vectors import embeddings, scalar_quantized, top_k
+
+    e = embeddings(spark, d)
+    lists = lambda n: ranked_lists(n, 5).select(F.col("qid").alias("id"), "ids")
+    own = lists(top_k(e, scalar_quantized(e).select("id", "v"), 5, "ip", same=True))
+    pairs = capped(similar_pairs(spark, d, 0.3).withColumn("bin", pair_bin(F.col("sim"), True)), 200, 7)
+    return truth_modes(pairs, own, lists(neighbours(spark, d, 5)), 5)
+
+
 def q_softmax_bias(spark, d):
     """Shifted softmax of a query's hit scores at a temperature, and rank decay times a blend with it."""
     w = Window.partitionBy("qid")
@@ -150,7 +177,7 @@ def q_set_algebra(spark, d):
 
 QUERIES = {
     "overlap_jaccard_at_k": q_overlap_jaccard, "rbo_at_k": q_rbo, "containment_vs_m": q_containment, "pair_bins": q_pair_bins, "bin_stats": q_bin_stats,
-    "stability_by_bin_k": q_stability, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
+    "stability_by_bin_k": q_stability, "stability_truth_modes": q_truth_modes, "softmax_bias": q_softmax_bias, "substring_dedupe": q_substring_dedupe, "ordered_dedupe": q_ordered_dedupe, "set_algebra": q_set_algebra,
 }
 
 _PAIRS = PAIRS
@@ -174,6 +201,14 @@ t as (select qid, doc_id from q where ri <= 5), l as (select qid, doc_id, rank f
     "pair_bins": _PAIRS + f" select i, j, {_BIN.format(over='3')} as overflow_bin, {_BIN.format(over='null')} as strict_bin from pr",
     "bin_stats": _PAIRS + f", b as (select *, {_BIN.format(over='3')} as bin from pr), q as (select bin, unnest([i, j]) as q from b) select bin, (select count(*) from b x where x.bin = q.bin) as pairs, count(distinct q) as queries, round(count(distinct q) / (select count(*) from e)::double, 6) as share from q group by bin",
     "stability_by_bin_k": _DEPTH + ", u as (unpivot (select bin, k, overlap, jaccard, rbo, mismatch from c) on overlap, jaccard, rbo, mismatch into name metric value v) select bin, k, metric, count(*) as n, round(avg(v), 5) as mean, round(quantile_cont(v, 0.1), 5) as p10, round(quantile_cont(v, 0.5), 5) as p50, round(quantile_cont(v, 0.9), 5) as p90 from u group by all",
+    "stability_truth_modes": _PAIRS + f""", cp as (select i, j, bin from (select i, j, {_BIN.format(over='3')} as bin from pr) qualify row_number() over (partition by bin order by md5('7:' || i || ':' || j), i, j) <= 200),
+x as (select id, unnest(v) as x, generate_subscripts(v, 1) as n from e), sp as (select n, min(x) as lo, max(x) as hi from x group by n),
+y as (select id, n, lo + case when hi > lo then floor((x - lo) / (hi - lo) * 255 + 0.5) else 0 end * (hi - lo) / 255 as y from x join sp using (n)), f as (select id, list(y order by n) as v from y group by id),
+ow as (select a.id as qid, b.id as doc_id, round(list_inner_product(a.v, b.v), 9) as s from e a join f b on a.id <> b.id qualify row_number() over (partition by qid order by s desc, doc_id) <= 5),
+tr as (select a.id as qid, b.id as doc_id, round(list_inner_product(a.v, b.v), 9) as s from e a join e b on a.id <> b.id qualify row_number() over (partition by qid order by s desc, doc_id) <= 5),
+md as (select * from (values ('none', 0, 0), ('q1', 1, 0), ('both', 1, 1)) as t(truth_for, p, q)), al as (select 0 as w, qid, doc_id from ow union all select 1, qid, doc_id from tr),
+sa as (select truth_for, bin, i, j, count(b.doc_id) as same from cp cross join md join al a on a.w = p and a.qid = i left join al b on b.w = q and b.qid = j and b.doc_id = a.doc_id group by all)
+select truth_for, bin, count(*) as n, round(avg(same / 5.0::double), 5) as overlap, round(avg(same / (10 - same)::double), 5) as jaccard from sa group by all""",
     "softmax_bias": COSINE + ", n as (select qid, rank, exp((round(s, 6) - max(round(s, 6)) over (partition by qid)) / 0.2::double) as e from r where rank <= 5), w as (select *, e / sum(e) over (partition by qid) as weight, count(*) over (partition by qid) as n from n) select qid, rank, round(weight, 6) as weight, round((0.2::double + 0.8::double * weight * n) / sqrt(rank), 6) as blend from w",
     "substring_dedupe": r"""with p as (select doc_id, unnest(x) as p, generate_subscripts(x, 1) as pos from (select doc_id, regexp_split_to_array(lower(text), '[.\n]') as x from documents)),
 f as (select doc_id, min(pos) as pos, trim(p) as phrase from p where trim(p) <> '' group by doc_id, trim(p)),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from orrery.sources.tables import table
 
 WARM_UP = 1
+#: Stages that come first in a summary.
+PREFERRED = ("click", "view", "retrieve", "purchase", "signup")
 
 
 def traces(spark, d: str) -> DataFrame:
@@ -40,10 +42,16 @@ def q_stage_means(spark, d):
     return per.select("run", F.explode("timings").alias("stage", "t")).groupBy("stage").agg(F.round(F.avg("t"), 6).alias("mean"), F.count("*").alias("runs"))
 
 
+def stage_columns(t: DataFrame, preferred: tuple[str, ...]) -> DataFrame:
+    """(run, a column a stage) of sums: the preferred stages that occur, in their order, then the others by name."""
+    seen = {r[0] for r in t.select("stage").where("stage is not null").distinct().collect()}  # names of stages, one a column
+    order = [s for s in preferred if s in seen] + sorted(seen - set(preferred))
+    p = t.groupBy("run").pivot("stage", order).agg(F.round(F.sum("latency"), 4))
+    return p.select("run", *(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in order))
+
+
 def q_summary_pivot(spark, d):
-    """One column a stage, in a fixed order; stages beyond it have none."""
-    t = traces(spark, d).groupBy("run").pivot("stage", ["click", "view", "purchase", "signup"]).agg(F.round(F.sum("latency"), 4))
-    return t.select("run", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("click", "view", "purchase", "signup")))
+    return stage_columns(traces(spark, d), PREFERRED)
 
 
 def q_dup_ratio_windows(spark, d):
@@ -101,7 +109,7 @@ _T = "with t as (select user_id as run, event_id, event_type as stage, event_typ
 ORACLE_SQL = {
     "trace_summary": _T + ", r as (select *, row_number() over (partition by run order by start, event_id) as r from t) select run, count(*) as requests, count(*) filter (ok) as succeeded, count(*) filter (not ok) as failed, " + ", ".join(f"round(quantile_disc(latency, {q / 100}) filter (ok), 6) as p{q}" for q in (50, 95, 99)) + ", round(avg(latency) filter (ok), 6) as mean, round(count(*) filter (ok) / nullif((max(start) - min(start)) / 1000000.0::double, 0), 9) as per_second from r where r > 1 group by run",
     "stage_means": _T + ", m as (select run, stage, sum(latency) as t from t group by all) select stage, round(avg(t), 6) as mean, count(*) as runs from m group by stage",
-    "summary_pivot": _T + " select run, " + ", ".join(f"round(coalesce(sum(latency) filter (stage = '{s}'), 0), 4) as {s}" for s in ("click", "view", "purchase", "signup")) + " from t group by run",
+    "summary_pivot": _T + " select run, " + ", ".join(f"round(coalesce(sum(latency) filter (stage = '{s}'), 0), 4) as {s}" for s in ("click", "view", "purchase", "signup", "error")) + " from t group by run",
     "dup_ratio_windows": _T + ", g as (select (start - lag(start) over (partition by k order by start, event_id)) / 1000000.0::double as gap from t where ok) select " + ", ".join(f"round(avg(coalesce((gap <= {s})::int, 0)), 6) as within_{s}" for s in (60, 600, 3600)) + " from g",
     "loadgen_summary": _T + " select round(avg(ok::int), 6) as success, round(count(*) filter (ok) / ((max(start + trunc(latency * 1000000)::bigint) filter (ok) - min(start) filter (ok)) / 1000000.0::double), 9) as rps, " + ", ".join(f"round(quantile_cont(latency, {q / 100}) filter (ok), 6) as p{q}" for q in (50, 95, 99)) + " from t",
     "resource_peaks": "select ts::date::varchar as day, round(max(value), 6) as peak, round(avg(value), 6) as mean, count(*) filter (event_type = 'error') as errors from events group by 1",

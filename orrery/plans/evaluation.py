@@ -54,7 +54,12 @@ def q_index_build(spark, d):
 
 QUERIES = {"sequential_pipeline": q_sequential_pipeline, "llm_only_pipeline": q_llm_only_pipeline, "confidence_loop": q_confidence_loop, "index_build_manifest": q_index_build}
 _P = "q as (select doc_id as qid, split_part(text, chr(10), 1) as question, string_split(split_part(text, chr(10), 1), ' ')[1] as gold from documents), pr as (select q.qid, gold, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question as p from q join cx using (qid)), an as (select *, '[answer] ' || p as answer from pr)"
+_TOKENS = "list_filter(string_split({x}, ' '), lambda t: t <> '')"
 ORACLE_SQL = {
+    "llm_only_pipeline": f"""with c as (select conv_id, turn, text, '[answer] ' || text as a, array_to_string(string_split(text, ' ')[1:5], ' ') as g from conversations where role = 'user'),
+n as (select conv_id, turn, text, {_TOKENS.format(x=_norm('a'))} as p, {_TOKENS.format(x=_norm('g'))} as t from c),
+m as (select *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(t, lambda y: y = x))))), 0) as same from n)
+select conv_id, turn, greatest(1, length(text) // 4)::bigint as prompt_tokens, round(case when len(p) = 0 and len(t) = 0 then 1.0 when same = 0 then 0.0 else 2 * same / (len(p) + len(t)) end, 6)::double as f1 from m""",
     "sequential_pipeline": _CTX + f", {_P} select count(*) as n, round(avg(({_norm('gold')} = {_norm('answer')})::int), 6) as em, round(avg(contains({_norm('answer')}, {_norm('gold')})::int), 6) as sub_em, sum(greatest(1, length(p) // 4))::bigint as prompt_tokens, sum(greatest(1, length(answer) // 4))::bigint as completion_tokens from an",
     "confidence_loop": """with e as (select vec_id as id, embedding::double[] as v from embeddings), s as (select a.id as qid, b.id as hit, round(list_inner_product(a.v, b.v) / ((sqrt(list_inner_product(a.v, a.v)) + 1e-12) * (sqrt(list_inner_product(b.v, b.v)) + 1e-12)), 9) as s from e a join e b on a.id <> b.id),
 n as (select qid, hit, round(s, 6) as score from s qualify row_number() over (partition by qid order by s desc, hit) = 1),

@@ -1,9 +1,9 @@
 """Substring dedup: paragraph MinHash banding, exact Jaccard, components.
 
-A passage may stand in a line of its own, open a line or close one. So a text's paragraphs are taken
-from both ends of its lines: from each line's first word on to the first sentence end that makes at
-least ``MIN_WORDS`` words, and from each line's last word back likewise; lines of twice that and more
-are cut on in both directions. Paragraphs may span short lines and may overlap.
+A passage may stand in a line of its own, open a line, close one, or stand amid one. So a text's paragraphs are taken
+from every sentence (and line) on to the first sentence end that makes at least ``MIN_WORDS`` words, and
+from each line's last word back likewise; backwards, lines of twice that and more are cut on. Paragraphs may span short
+lines and overlap. A near copy amid a line is found where a paragraph of it, from one of its own sentences on, reaches ``SIMILARITY``.
 
 Each paragraph's word shingles are MinHashed; the bands are tuned for recall. Paragraphs that share a
 band meet in a bucket, where pairs are verified by exact Jaccard similarity of their shingles; a bucket
@@ -131,15 +131,11 @@ def paragraphs_of(w: Words, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     top, after = w.of_text[w.text], w.of_text[w.text + 1]  # the text that a word is in
     found = []
-    # forwards: (from, bound that a further cut may not cross)
-    a, bound = w.lines[:-1], w.lines[1:]
-    while a.size:
-        e = w.breaks[np.minimum(np.searchsorted(w.breaks, a + least), len(w.breaks) - 1)]
-        ok = (a + least <= after[a]) & (e <= after[a])
-        a, e, bound = a[ok], e[ok], bound[ok]
-        found.append((a, e))
-        on = e + least <= bound
-        a, bound = e[on], bound[on]
+    # forwards from every sentence
+    a = w.breaks[:-1]
+    e = w.breaks[np.minimum(np.searchsorted(w.breaks, a + least), len(w.breaks) - 1)]
+    ok = (a + least <= after[a]) & (e <= after[a])
+    found.append((a[ok], e[ok]))
     # backwards
     e, bound = w.lines[1:], w.lines[:-1]
     while e.size:

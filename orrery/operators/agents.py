@@ -51,29 +51,70 @@ def q_replace_steps(spark, d):
     return s.select("conv_id", F.size("s").alias("steps"), F.array_join(F.transform("s", lambda x: F.concat(x.key.cast("string"), F.lit("="), x.value)), ";").alias("all"))
 
 
-def atomic_spans(x: Column) -> Column:
-    """Numbers with their unit, years from 1500 to 2099, runs of capitalised words; without repeats."""
-    nums = F.regexp_extract_all(x, F.lit(r"(\d+(?: [a-z]+)?)"), F.lit(1))
-    years = F.regexp_extract_all(x, F.lit(r"(1[5-9]\d\d|20\d\d)"), F.lit(1))
-    names = F.regexp_extract_all(x, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(nums, years, names), lambda s: F.lower(s)))
+#: Units of a number, words inside a name, words of a name or of a span that stands for itself at most.
+UNITS = "pages?|years?|months?|days?|km|kilometers?|miles?|meters?|feet|ft|inches?|%|dollars?|usd|euros?|pounds?"
+PARTICLES = "de|da|del|van|von|al|bin|ibn|la|le|of"
+SPAN_WORDS = 6
+SPANS = {
+    "number": r"(?i)\b(\d{1,6}(?:\.\d+)?(?:\s+(?:" + UNITS + r"))?)\b",
+    "year": r"\b(1[5-9]\d{2}|20\d{2})\b",
+    "name": r"\b((?:[A-Z][a-z]+|[A-Z]\.)(?:\s+(?:[A-Z][a-z]+|[A-Z]\.|" + PARTICLES + r"))*)\b",
+}
+#: What a question of each kind takes from a span.
+WANTED = {"number": ("number",), "date": ("number", "year"), "person": ("name",), "location": ("name",)}
+
+
+def atomic_spans(x: Column, kind: Column) -> Column:
+    """The atomic parts of a span for a kind of answer, in order, repeats included: numbers with their units, years, names; and the span itself if it is short and no sentence."""
+    clean = F.trim(F.regexp_replace(x, r"\s+", " "))
+    found = F.array().cast("array<string>")
+    for name, pattern in SPANS.items():
+        kinds = [k for k, names in WANTED.items() if name in names]
+        found = F.concat(found, F.when(kind.isin(*kinds), F.regexp_extract_all(x, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    found = F.filter(F.transform(found, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.size(F.split(s, " ")) <= SPAN_WORDS)
+    own = (clean != "") & (F.size(F.split(clean, " ")) <= SPAN_WORDS) & ~clean.rlike(r"[.!?;]|,.*,")
+    return F.concat(found, F.when(own, F.array(clean)).otherwise(F.array().cast("array<string>")))
+
+
+def distinct_spans(rows: DataFrame, key: str) -> DataFrame:
+    """(key, span): each of rows' ``spans`` once, whatever its case; the first form stays."""
+    each = rows.select(key, F.posexplode("spans").alias("at", "span"))
+    return each.groupBy(key, F.lower("span").alias("_low")).agg(F.min_by("span", "at").alias("span")).select(key, "span")
 
 
 def q_atomic_spans(spark, d):
-    a = atomic_spans(F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
-    return table(spark, d, "documents").select("doc_id", F.size(a).alias("spans"), F.md5(F.array_join(F.array_sort(a), "|")).alias("spans_md5"))
+    """Of every document's lines, by four kinds of question in turn."""
+    kinds = F.array(*map(F.lit, WANTED))
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "line"), F.element_at(kinds, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")).alias("kind"))
+    spans = lines.select("doc_id", F.concat_ws(":", "doc_id", "n").alias("line_id"), atomic_spans(F.col("line"), F.col("kind")).alias("spans"))
+    own = distinct_spans(spans, "line_id").groupBy(F.substring_index("line_id", ":", 1).cast("long").alias("doc_id"))
+    return own.agg(F.count("*").alias("spans"), F.md5(F.array_join(F.array_sort(F.collect_list("span")), "|")).alias("spans_md5"))
 
 
 def candidates(x: Column) -> Column:
-    """Phrase and score from a JSON list of objects, or of strings (score 0), blank phrases out."""
-    objects = F.from_json(x, "array<struct<phrase string, score double>>")
-    strings = F.transform(F.from_json(x, "array<string>"), lambda s: F.struct(s.alias("phrase"), F.lit(0.0).alias("score")))
-    return F.filter(F.when(F.contains(x, F.lit('"phrase"')), objects).otherwise(strings), lambda c: F.trim(c.phrase) != "")
+    """Phrases and scores from a JSON list, whatever its elements are: objects (candidate or phrase; score, llm_score or prior), pairs, or plain values (score 0); blank phrases out."""
+    text = lambda v, at: F.trim(F.coalesce(F.try_variant_get(v, at, "string"), F.lit("")))
+    number = lambda v, at: F.try_variant_get(v, at, "double")
+
+    def one(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        named = F.when(F.coalesce(F.try_variant_get(v, "$.candidate", "string"), F.lit("")) != "", text(v, "$.candidate")).otherwise(text(v, "$.phrase"))
+        scored = F.coalesce(*(number(v, f"$.{k}") for k in ("score", "llm_score", "prior")), F.lit(0.0))
+        pair = kind.startswith("ARRAY") & F.try_variant_get(v, "$[1]", "variant").isNotNull()
+        phrase = F.when(kind.startswith("OBJECT"), named).when(pair, text(v, "$[0]")).otherwise(text(v, "$"))
+        return F.struct(phrase.alias("phrase"), F.when(kind.startswith("OBJECT"), scored).when(pair, F.coalesce(number(v, "$[1]"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"))
+
+    return F.filter(F.transform(F.try_variant_get(F.try_parse_json(x), "$", "array<variant>"), one), lambda c: c.phrase != "")
 
 
 def q_candidate_coercion(spark, d):
+    """Lists that mix objects of two kinds, pairs, strings, numbers and blanks, and broken ones."""
     e = table(spark, d, "events")
-    j = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('[{"phrase":"'), "event_type", F.lit('","score":'), (F.col("event_id") % 10).cast("string"), F.lit('},{"phrase":" ","score":1}]'))).otherwise(F.concat(F.lit('["'), "event_type", F.lit('",""]')))
+    n, t = (F.col("event_id") % 10).cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"'))
+    j = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('[{"phrase":'), t, F.lit(',"score":'), n, F.lit('},{"phrase":" ","score":1},"x"]')))
+    j = j.when(F.col("event_id") % 4 == 1, F.concat(F.lit('[{"candidate":'), t, F.lit(',"prior":'), n, F.lit('.5},["x",2],["x","no"]]')))
+    j = j.when(F.col("event_id") % 4 == 2, F.concat(F.lit("[["), t, F.lit(","), n, F.lit('],"",7]'))).otherwise(F.concat(F.lit("["), t))
     c = e.select("event_id", F.explode(candidates(j)).alias("c"))
     return c.groupBy("c.phrase").agg(F.count("*").alias("n"), F.round(F.sum("c.score"), 4).alias("score"))
 
@@ -127,9 +168,15 @@ select qid, row_number() over (partition by qid order by score desc, doc_id)::in
 select qid, md5(string_agg('**Web Page ' || rank || ':**' || chr(10) || '{"title":"' || title || '","snippet":"' || left(body, 50) || '"}' || chr(10), chr(10) order by rank)) as evidence_md5 from cl group by qid""",
     "replace_steps": """with s as (select conv_id, turn, md5(text) as m from conversations where turn not in (1, 2, 99) union all select distinct conv_id, unnest([1, 99]), unnest(['edited', 'added']) from conversations)
 select conv_id, count(*)::int as steps, string_agg(turn || '=' || m, ';' order by turn) as "all" from s group by conv_id""",
-    "atomic_spans": r"""with t as (select doc_id, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') as x from documents), s as (select doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(x, '(\d+(?: [a-z]+)?)', 1) || regexp_extract_all(x, '(1[5-9]\d\d|20\d\d)', 1) || regexp_extract_all(x, '([A-Z][a-z]+(?: [A-Z][a-z]+)+)', 1), lambda s: lower(s)))) as s from t)
-select doc_id, len(s)::int as spans, md5(array_to_string(s, '|')) as spans_md5 from s""",
-    "candidate_coercion": "select event_type as phrase, count(*) as n, round(sum(case when event_id % 2 = 0 then event_id % 10 else 0 end), 4)::double as score from events group by 1",
+    "atomic_spans": rf"""with l as (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as n, ['number', 'date', 'person', 'location'][1 + doc_id % 4] as kind from (select doc_id, string_split(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), chr(10)) as x from documents)),
+f as (select doc_id, n, line, trim(regexp_replace(line, '\s+', ' ', 'g')) as clean,
+  list_filter(list_transform(case when kind in ('number', 'date') then regexp_extract_all(line, '{SPANS['number']}', 1) else [] end || case when kind = 'date' then regexp_extract_all(line, '{SPANS['year']}', 1) else [] end || case when kind in ('person', 'location') then regexp_extract_all(line, '{SPANS['name']}', 1) else [] end, lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: len(string_split(s, ' ')) <= {SPAN_WORDS}) as found from l),
+a as (select doc_id, n, found || case when clean <> '' and len(string_split(clean, ' ')) <= {SPAN_WORDS} and not regexp_matches(clean, '[.!?;]|,.*,') then [clean] else [] end as spans from f),
+u as (select doc_id, n, unnest(spans) as span, generate_subscripts(spans, 1) as pos from a), y as (select doc_id, n, arg_min(span, pos) as span from u group by doc_id, n, lower(span))
+select doc_id, count(*) as spans, md5(string_agg(span, '|' order by span)) as spans_md5 from y group by doc_id""",
+    "candidate_coercion": """with e as (select event_id, event_type, event_id % 10 as n, event_id % 4 as k from events), c as (
+select event_type as phrase, case k when 1 then n + 0.5 else n end as score from e where k < 3 union all select 'x', 0 from e where k = 0 union all select 'x', 2 from e where k = 1 union all select 'x', 0 from e where k = 1 union all select '7', 0 from e where k = 2)
+select phrase, count(*) as n, round(sum(score), 4)::double as score from c group by phrase""",
     "candidate_rerank": _MINED + ", c as (select qid, key, greatest(score, 0.1) as clip from mi), p as (select qid, key, ln(clip / sum(clip) over (partition by qid)) as prior from c), f as (select qid, key, round(-length(key) / sqrt(length(key)) + 0.5::double * prior, 6) as final from p) select qid, row_number() over (partition by qid order by final desc, key)::int as rank, key, final from f qualify rank <= 3",
     "logit_diagnostics": _MINED + r""", g as (select doc_id as qid, lower(regexp_extract(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '^([A-Z][a-z]+)', 1)) as gold from documents), b as (select qid, key from mi qualify row_number() over (partition by qid order by score desc, key) = 1),
 j as (select exists (select 1 from mi where mi.qid = b.qid and mi.key = gold)::int as mined, (key = gold)::int as selected from b join g using (qid)) select count(*) as n, round(avg(mined), 6) as gold_mined, round(coalesce(sum(selected * mined) / nullif(sum(mined), 0)::double, 0.0), 6) as selected_given_mined from j""",

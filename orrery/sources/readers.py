@@ -88,10 +88,12 @@ def write_lists(vectors: DataFrame, path: str) -> DataFrame:
     return vectors.sparkSession.read.parquet(path)
 
 
-def discover_runs(spark: SparkSession, root: str) -> DataFrame:
-    """(run, file): result files below ``root``, by the folder they lie in."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "results*.jsonl").load(root)
-    return f.select(F.element_at(F.split("path", "/"), -2).alias("run"), F.col("path").alias("file"), "length")
+def discover_runs(spark: SparkSession, root: str, pattern: str = "results*.jsonl") -> DataFrame:
+    """(run, folder, files, bytes): the folders below ``root`` with result files, each once, in order of their paths; no file is read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")
+    runs = f.groupBy(folder).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return runs.select(F.element_at(F.split("folder", "/"), -1).alias("run"), "folder", "files", "bytes").orderBy("folder")
 
 
 def synthetic_vectors(spark: SparkSession, n: int, dim: int, seed: int = 123) -> DataFrame:

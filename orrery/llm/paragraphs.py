@@ -14,8 +14,9 @@ keeps its paragraphs, the others' are removals.
 Most paragraphs share nothing with any other text, and those are not banded. An edit costs a pair eight or more
 of the shingles in its union, so a pair at ``SIMILARITY`` has a common run of ``REACH`` words at least (if it
 does not repeat its own shingles). Of the hashes of the ``ANCHOR`` words from each place of such a run on, the
-least is the run's anchor: equal runs have equal anchors. Only paragraphs with a run whose anchor occurs in
-another text are banded.
+least is the run's anchor: equal runs have equal anchors. Only paragraphs are banded of which runs whose anchors occur in
+other texts cover ``COVERED``: between two edits, or an edit and an end, up to REACH - 1 words may be in no common run, so a
+pair at SIMILARITY, which has one edit in 45 words at most, has nearly half of its words in such runs.
 
 A passage that stands amid lines need not hold a paragraph. So every run of ``MIN_WORDS`` words (a window),
 wherever it begins, is compared as well, by equality; only windows all of whose runs have such anchors are
@@ -56,6 +57,8 @@ CHUNK = 512
 SENT = 200_000
 #: Words that are hashed for an anchor, and of a run that has one; a text has about 2 / (REACH - ANCHOR + 2) anchors a word.
 ANCHOR, REACH = 8, 23
+#: Share of a paragraph's words that common runs must cover: 1 - REACH / 45, with room.
+COVERED = 0.45
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -312,6 +315,14 @@ def anchored(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc long, whole long, start long, end long, words long, anchors array<long>")
 
 
+def covered_by(wanted: np.ndarray) -> np.ndarray:
+    """How many words before each place stand in a wanted run; wanted: 1 where one begins."""
+    ends = np.zeros(len(wanted) + REACH + 1, np.int64)
+    ends[: len(wanted)] += wanted
+    ends[REACH : len(wanted) + REACH] -= wanted
+    return np.append(0, np.cumsum(np.cumsum(ends)[: len(wanted)] > 0))
+
+
 #: What is found in the texts that have a wanted anchor.
 MET = "whole long, lo long, hi long, at long, start long, end long, words long, content long, bands array<long>, set binary"
 
@@ -348,11 +359,12 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
                 continue
             shared = np.zeros(len(w.hash) + 1, np.int64)
             shared[first + 1] = np.isin(anchor, b.column(4).flatten().to_numpy())
+            covered = covered_by(shared[1:])
             shared = np.cumsum(shared)  # how many runs before each word have a wanted anchor
             i = np.flatnonzero(np.arange(len(w.hash)) + MIN_WORDS <= w.of_text[w.text + 1])
             i = i[shared[i + inside] - shared[i] == inside]
             a, e = paragraphs_of(w)
-            near = shared[e - REACH + 1] > shared[a]
+            near = covered[e] - covered[a] >= COVERED * (e - a)
             a, e = a[near], e[near]
             content = contents(w, a, e)
             if len(sent) > SENT:
@@ -414,6 +426,18 @@ def repeated_paragraphs(found: DataFrame) -> DataFrame:
     return found.select("content", "whole", "start", "end", "words").join(named, "content").drop("content")
 
 
+def part_of(spark, path: str) -> DataFrame:
+    """The rows (MET) of a folder that may have none and then is not there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(MET).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MET)
+
+
 def places(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, whole, start, end, words, keeper) of everything that repeats, each place of a text once."""
     common.text_batches(docs.sparkSession)
@@ -428,12 +452,15 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
         owners = common.stored(texts.select("doc", "whole").distinct(), "owners")
         common.dropped(texts)
         common.released(docs.sparkSession)
-        found = common.stored(met(docs, key, text, wanted), "met")
+        path = common.new_path(docs.sparkSession, "met")
+        met(docs, key, text, wanted).withColumn("window", F.col("at") >= 0).write.option("compression", "zstd").partitionBy("window").parquet(path)
         common.released(docs.sparkSession)
-        parts = common.stored(repeated_windows(found.where("at >= 0")), "windows")
+        windows, others = (part_of(docs.sparkSession, f"{path}/window={x}") for x in ("true", "false"))
+        parts = common.stored(repeated_windows(windows), "windows")
+        common.dropped(windows)
         common.released(docs.sparkSession)
-        parts = parts.union(common.stored(repeated_paragraphs(found.where("at < 0")), "paragraphs"))
-        common.dropped(found)
+        parts = parts.union(common.stored(repeated_paragraphs(others), "paragraphs"))
+        common.dropped(others)
         parts = parts.union(each.where("lo <> hi").select("whole", "start", "end", "words", F.col("lo").alias("keeper")))
         parts = common.stored(parts.groupBy("whole", "start", "end", "words").agg(F.min("keeper").alias("keeper")), "parts")
         return keep(common.stored(owners.join(parts, "whole"), "places"))

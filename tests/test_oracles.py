@@ -45,6 +45,15 @@ def test_hit_rate_grows_with_tolerance(spark):
     assert [r["hits"] for r in rows] == sorted(r["hits"] for r in rows)
 
 
+def test_of_pages_with_one_url_the_first_with_html_is_fetched(spark, tmp_path):
+    pages = [(1, "u", None), (2, "u", "<p>two</p>"), (3, "u", "<p>three</p>"), (4, "v", None), (5, None, "<p>five</p>")]
+    for name, rows in (("up", pages), ("down", pages[::-1])):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/{name}/pages.parquet")
+    agrees(spark, QUERIES["page_fetch"], ORACLE_SQL["page_fetch"], f"{tmp_path}/up")
+    both = [sorted(map(str, QUERIES["page_fetch"](spark, f"{tmp_path}/{name}").collect())) for name in ("up", "down")]
+    assert both[0] == both[1]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -85,6 +85,40 @@ def test_top_k_equals_brute_force(spark, metric):
     assert vectors.top_k(df, df.limit(2), 5, metric).where("qid = 0").count() == 2
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2", "cosine"])
+def test_top_k_over_many_cells(spark, monkeypatch, metric):
+    """Copies that tie at the k-th place, blocks of uneven size, several groups of queries; a cell gives k rows a query, however much it reads."""
+    for name, v in (("BLOCK", 64), ("CELL_QUERIES", 200), ("CELL_CORPUS", 300)):
+        monkeypatch.setattr(vectors, name, v)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(700, 6)).round(1)
+    v[rng.integers(0, 700, 80)] = v[5]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    n = v / (np.sqrt((v * v).sum(1)) + 1e-12)[:, None]
+    s = {"ip": v @ v.T, "cosine": n @ n.T, "l2": -((v[:, None] - v[None]) ** 2).sum(2)}[metric].round(9)
+    np.fill_diagonal(s, -np.inf)
+    want = {q: np.lexsort((np.arange(700), -s[q]))[:7].tolist() for q in range(700)}
+    got = {}
+    for r in vectors.top_k(df, df, 7, metric, same=True).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.doc_id)
+    assert got == want
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_few_products_are_ranked(monkeypatch, metric):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6400, 16))
+    best, ranked, add = vectors.Best(np.arange(64), x[:64], 5, metric), [], vectors.Best.add
+    monkeypatch.setattr(vectors.Best, "add", lambda self, r, *more: (ranked.append(len(r)), add(self, r, *more)))
+    for at in range(0, 6400, 64):
+        y = x[at : at + 64]
+        best.see(np.arange(at, at + 64), np.hstack([y, -(y * y).sum(1)[:, None] / 2]) if metric == "l2" else y, True)
+    assert sum(ranked) < 0.02 * 64 * 6400
+    s = {"ip": x[:64] @ x.T, "l2": -((x[:64, None] - x[None]) ** 2).sum(2)}[metric].round(9)
+    s[np.arange(64), np.arange(64)] = -np.inf
+    assert np.array_equal(best.found, [np.lexsort((np.arange(6400), -r))[:5] for r in s])
+
+
 def test_get_many(spark):
     store = spark.createDataFrame([(1, "a"), (2, "b")], "pid long, title string")
     req = spark.createDataFrame([(0, [2, 9, 2]), (1, [])], "req long, ids array<long>")

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from orrery.operators import similarity
+from orrery.operators import rank, similarity
+from pyspark.sql import functions as F
 
 
 def clustered(n, dim, seed=1):
@@ -49,3 +50,45 @@ def test_thresholds(spark):
     for bad in (0, -0.5, 1.1):
         with pytest.raises(ValueError, match="threshold"):
             similarity.cosine_join(rows, bad)
+
+
+@pytest.fixture
+def compared(spark, tmp_path, monkeypatch):
+    """(folder, similarities, neighbour lists) of vectors in several groups, with copies."""
+    for name, v in (("BLOCK", 16), ("GROUP", 100)):
+        monkeypatch.setattr(similarity, name, v)
+    x = clustered(300, 12)
+    x[7] = x[8] = x[200]
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x / (np.sqrt((x * x).sum(1)) + 1e-12)[:, None]
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    return str(tmp_path), {(i, j): c for i, j, c in brute(x, 0.3)}, [np.lexsort((np.arange(300), -r))[:10].tolist() for r in s]
+
+
+def test_lists_are_compared_where_pairs_are_found(spark, compared):
+    d, sims, lists = compared
+    same = {p: [len({*lists[p[0]][:k]} & {*lists[p[1]][:k]}) for k in range(1, 11)] for p in sims}
+    got = {(r.i, r.j, r.k): (r.overlap, r.jaccard, r.mismatch) for r in rank.q_overlap_jaccard(spark, d).collect()}
+    assert len(got) == 2 * len(sims)
+    for (i, j, k), v in got.items():
+        n = same[i, j][k - 1]
+        assert v == pytest.approx((n / k, n / (2 * k - n), 1 - n / k), abs=1e-6)
+    got = {(r.i, r.j): r.rbo for r in rank.q_rbo(spark, d).collect()}
+    assert got == pytest.approx({p: 0.1 * sum(0.9**e * n / (e + 1) for e, n in enumerate(c)) for p, c in same.items()}, abs=1e-6)
+    tally = rank.compared(spark, d, rank.Tally).agg(F.sum("n"), F.count("*")).first()
+    assert tally[0] == len(sims) > tally[1]  # outcomes, not pairs, leave a cell
+
+
+def test_a_cell_gives_no_more_pairs_of_a_bin_than_the_cap(spark, compared):
+    d, sims, _ = compared
+    own = similarity.cosine_join(rank.embeddings(spark, d), 0.3, rank.least_of_bins(5, 7))
+    everything = rank.similar_pairs(spark, d, 0.3).withColumn("bin", rank.pair_bin(F.col("sim"), True))
+    want = {(r.i, r.j, r.bin) for r in rank.capped(everything, 5, 7).collect()}
+    assert {(r.i, r.j, r.bin) for r in rank.capped(own, 5, 7).collect()} == want
+    assert own.count() < len(sims) / 4
+
+
+def test_common_ids_at_each_depth():
+    a, b = np.array([[1, 2, 3], [4, -1, -1]]), np.array([[2, 9, 1], [-1, 4, -1]])
+    assert rank.commons(a, b).tolist() == [0 * 1 + 1 * 2 + 2 * 6, 0 * 1 + 1 * 2 + 1 * 6]

@@ -54,6 +54,12 @@ def test_of_pages_with_one_url_the_first_with_html_is_fetched(spark, tmp_path):
     assert both[0] == both[1]
 
 
+def test_containment_searches_twice(spark):
+    """A search is three maps: both sides packed, and the cells."""
+    plan = QUERIES["containment_vs_m"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow run") == 6
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -28,7 +28,8 @@ Equal paragraphs are one node before anything is paired, and a task sends a para
 at most. A bucket whose paragraphs all lie in one text is passed over, and pairs in one document are: a cluster is what
 links between different documents and equal paragraphs connect. A paragraph that is near only to another of its own
 document is not in that one's cluster, and stays.
-Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks.
+Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks. Buckets
+are verified in a few rounds, as a paragraph's shingles go to each of its buckets and would fill the disk at once.
 
 Null, empty and short texts (under MIN_WORDS words): no paragraphs. Very long texts are read whole.
 Null key: the text's hash stands in. Rows that repeat a key count as one document. Other columns pass
@@ -37,7 +38,8 @@ through ``removed`` untouched. Empty table: no rows. Offsets are bytes of the UT
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ RECALL = 0.99
 #: Pairs at UNLIKE may share a band with this chance at most.
 UNLIKE, BY_CHANCE = 0.3, 0.03
 CHUNK = 512
+#: Members of buckets that one round verifies, and rounds at most: a round's shuffled sets go before the next round's.
+ROUND_MEMBERS, ROUNDS = 500_000, 6
 #: Contents that a task remembers to have sent.
 SENT = 200_000
 #: Words that are hashed for an anchor, and of a run that has one; a text has about 2 / (REACH - ANCHOR + 2) anchors a word.
@@ -245,7 +249,16 @@ def verified(sets: list[np.ndarray], ends: np.ndarray, lo: np.ndarray, hi: np.nd
     return forest.root
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def by_rounds(rows: Callable[[int], DataFrame], rounds: int, name: str) -> DataFrame:
+    """The rows of every round, stored; a round's shuffle files are released before the next one begins."""
+    parts = []
+    for r in range(rounds):
+        parts.append(common.stored(rows(r), name))
+        common.released(parts[-1].sparkSession)
+    return reduce(DataFrame.union, parts)
+
+
+def links(members: DataFrame, sets: DataFrame, rounds: int = 1) -> DataFrame:
     """(a, b): verified near-duplicate contents, enough of them to connect all that are.
 
     members: (bucket, content); sets: (content, set, lo, hi), lo and hi the least and greatest document it lies in.
@@ -258,7 +271,7 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
     m = m.withColumn("_other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))))
     m = m.where("count is null or _own <> _other")
     m = m.withColumn("deal", F.when(F.col("count").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other"))))
-    dealt = m.select("deal", "content").join(sets, "content").repartition(n, "deal").sortWithinPartitions("deal", "content")
+    m = m.select("deal", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.keyed_runs(batches, ["deal"]):
@@ -272,7 +285,11 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame:
             if len(child):
                 yield pa.RecordBatch.from_arrays([pa.array(content[child]), pa.array(content[root[child]])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    def of_round(r: int) -> DataFrame:
+        dealt = m.where(F.pmod("deal", F.lit(rounds)) == r).join(sets, "content").repartition(n, "deal").sortWithinPartitions("deal", "content")
+        return dealt.mapInArrow(run, "a long, b long")
+
+    return by_rounds(of_round, rounds, "links")
 
 
 def runs(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -410,15 +427,24 @@ def repeated_windows(found: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(found: DataFrame) -> DataFrame:
-    """(whole, start, end, words, keeper) of every paragraph whose cluster lies in more than one text and document; found: paragraphs (MET)."""
+    """(whole, start, end, words, keeper) of every paragraph whose cluster lies in more than one text and document; found: paragraphs (MET), a stored table that is dropped."""
     members = common.stored(colliding(found.select("content", "bands", F.col("whole").alias("doc"))), "colliding")
+    rounds = max(1, min(ROUNDS, -(-members.count() // ROUND_MEMBERS)))
+    common.released(found.sparkSession)
     first = F.min(F.when(F.col("set").isNotNull(), F.struct("whole", "start")))
     each = found.groupBy("content").agg(F.min("lo").alias("lo"), F.max("lo").alias("last"), F.max("hi").alias("hi"), first.alias("at"))
     each = each.join(members.select("content").distinct().withColumn("met", F.lit(True)), "content", "left")
     each = common.stored(each.where("met or lo <> last"), "each")
     wanted = each.where("met").select("content", "lo", "hi", "at.whole", "at.start")
-    sets = found.where("set is not null").select("content", "whole", "start", "set").join(wanted, ["content", "whole", "start"]).select("content", "set", "lo", "hi")
-    parts = common.stored(common.components(common.stored(links(members, sets), "links")), "components")
+    sent = found.where("set is not null").select("content", "whole", "start", "set")
+    own = lambda r: F.pmod("content", F.lit(rounds)) == r
+    sets = by_rounds(lambda r: sent.where(own(r)).join(wanted.where(own(r)), ["content", "whole", "start"]).select("content", "set", "lo", "hi"), rounds, "sets")
+    at = common.stored(found.select("content", "whole", "start", "end", "words"), "at")
+    common.dropped(found)  # the bands and sets that no bucket wants
+    found = at
+    parts = links(members, sets, rounds)
+    common.dropped(sets)
+    parts = common.stored(common.components(parts), "components")
     each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "lo", "last")
     spread = each.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("last").alias("last"))
     spread = common.stored(spread.where("keeper <> last").select("cluster", "keeper"), "spread")
@@ -460,7 +486,6 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
         common.dropped(windows)
         common.released(docs.sparkSession)
         parts = parts.union(common.stored(repeated_paragraphs(others), "paragraphs"))
-        common.dropped(others)
         parts = parts.union(each.where("lo <> hi").select("whole", "start", "end", "words", F.col("lo").alias("keeper")))
         parts = common.stored(parts.groupBy("whole", "start", "end", "words").agg(F.min("keeper").alias("keeper")), "parts")
         return keep(common.stored(owners.join(parts, "whole"), "places"))

@@ -231,7 +231,7 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.binary())], ["content", "set"])
 
         sets = own.mapInArrow(run, "content long, set binary").withColumns({"lo": F.col("content"), "hi": F.col("content")})
-        parts = common.stored(common.components(common.stored(paragraphs.links(buckets, sets), "links")), "verified")
+        parts = common.stored(common.components(paragraphs.links(buckets, sets)), "verified")
         placed = rows.join(parts, rows.content == parts.node, "left").select("key", "content", F.coalesce("root", "content").alias("group"))
         placed = common.stored(placed, "placed")
         first = F.struct(F.col("key").isNull(), "key", "content")

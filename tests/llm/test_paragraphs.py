@@ -104,3 +104,23 @@ def test_repeats_equal_brute_force(spark):
             continue
         w = texts[d].encode()[start:end].decode().lower().split()
         assert len(w) == n and all(min(windows[tuple(w[i : i + 50])]) == first for i in range(n - 49))
+
+
+def test_rounds_give_the_same_rows(spark, monkeypatch):
+    """Bands go before buckets are verified, and a round sends the shingles of its own buckets only."""
+    r = random.Random(5)
+    passages = [sentences(r, n) for n in (60, 80, 120)]
+    texts = [(d, "\n".join([sentences(r, 20), *(edited(r, p) for p in r.sample(passages, 2)), sentences(r, 30)])) for d in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    once = sorted(map(str, paragraphs.repeats(docs).collect()))
+    rounds, links = [], paragraphs.links
+
+    def spied(members, sets, n):
+        rounds.append(n)
+        assert {c for c in sets.columns} == {"content", "set", "lo", "hi"}
+        return links(members, sets, n)
+
+    monkeypatch.setattr(paragraphs, "links", spied)
+    monkeypatch.setattr(paragraphs, "ROUND_MEMBERS", 40)
+    assert sorted(map(str, paragraphs.repeats(docs).collect())) == once
+    assert once and rounds == [paragraphs.ROUNDS]

@@ -6,8 +6,8 @@ from each line's last word back likewise; backwards, lines of twice that and mor
 lines and overlap. A near copy amid a line is found where a paragraph of it, from one of its own sentences on, reaches ``SIMILARITY``.
 
 Each paragraph's word shingles are MinHashed; the bands are tuned for recall. Paragraphs that share a
-band meet in a bucket, where pairs are verified by exact Jaccard similarity of their shingles; a bucket
-emits a spanning forest of what it verified. Components of these links and equal paragraphs are the
+band meet in a bucket, where pairs are verified by exact Jaccard similarity of their shingles, but for pairs whose
+parity sketches already differ in more bits than ``SIMILARITY`` lets sets differ; a bucket emits a spanning forest of what it verified. Components of these links and equal paragraphs are the
 clusters. A cluster counts if it lies in more than one document; the document with the smallest key
 keeps its paragraphs, the others' are removals.
 
@@ -29,7 +29,8 @@ at most. A bucket whose paragraphs all lie in one text is passed over, and pairs
 links between different documents and equal paragraphs connect. A paragraph that is near only to another of its own
 document is not in that one's cluster, and stays.
 Buckets that hold the same paragraphs are verified once, buckets of more than ``CHUNK`` as pairs of chunks. Buckets
-are verified in a few rounds, as a paragraph's shingles go to each of its buckets and would fill the disk at once.
+are verified in a few rounds, as a paragraph's shingles go to each of its buckets and would fill the disk at once;
+they are joined to the list of their buckets once, before the rounds.
 
 Null, empty and short texts (under MIN_WORDS words): no paragraphs. Very long texts are read whole.
 Null key: the text's hash stands in. Rows that repeat a key count as one document. Other columns pass
@@ -54,7 +55,9 @@ SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 RECALL = 0.99
 #: Pairs at UNLIKE may share a band with this chance at most.
 UNLIKE, BY_CHANCE = 0.3, 0.03
-CHUNK = 512
+CHUNK = 2048
+#: Bits of a set's parity sketch; a shingle flips the bit that its lowest bits name.
+SKETCH = 256
 #: Members of buckets that one round verifies, and rounds at most: a round's shuffled sets go before the next round's.
 ROUND_MEMBERS, ROUNDS = 500_000, 6
 #: Contents that a task remembers to have sent.
@@ -224,15 +227,27 @@ def jaccard(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact Jaccard similarity of sets i and sets j, pair by pair; two empty sets are equal."""
     out = np.zeros(len(i))
     for n, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+        merged = np.concatenate((sets[x], sets[y]))
+        merged.sort()
+        both = np.count_nonzero(merged[1:] == merged[:-1])
         either = len(sets[x]) + len(sets[y]) - both
         out[n] = both / either if either else 1.0
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches: sets x words. Bits that differ between two are at most the shingles that only one of the sets has."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
+    bit = np.repeat(np.arange(len(sets)) * SKETCH, size) + (flat % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=len(sets) * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64).reshape(len(sets), SKETCH // 64)
+
+
 def verified(sets: list[np.ndarray], ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """For each set the place of the first one in its bucket that it is linked to, directly or not; lo, hi: the documents it lies in."""
-    size = np.array([len(s) for s in sets])
+    size, sketch = np.array([len(s) for s in sets]), sketches(sets)
+    unlike = (1 - SIMILARITY) / (1 + SIMILARITY)  # of both sizes' sum, the share that only one set has, at most
     forest = common.Forest(len(sets))
     i, step = np.arange(len(sets)), 1
     while (i := i[i + step < ends[i]]).size:
@@ -241,6 +256,8 @@ def verified(sets: list[np.ndarray], ends: np.ndarray, lo: np.ndarray, hi: np.nd
         a = a[(lo[a] != hi[a + step]) | (hi[a] != lo[a + step])]
         less, more = np.minimum(size[a], size[a + step]), np.maximum(size[a], size[a + step])
         a = a[less >= SIMILARITY * more - 1e-9]
+        differ = np.bitwise_count(sketch[a] ^ sketch[a + step]).sum(1, dtype=np.int64)
+        a = a[differ <= unlike * (size[a] + size[a + step]) + 1e-9]
         if a.size:
             a = a[jaccard(sets, a, a + step) >= SIMILARITY - 1e-12]
             forest.unite(a, a + step)
@@ -261,17 +278,21 @@ def by_rounds(rows: Callable[[int], DataFrame], rounds: int, name: str) -> DataF
 def links(members: DataFrame, sets: DataFrame, rounds: int = 1) -> DataFrame:
     """(a, b): verified near-duplicate contents, enough of them to connect all that are.
 
-    members: (bucket, content); sets: (content, set, lo, hi), lo and hi the least and greatest document it lies in.
+    members: (bucket, content), each once; sets: (content, set, lo, hi), lo and hi the least and greatest document
+    it lies in; if stored, it is dropped. A set is stored with the list of its deals, which a round explodes to its own.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = common.stored(members.groupBy("bucket").count().where(F.col("count") > CHUNK), "large")
-    m = members.join(large, "bucket", "left")
+    m = members.join(common.small(large), "bucket", "left")
     chunks = F.ceil(F.col("count") / CHUNK)
-    m = m.withColumn("_own", F.pmod(F.xxhash64("content"), chunks))
-    m = m.withColumn("_other", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))))
-    m = m.where("count is null or _own <> _other")
-    m = m.withColumn("deal", F.when(F.col("count").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other"))))
-    m = m.select("deal", "content")
+    own = F.pmod(F.xxhash64("content"), chunks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: c != own)
+    pairs = F.transform(others, lambda c: F.xxhash64("bucket", F.least(own, c), F.greatest(own, c)))
+    m = m.select("content", F.when(F.col("count").isNull(), F.array("bucket")).otherwise(pairs).alias("deals"))
+    m = common.stored(m.groupBy("content").agg(F.flatten(F.collect_list("deals")).alias("deals")), "deals")
+    part = lambda df, r: df.where(F.pmod("content", F.lit(rounds)) == r)
+    held = by_rounds(lambda r: part(sets, r).join(part(m, r), "content"), rounds, "held")
+    common.dropped(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.keyed_runs(batches, ["deal"]):
@@ -286,10 +307,13 @@ def links(members: DataFrame, sets: DataFrame, rounds: int = 1) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(content[child]), pa.array(content[root[child]])], ["a", "b"])
 
     def of_round(r: int) -> DataFrame:
-        dealt = m.where(F.pmod("deal", F.lit(rounds)) == r).join(sets, "content").repartition(n, "deal").sortWithinPartitions("deal", "content")
+        deal = F.explode(F.filter("deals", lambda d: F.pmod(d, F.lit(rounds)) == r)).alias("deal")
+        dealt = held.select(deal, "content", "set", "lo", "hi").repartition(n, "deal").sortWithinPartitions("deal", "content")
         return dealt.mapInArrow(run, "a long, b long")
 
-    return by_rounds(of_round, rounds, "links")
+    found = by_rounds(of_round, rounds, "links")
+    common.dropped(held)
+    return found
 
 
 def runs(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -348,7 +372,7 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """The windows and paragraphs (MET) of the texts (whole, lo, hi, anchors) that have wanted anchors, each from document ``lo``.
 
     content: a hash of its words; at: of windows, the place of the first word, -1 of paragraphs. Paragraphs
-    have bands, and the sorted hashes of their shingles, where this task has sent them for less than two texts.
+    have bands where this task has sent them for less than two texts, and the sorted hashes of their shingles where it had sent none.
     """
     rows = docs.select(document_key(key, text).alias("lo"), F.xxhash64(text).alias("whole"), F.col(text).alias("_text"))
     if wanted.count() <= common.SMALL_ROWS:  # then only texts that are wanted are shuffled
@@ -359,14 +383,15 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[int, int | None] = {}  # the text a content was first sent for; None: a second one too
 
-        def worth(content: int, whole: int) -> bool:
+        def worth(content: int, whole: int) -> int:
+            """2: bands and set, 1: bands, 0: neither."""
             if content not in sent:
                 sent[content] = whole
-                return True
+                return 2
             if sent[content] is None or sent[content] == whole:
-                return False
+                return 0
             sent[content] = None
-            return True
+            return 1
 
         for b in common.slices(batches, 3):
             data, ends = text_buffer(b.column(3))
@@ -386,10 +411,11 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             content = contents(w, a, e)
             if len(sent) > SENT:
                 sent.clear()
-            new = np.array([worth(c, t) for c, t in zip(content.tolist(), b.column(0).to_numpy()[w.text[a]].tolist(), strict=True)], bool)
+            sends = np.array([worth(c, t) for c, t in zip(content.tolist(), b.column(0).to_numpy()[w.text[a]].tolist(), strict=True)], np.int64)
+            new = sends > 0
             shingle = shingles(w)
             bands = band_keys(shingle, a[new], e[new]).ravel() if new.any() else np.zeros(0, np.int64)
-            sets = iter([np.unique(shingle[x : y - SHINGLE + 1]).tobytes() for x, y in zip(a[new].tolist(), e[new].tolist(), strict=True)])
+            sets = iter([np.unique(shingle[x : y - SHINGLE + 1]).tobytes() for x, y in zip(a[sends == 2].tolist(), e[sends == 2].tolist(), strict=True)])
             from_, to = np.append(i, a), np.append(i + MIN_WORDS, e)
             at = w.text[from_]
             new = np.append(np.zeros(len(i), bool), new)
@@ -397,7 +423,8 @@ def met(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             places = (np.append(i, np.full(len(a), -1)), w.start[from_] - ends[at], w.end[to - 1] - ends[at], to - from_, np.append(contents(w, i, i + MIN_WORDS), content))
             columns += [pa.array(x, pa.int64()) for x in places]
             columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new * BANDS)), pa.int32()), pa.array(bands, pa.int64()), mask=pa.array(~new)))
-            columns.append(pa.array([next(sets) if x else None for x in new.tolist()], pa.binary()))
+            sends = np.append(np.zeros(len(i), np.int64), sends)
+            columns.append(pa.array([next(sets) if x == 2 else None for x in sends.tolist()], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in MET.split(", ")])
 
     return joined.mapInArrow(run, MET)
@@ -443,7 +470,6 @@ def repeated_paragraphs(found: DataFrame) -> DataFrame:
     common.dropped(found)  # the bands and sets that no bucket wants
     found = at
     parts = links(members, sets, rounds)
-    common.dropped(sets)
     parts = common.stored(common.components(parts), "components")
     each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "lo", "last")
     spread = each.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("last").alias("last"))

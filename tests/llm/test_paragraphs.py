@@ -124,3 +124,73 @@ def test_rounds_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "ROUND_MEMBERS", 40)
     assert sorted(map(str, paragraphs.repeats(docs).collect())) == once
     assert once and rounds == [paragraphs.ROUNDS]
+
+
+def test_a_round_explodes_only_its_own_deals(spark, monkeypatch):
+    """Members are dealt once, before the rounds: a round joins nothing, and all rounds together explode each member once."""
+    r = random.Random(6)
+    base = [np.sort(np.array(r.sample(range(10**9), 40), np.uint64)) for _ in range(30)]
+    rows = [(9 * b + k, np.unique(np.append(s[: 40 - k % 5], np.uint64(b * 100 + k))).tobytes()) for b, s in enumerate(base) for k in range(9)]
+    sets = spark.createDataFrame([(c, bytearray(s), c, c) for c, s in rows], "content long, set binary, lo long, hi long")
+    members = spark.createDataFrame([(b, c) for c, _ in rows for b in (c // 9, 1000 + c // 18)], "bucket long, content long")
+    plans, stored = [], paragraphs.common.stored
+
+    def spied(df, name):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(paragraphs.common, "stored", spied)
+    each = {n: {(x.node, x.root) for x in paragraphs.common.components(paragraphs.links(members, sets, n)).collect()} for n in (1, 4)}
+    assert each[1] == each[4] and len(each[1]) == len(rows)
+    assert len(plans) == 5 and not any("Join" in p for p in plans)
+    assert all(p.index("MapInArrow") < p.index("Generate explode(filter(deals") for p in plans)
+
+
+def test_unlike_sets_are_not_merged(monkeypatch):
+    """A bucket of sets that share half is settled by sketches; pairs at exactly SIMILARITY are kept, and all links are those of brute force."""
+    r = np.random.default_rng(3)
+    new = lambda n: r.integers(0, 2**63, n).astype(np.uint64)
+    common = new(30)
+    sets = [np.unique(np.append(common, new(25))) for _ in range(150)]
+    for n in (9, 45, 90, 900):
+        s = new(n)
+        sets += [np.unique(s), np.unique(np.append(s[: n * 8 // 9], new(n // 9))), np.unique(np.append(s[n // 9 :], new(n // 9)))]
+    sets.append(np.zeros(0, np.uint64))
+    compared, jaccard = [], paragraphs.jaccard
+
+    def spied(sets, i, j):
+        compared.extend(zip(i.tolist(), j.tolist(), strict=True))
+        return jaccard(sets, i, j)
+
+    monkeypatch.setattr(paragraphs, "jaccard", spied)
+    n = len(sets)
+    root = paragraphs.verified(sets, np.full(n, n), np.arange(n), np.arange(n))
+    want = list(range(n))
+    for j in range(n):
+        for i in range(j):
+            if like(frozenset(sets[i].tolist()), frozenset(sets[j].tolist())):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert root.tolist() == want and len(set(want)) < n - 6
+    assert len(compared) < 200
+
+
+def test_a_task_sends_a_set_once(spark):
+    """Bands go for two texts at most, the set with the first of them."""
+    r = random.Random(8)
+    passage = sentences(r, 120)
+    docs = spark.createDataFrame([(d, f"{sentences(r, 30)}\n{passage}") for d in range(12)], "doc_id long, text string").coalesce(1)
+    w = paragraphs.anchored(docs, "doc_id", "text").collect()
+    wanted = spark.createDataFrame([(x.whole, x.doc, x.doc, x.anchors) for x in w], "whole long, lo long, hi long, anchors array<long>")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        rows = [x for x in paragraphs.met(docs, "doc_id", "text", wanted).collect() if x.at < 0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    sent, banded = defaultdict(int), defaultdict(int)
+    for x in rows:
+        sent[x.content] += x.set is not None
+        banded[x.content] += x.bands is not None
+    assert set(sent.values()) == {1} and max(banded.values()) == 2

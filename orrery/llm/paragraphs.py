@@ -279,7 +279,7 @@ def links(members: DataFrame, sets: DataFrame, rounds: int = 1) -> DataFrame:
     """(a, b): verified near-duplicate contents, enough of them to connect all that are.
 
     members: (bucket, content), each once; sets: (content, set, lo, hi), lo and hi the least and greatest document
-    it lies in; if stored, it is dropped. A set is stored with the list of its deals, which a round explodes to its own.
+    it lies in; both stay the caller's. A set is stored with the list of its deals, which a round explodes to its own.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     large = common.stored(members.groupBy("bucket").count().where(F.col("count") > CHUNK), "large")
@@ -292,7 +292,6 @@ def links(members: DataFrame, sets: DataFrame, rounds: int = 1) -> DataFrame:
     m = common.stored(m.groupBy("content").agg(F.flatten(F.collect_list("deals")).alias("deals")), "deals")
     part = lambda df, r: df.where(F.pmod("content", F.lit(rounds)) == r)
     held = by_rounds(lambda r: part(sets, r).join(part(m, r), "content"), rounds, "held")
-    common.dropped(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.keyed_runs(batches, ["deal"]):
@@ -470,6 +469,7 @@ def repeated_paragraphs(found: DataFrame) -> DataFrame:
     common.dropped(found)  # the bands and sets that no bucket wants
     found = at
     parts = links(members, sets, rounds)
+    common.dropped(sets)
     parts = common.stored(common.components(parts), "components")
     each = each.join(parts, each.content == parts.node, "left").select("content", F.coalesce("root", "content").alias("cluster"), "lo", "last")
     spread = each.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("last").alias("last"))

@@ -132,6 +132,7 @@ def test_a_round_explodes_only_its_own_deals(spark, monkeypatch):
     base = [np.sort(np.array(r.sample(range(10**9), 40), np.uint64)) for _ in range(30)]
     rows = [(9 * b + k, np.unique(np.append(s[: 40 - k % 5], np.uint64(b * 100 + k))).tobytes()) for b, s in enumerate(base) for k in range(9)]
     sets = spark.createDataFrame([(c, bytearray(s), c, c) for c, s in rows], "content long, set binary, lo long, hi long")
+    sets = paragraphs.common.stored(sets, "source").select("content", "set", "lo", "hi")  # a stage's table, which its caller goes on to read
     members = spark.createDataFrame([(b, c) for c, _ in rows for b in (c // 9, 1000 + c // 18)], "bucket long, content long")
     plans, stored = [], paragraphs.common.stored
 
@@ -142,6 +143,7 @@ def test_a_round_explodes_only_its_own_deals(spark, monkeypatch):
 
     monkeypatch.setattr(paragraphs.common, "stored", spied)
     each = {n: {(x.node, x.root) for x in paragraphs.common.components(paragraphs.links(members, sets, n)).collect()} for n in (1, 4)}
+    assert sets.count() == len(rows)
     assert each[1] == each[4] and len(each[1]) == len(rows)
     assert len(plans) == 5 and not any("Join" in p for p in plans)
     assert all(p.index("MapInArrow") < p.index("Generate explode(filter(deals") for p in plans)

@@ -4,11 +4,13 @@ import os
 
 import numpy as np
 import pytest
+from oracle import agrees
 from pyspark.sql import functions as F
 
 from orrery.functions import models
 from orrery.operators import cache
 from orrery.plans import agents, serving
+from orrery.registry import ORACLE_SQL, QUERIES
 from orrery.sources import readers
 from orrery.streaming import windows
 
@@ -67,6 +69,15 @@ def test_lookups_raise(spark):
     assert serving.assembled(hits.where("qid < 3"), store).count() == 1
 
 
+def test_hits_without_a_passage_keep_a_row_with_an_error(spark, tmp_path):
+    spark.createDataFrame([(k, [1.0, 0.1 * k], 0) for k in range(4)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["passages_or_error"](spark, str(tmp_path)).collect()
+    assert len(rows) == 4 * 2 and all((r.text_md5 is None) != (r.error is None) for r in rows)
+    assert {r.doc_id: r.error for r in rows} == {1: None, 2: "id without a passage: 2", 3: "id without a passage: 3"}
+    agrees(spark, QUERIES["passages_or_error"], ORACLE_SQL["passages_or_error"], str(tmp_path))
+
+
 def test_configuration():
     with pytest.raises(ValueError, match="recall"):
         serving.evaluated(None, ("em", "recall"))

@@ -31,6 +31,20 @@ def test_exact_search_runs_once(spark, monkeypatch, name, maps):
     assert sum(seen) == maps and "MapInArrow" not in plan(result)
 
 
+@pytest.mark.parametrize("name", ["overlap_jaccard_at_k", "rbo_at_k", "stability_by_bin_k"])
+def test_lists_are_searched_before_the_join_reads_them(spark, monkeypatch, name):
+    """The join counts, samples, orders and packs its vectors; none of these passes may run the search anew."""
+    seen, stored = [], Scratch.stored
+
+    def spied(self, df, name):
+        seen.append((name, plan(df).count("MapInArrow run")))
+        return stored(self, df, name)
+
+    monkeypatch.setattr(Scratch, "stored", spied)
+    QUERIES[name](spark, D)
+    assert seen == [("lists", 3), ("blocks", 0), ("compared", 1)]
+
+
 def test_texts_are_joined_last(spark):
     """After the join with the texts there is only the aggregation, which shuffles flags."""
     assert re.findall(r"Join Inner, \((\w+?)#", plan(QUERIES["retrieval_recall_precision"](spark, D)))[0] == "doc_id"

@@ -119,6 +119,32 @@ def test_few_products_are_ranked(monkeypatch, metric):
     assert np.array_equal(best.found, [np.lexsort((np.arange(6400), -r))[:5] for r in s])
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("longest", [1.0, 1e3, 1e16])
+def test_products_of_four_bytes_lose_no_hit(metric, longest):
+    """Scores closer together than four bytes tell apart, ties, lengths that differ widely or are too long for four bytes."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] * (1 + 1e-8 * rng.integers(0, 9, (1500, 1)))
+    x[::7] *= rng.uniform(1, longest, len(x[::7]))[:, None]
+    x[3] = x[5] = x[11]
+    best, s = vectors.Best(np.arange(1500), x, 5, metric), {"ip": x @ x.T, "l2": 2 * x @ x.T - (x * x).sum(1)[None] - (x * x).sum(1)[:, None]}[metric].round(9)
+    for at in range(0, 1500, 100):
+        y = x[at : at + 100]
+        best.see(np.arange(at, at + 100), np.hstack([y, -(y * y).sum(1)[:, None] / 2]) if metric == "l2" else y, True)
+    np.fill_diagonal(s, -np.inf)
+    want = -np.sort(-s)[:, :5]
+    assert best.best == pytest.approx(want, rel=1e-12, abs=max(2e-9, longest**2 * 1e-13))
+    if longest == 1:
+        assert np.array_equal(best.found, [np.lexsort((np.arange(1500), -r))[:5] for r in s])
+
+
+def test_queries_are_spread_before_the_vectors_they_meet():
+    """A query is in one cell where cells of queries keep the cores busy: its k rows are given once, not by each of sixteen cells."""
+    assert vectors.grid(51_282, 51_282, 8) == (16, 1)
+    assert vectors.grid(615_384, 615_384, 12) == (10, 5)
+    assert vectors.grid(500, 1_000_000, 8) == (1, 16) and vectors.grid(0, 0, 8) == (1, 1)
+
+
 def test_get_many(spark):
     store = spark.createDataFrame([(1, "a"), (2, "b")], "pid long, title string")
     req = spark.createDataFrame([(0, [2, 9, 2]), (1, [])], "req long, ids array<long>")

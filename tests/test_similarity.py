@@ -44,6 +44,19 @@ def test_blocks_far_apart_are_passed_over():
     assert similarity.Block(np.arange(2), np.array([[1.0, 0.0], [-1.0, 0.0]])).centre is None  # no direction: never passed over
 
 
+def test_pairs_at_the_threshold_are_told_apart_by_eight_bytes():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 24))
+    a, b = similarity.Block(np.arange(200), similarity.unit(x)), similarity.Block(np.arange(200), similarity.unit(x[::-1] + 0.3 * rng.normal(size=x.shape)))
+    s = a.x @ b.x.T
+    for least in np.sort(s[s > 0.05])[::997].tolist():  # at a pair's own similarity, four bytes cannot tell
+        a.middle = b.middle = 1.0
+        i, j, sim = a.pairs(b, least, exact=False)
+        near = abs(sim - least) < 1e-6
+        assert np.abs(sim[near] - s[i, j][near]).max() < 1e-14
+        assert {*zip(i[sim >= least - 1e-12], j[sim >= least - 1e-12], strict=True)} == {*zip(*np.nonzero(s >= least - 1e-12), strict=True)}
+
+
 def test_thresholds(spark):
     rows = spark.createDataFrame([], "id long, v array<double>")
     assert similarity.cosine_join(rows, 0.5).count() == 0
